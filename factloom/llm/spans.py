@@ -24,8 +24,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 CHUNK_BYTES = 1 << 20
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them) of pieces of a text column; a null is empty."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows in them) of pieces of a text column, of ``rows`` rows at most; a null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -37,7 +37,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     row = 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, row + rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
