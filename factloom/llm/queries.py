@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -39,7 +45,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -48,7 +55,7 @@ def _tokenizer(name: str) -> str:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +81,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"))
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,6 +92,15 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM d WINDOW same AS (PARTITION BY body)""",
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, i, list_aggregate(words[i:i + 12], 'string_agg', ' ') AS body FROM d, range(1, len(words) - 11) r(i) WHERE len(words) >= 13),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY body) AS source FROM w) WHERE source < doc_id),
+        gone AS (SELECT doc_id, list(DISTINCT i + j) AS places FROM hit, range(0, 13) r(j) GROUP BY doc_id),
+        kept AS (SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+                        coalesce((SELECT string_agg(words[i], ' ' ORDER BY i) FROM range(1, len(words) + 1) r(i) WHERE places IS NULL OR NOT list_contains(places, i)), '') AS body
+                 FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n_words, n_removed, sha256(body) AS kept_sha256 FROM kept""",
     "op9_url_filter": r"""
         WITH RECURSIVE tags AS (
             SELECT url AS src, unnest(list_concat(
