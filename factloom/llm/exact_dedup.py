@@ -34,7 +34,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         .groupBy("text_sha256", "body", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
-    winners = salted.groupBy("text_sha256", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    winners = salted.repartition("text_sha256").groupBy("text_sha256", "body").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     winners = tables.write(
         winners.withColumn("texts", F.count("*").over(W.partitionBy("text_sha256")))
         .select("text_sha256", "keep_id", "group_size", "texts", F.when(F.col("texts") > 1, F.col("body")).alias("body"))
