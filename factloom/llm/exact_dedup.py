@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import Tables, attach, folded
+from .shared import Tables, attach, folded, settled
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -39,9 +39,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         winners.withColumn("texts", F.count("*").over(W.partitionBy("text_sha256")))
         .select("text_sha256", "keep_id", "group_size", "texts", F.when(F.col("texts") > 1, F.col("body")).alias("body"))
     )
+    marked = tables.write(rows.drop("body"))
     total, clashes = winners.agg(F.sum("group_size"), F.coalesce(F.max("texts"), F.lit(0)) > 1).first()
     one = winners.where("texts = 1").drop("texts", "body")
-    out = attach(rows.drop("body"), one, "text_sha256", "group_size", total or 0)
+    out = attach(marked, one, "text_sha256", "group_size", total or 0)
     if clashes:
         out = out.unionByName(rows.join(winners.where("texts > 1").drop("texts"), ["text_sha256", "body"]).drop("body"))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return settled(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import Tables
+from .shared import Tables, settled
 
 
 class Segments:
@@ -106,9 +106,8 @@ def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = cells.select("shard", "cell", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "key")) - 1
-    return placed.withColumn("place", place).join(F.broadcast(offsets), ["shard", "cell"]).select(  # shards * salts rows at most
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    slots = placed.withColumn("place", place).join(F.broadcast(offsets), ["shard", "cell"])  # shards * salts rows at most
+    return settled(slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
 
 def _cut_keys(groups: DataFrame, shards: int, digits: int) -> list[str]:

@@ -22,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` in three tasks a core at most: as many files, not one for each of thousands of small partitions.
+
+    A core still has three tasks in turn, so that none idles long, and a task
+    takes its partitions one after another, in the memory of one.
+    """
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Tables of one run of an operator, written as Parquet in the shared folder.
 
@@ -42,7 +51,7 @@ class Tables:
         with contextlib.suppress(Exception):  # older sessions don't have the setting
             self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            settled(df).write.parquet(path)
         finally:
             with contextlib.suppress(Exception):
                 self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, attach, components
+from .shared import Tables, attach, components, settled
 from .spans import Words, chunks, xxh64
 
 
@@ -137,7 +137,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = tables.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     total = classes.agg(F.sum("size")).first()[0] or 0
     found = components(links(classes.where("rep is not null").select("fp", "rep"), tables, segment_bits, dense), tables)
-    settled = tables.write(
+    placed = tables.write(
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "size", F.coalesce("component", "rep").alias("component_id"))
     )
-    return attach(marked, settled, "fp", "size", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return settled(attach(marked, placed, "fp", "size", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
