@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations that end no sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e u.s u.k".split())
@@ -74,11 +75,11 @@ def simple_sentences(text: str) -> list[str]:
     return [s for s in [*out, (text or "")[start:].strip()] if s]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def simple_sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(simple_sentences)

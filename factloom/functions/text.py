@@ -162,18 +162,18 @@ def strip_id_codes(x: Column) -> Column:
     return F.regexp_replace(x, ID_CODE, " ")
 
 
-CITATION = r"\[F[ ]*[0-9]+(?:[ ]*,[ ]*F?[ ]*[0-9]+)*\]"
+CITATION = r"\[[Ff][0-9]+(?:[\t\n\f\r ]*,[\t\n\f\r ]*[Ff]?[0-9]+)*\]"
 
 
 def citation_ids(x: Column) -> Column:
     """Distinct fact ids in [F1, f2, 3] marks, ascending."""
-    marks = F.array_join(F.regexp_extract_all(x, F.lit("(?i)" + CITATION), 0), " ")
+    marks = F.array_join(F.regexp_extract_all(x, F.lit(CITATION), 0), " ")
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(marks, F.lit("[0-9]+"), 0), lambda s: s.cast("int"))))
 
 
 def strip_citations(x: Column) -> Column:
     """Marks go with the space that they leave before punctuation, after a bracket, or twice."""
-    x = F.regexp_replace(x, "(?i)" + CITATION, "")
+    x = F.regexp_replace(x, CITATION, "")
     x = F.regexp_replace(x, " +(?=[.,;:!?)])", "")
     x = F.regexp_replace(x, r"(?<=\() +", "")
     x = F.regexp_replace(x, " {2,}", " ")

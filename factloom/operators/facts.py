@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import fact_key, fact_tokens, title_normalize
 
@@ -41,40 +45,62 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.filter(b, lambda t: F.array_contains(a, t))) / least)
 
 
-def _simhash(tokens: np.ndarray) -> int:
-    """Of a fact's tokens: sums of signs over the bits of their FNV-1a hashes; a tie is 0."""
-    bits = np.zeros(64, np.int64)
-    for token in tokens:
-        h = 0xCBF29CE484222325
-        for byte in token.encode():
-            h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        bits += 2 * np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little").astype(np.int64) - 1
-    return int(np.packbits(bits > 0, bitorder="little").view("<i8")[0])
+@lru_cache(maxsize=1 << 18)
+def _fnv1a_64(token: str) -> int:
+    h = 0xCBF29CE484222325
+    for byte in token.encode():
+        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def _simhash(tokens: Iterable[str]) -> int:
+    """Of a fact's tokens: per bit, whether over half of their FNV-1a hashes have it; a tie is 0."""
+    hashes = np.array([_fnv1a_64(t) for t in tokens], "<u8")
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash(tokens: pd.Series) -> pd.Series:
     """The 64-bit pattern as a long."""
     return tokens.map(_simhash)
 
 
+def near_earlier(tokens: list[list[str]], bits: np.ndarray, block: int = 512) -> np.ndarray:
+    """D02 in one group, in order: whether a fact is near to an earlier one.
+
+    Fingerprints are compared first, a block of rows against all earlier ones in
+    one operation; tokens only where at most 10 bits differ.
+    """
+    able = np.flatnonzero([len(t) >= LEAST_TOKENS for t in tokens])
+    out, own = np.zeros(len(tokens), bool), bits[able]
+    sets = [set(tokens[k]) for k in able]
+    for begin in range(0, len(able), block):
+        rows = own[begin : begin + block]
+        later, earlier = np.nonzero(np.bitwise_count(rows[:, None] ^ own[None, : begin + len(rows)]) <= MOST_BITS)
+        for i, j in zip((later + begin).tolist(), earlier.tolist(), strict=True):
+            if j < i and not out[able[i]]:
+                b = tokens[able[i]]
+                least = min(len(tokens[able[j]]), len(b))
+                out[able[i]] = sum(t in sets[j] for t in b) >= LEAST_OVERLAP * least
+    return out
+
+
 def flag_near_duplicates(facts: DataFrame, by: str, order: str) -> DataFrame:
-    """Flags facts (fact_key) near to an earlier one of their group; they stay.
+    """(by, order, near_dup) of facts (fact_key): near to an earlier one of their group; they stay.
 
     Near: five tokens each, overlap of 0.72 and 10 bits at most between
-    fingerprints. Tokens and fingerprints are made once per fact; candidates
-    share a token, which no near pair can lack, and tokens that stand in one fact
-    of the group alone never meet.
+    fingerprints. Tokens and fingerprints are made once per fact, on the JVM and
+    in batches; the comparison folds one group, as a group is a document.
     """
-    t = facts.withColumn("tokens", fact_tokens(F.col("fact_key"))).withColumn("bits", simhash("tokens"))
-    able = t.where(F.size("tokens") >= LEAST_TOKENS)
-    a = able.select(by, F.col(order).alias("o1"), F.col("tokens").alias("t1"), F.col("bits").alias("b1"), F.explode(F.array_distinct("tokens")).alias("token"))
-    counts = a.groupBy(by, "token").count()
-    ranked = able.select(by, F.col(order).alias("o2"), F.col("tokens").alias("t2"), F.col("bits").alias("b2"), F.explode(F.array_distinct("tokens")).alias("token")).join(counts, [by, "token"])
-    probes = ranked.where(F.col("count") > 1)
-    pairs = a.join(probes, [by, "token"]).where((F.col("o1") < F.col("o2")) & (F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= MOST_BITS) & (token_overlap(F.col("t1"), F.col("t2")) >= LEAST_OVERLAP))
-    near = pairs.select(by, F.col("o2").alias(order)).distinct().withColumn("near_dup", F.lit(True))
-    return t.join(near, [by, order], "left").withColumn("near_dup", F.coalesce("near_dup", F.lit(False))).drop("tokens", "bits")
+    kind = dict(facts.dtypes)
+    rows = facts.select(by, order, fact_tokens(F.col("fact_key")).alias("tokens")).withColumn("bits", simhash("tokens"))
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order, kind="stable")
+        return f[[by, order]].assign(near_dup=near_earlier([list(t) for t in f["tokens"]], f["bits"].to_numpy().view(np.uint64)))
+
+    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, {order} {kind[order]}, near_dup boolean")
 
 
 def route_facts(sections: DataFrame, by: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ratio
 
@@ -60,7 +61,7 @@ def rates(edges: DataFrame, audit: DataFrame) -> DataFrame:
     return r.withColumn("trustworthy", (F.col("error_rate") <= 0.15) & (F.col("flip_rate") <= 0.25) & (F.col("cycle_rate") <= 0.15))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a_32(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, 32 bits, all rows in step."""
     raw = [t.encode() for t in text]
