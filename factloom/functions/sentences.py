@@ -18,15 +18,21 @@ def is_bullet(line: str) -> bool:
     return bool(_BULLET.match(line)) and (line[0] in "-*+" or len(line) >= 4)
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
 def _ends_sentence(s: str, i: int) -> bool:
     if 0 < i < len(s) - 1 and s[i - 1].isascii() and s[i - 1].isdigit() and s[i + 1].isascii() and s[i + 1].isdigit():
         return False
-    rest = s[i + 1 :].lstrip(" \t\n\r")
-    if not rest:
+    following = _BLANKS.match(s, i + 1).end()
+    if following == len(s):
         return True
-    if not rest[0].isupper():
+    if not s[following].isupper():
         return False
-    before = re.search(r"\S*$", s[:i])[0].strip("\"'([{")
+    begin = i
+    while begin and not s[begin - 1].isspace():
+        begin -= 1
+    before = s[begin:i].strip("\"'([{")
     return before.strip(".").lower() not in ABBREVIATIONS and not (len(before.encode()) == 1 and before != "I")
 
 
@@ -35,7 +41,7 @@ def _paragraph(s: str) -> list[str]:
     for m in re.finditer(r"[.!?]", s):
         if m.start() >= start and _ends_sentence(s, m.start()):
             out.append(s[start : m.end()].strip())
-            start = len(s) - len(s[m.end() :].lstrip(" \t\n\r"))
+            start = _BLANKS.match(s, m.end()).end()
     return [x for x in [*out, s[start:].strip()] if x]
 
 

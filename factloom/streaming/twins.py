@@ -40,21 +40,17 @@ def running_tokens(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("stage").agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
 
 
-def progress(ledger: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Per stage the units begun and done so far, folded in arrival order; idle stages leave the state."""
+def progress(ledger: DataFrame) -> DataFrame:
+    """Per stage the units begun and done so far, folded in arrival order; the state is a row a stage."""
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         begun, done = state.get if state.exists else (0, 0)
         for f in frames:
             begun += int((f["action"] == "start").sum())
             done += int((f["action"] == "done").sum())
         state.update((begun, done))
-        state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"stage": [key[0]], "begun": [begun], "done": [done], "running": [begun - done]})
 
-    return ledger.groupBy("stage").applyInPandasWithState(fold, "stage string, begun long, done long, running long", "begun long, done long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return ledger.groupBy("stage").applyInPandasWithState(fold, "stage string, begun long, done long, running long", "begun long, done long", "update", GroupStateTimeout.NoTimeout)
 
 
 def split_budget(limit: int, mandatory: list[int]) -> list[int] | None:
