@@ -44,7 +44,7 @@ def heading_skeleton(docs: DataFrame, most: int = 100, id_col: str = "doc_id", t
 def bounded_fragments(text: Column, size: int) -> Column:
     """An array of pieces of ``size`` characters, the last one shorter; they join to the text."""
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(cuts, lambda k: F.substring(text, k * size + 1, F.lit(size))))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(cuts, lambda k: F.substring(text, k * size + 1, F.lit(size))))
 
 
 def pack(fragments: Iterable[str], size: int, most_tokens: int = 0, count: Callable[[str], int] | None = None) -> list[str]:

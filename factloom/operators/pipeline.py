@@ -42,7 +42,7 @@ def parse_outlines(outlines: DataFrame, by: str = "doc_id", text_col: str = "rep
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c[0], F.struct("i", c[1].alias("v"))))), lambda s: s["v"])
     inside = lines.where("section > 0")
     titles = F.min_by(F.trim(F.substring("t", 4, 1 << 30)), "i")
-    plain = ~F.col("t").startswith("#") & ~is_facts & (F.col("t") != "")
+    plain = ~F.col("t").startswith("# ") & ~F.col("t").startswith("## ") & ~is_facts & (F.col("t") != "")
     found = inside.groupBy(by, "section").agg(titles.alias("title"), F.array_join(listed((plain, F.col("t"))), " ").alias("intent"), F.flatten(listed((is_facts, ids))).alias("fact_ids"))
     return found.where("title <> ''").join(headline, by)
 
