@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Tables
 from .spans import chunks
 
 #: What byte-level BPE splits texts by before merging; a fixed value.
@@ -319,9 +320,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536) -> list[bytes]:
-    """The ``most`` most frequent words of all documents (ties: in byte order), which bounds the lexicon, not what is encoded."""
+    """The most frequent words of all documents, ``most`` at most, which bounds the lexicon, not what is encoded.
+
+    Words are counted over everything; then a histogram of the counts' logarithms
+    (a few thousand rows) tells from which count on ``most`` words suffice, and
+    only these come to the driver. No task sorts or sends candidates of its own.
+    """
+    tables = Tables(docs.sparkSession)
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(most).collect()]
+    level = F.floor(F.log2("n") * 64).cast("int")
+    words = tables.write(counted.where("n > 1 and length(word) <= 64").select("word", level.alias("level")))
+    least, taken = None, 0
+    for r in sorted(words.groupBy("level").count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.level
+    found = [] if least is None else [bytes(r.word) for r in words.where(F.col("level") >= least).select("word").collect()]
+    tables.drop(words)
+    return found
 
 
 class Encoder:
@@ -375,8 +392,8 @@ _encoders: dict[str, Encoder] = {}
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536, keep_ids: bool = False) -> DataFrame:
     """Byte-level BPE ids of every whole text, and what they decode to.
 
-    The words of all documents are counted; the ``lexicon_words`` most frequent
-    ones are merged once and compiled with their ids into a minimal acyclic
+    The words of all documents are counted; the most frequent, ``lexicon_words``
+    at most, are merged once and compiled with their ids into a minimal acyclic
     automaton with shared suffixes. Its image, bounded by that number, is
     broadcast and memory-mapped by each worker; any other word is merged exactly.
     Special tokens' strings are special tokens, as the tokenizers library has it.
