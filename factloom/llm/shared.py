@@ -23,12 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` in three tasks a core at most: as many files, not one for each of thousands of small partitions.
+    """``df`` in fewer, larger files than the shuffle has partitions: a sixth of them, or three tasks a core if that is more.
 
-    A core still has three tasks in turn, so that none idles long, and a task
-    takes its partitions one after another, in the memory of one.
+    A core has three tasks in turn at least, so that none idles long, and a task
+    takes its partitions one after another, in the memory of one. The number of
+    shuffle partitions follows the data, and so do the files.
     """
-    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6))
 
 
 class Tables:
