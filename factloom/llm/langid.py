@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .spans import chunks
 
@@ -121,30 +122,22 @@ def sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
     return thin.withColumn("place", place).where(F.col("place") <= per_class).select("doc_id", by)
 
 
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_language: int = 400) -> DataFrame:
-    """The language of every whole text of ``docs``, learned from ``train`` (doc_id, text, lang).
-
-    At most ``per_language`` documents of a language, chosen by a hash of their
-    ids, are gathered for fitting; the model's size is bounded by its parameters
-    and is broadcast.
-
-    Returns doc_id, lang_pred, score (0 to 1). Null text and text without a
-    letter: ``und``, 0. Without any training rows: ``und``, 0 for all. Null and
-    repeated ids and rows: each row returns. Empty table: no rows. Rows of
-    ``train`` with a null text or lang aren't learned. Other columns are ignored.
-    """
+def labelled(rows: DataFrame, train: DataFrame, text_col: str, per_language: int) -> DataFrame:
+    """``rows`` in one pass, with lang_pred and score behind their own columns, see ``identify``; ``text_col`` itself goes."""
     usable = train.where("lang is not null and text is not null").select("doc_id", "lang")
     chosen = sample(usable, "lang", per_language)
     learned = train.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()  # per_language rows of each language
     learned.sort(key=lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.text))
     model = fit([r.text for r in learned], [r.lang for r in learned]) if learned else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for first, end, data, offsets in _blocks(batch.column(1)):
-                ids, letters = batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first).to_numpy(zero_copy_only=False)
+            for first, end, data, offsets in _blocks(batch.column(len(own))):
+                kept = [batch.column(k).slice(first, end - first) for k in range(len(own))]
+                letters = batch.column(len(own) + 1).slice(first, end - first).to_numpy(zero_copy_only=False)
                 if model is None:
                     names, score = [UNKNOWN] * (end - first), np.zeros(end - first)
                 else:
@@ -153,10 +146,40 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
                     best = p.argmax(1)
                     score = np.where(letters, p.max(1) / p.sum(1), 0.0)
                     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score)], [*own, "lang_pred", "score"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = StructType([*rows.select(own).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.select(*own, text.alias("text_of_row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters_of_row")).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_language: int = 400) -> DataFrame:
+    """The language of every whole text of ``docs``, learned from ``train`` (doc_id, text, lang).
+
+    At most ``per_language`` documents of a language, chosen by a hash of their
+    ids, are gathered for fitting; the model's size is bounded by its parameters
+    and is broadcast.
+
+    Returns doc_id, lang_pred, score (0 to 1). Null text and text without a
+    letter: ``und``, 0. Without any training rows: ``und``, 0 for all. Null and
+    repeated ids and rows: each row returns. Empty table: no rows. Rows of
+    ``train`` with a null text or lang aren't learned. Other columns are ignored.
+    """
+    return labelled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), train, "text", per_language)
+
+
+def accepted(docs: DataFrame, train: DataFrame, languages: Collection[str] | None = None, least: float = 0.3, per_language: int = 400) -> DataFrame:
+    """The rows of ``docs`` (text) in one of ``languages``, at a score of ``least`` or more; by default in any language learned.
+
+    Null texts and texts without a letter go. If nothing could be learned there is
+    no decision to take, and all texts with a letter stay. Each row is decided by
+    itself, in one pass: null and repeated ids don't matter. Returns the columns of
+    ``docs``.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    good = (F.col("score") >= least) & (F.lit(True) if languages is None else F.col("lang_pred").isin(*languages))
+    letters = F.col("row.text").cast("string").rlike(r"\p{L}")
+    return labelled(named, train, "text", per_language).where(letters & ((F.col("lang_pred") == UNKNOWN) | good)).select("row.*")
 
 
 def held_out(id_col: str, folds: int, fold: int):
