@@ -99,22 +99,24 @@ def split_size(total: Column, most_sections: int, factor: float = 1.5) -> Column
     return F.greatest(F.ceil(total / most_sections * factor), F.lit(1)).cast("int")
 
 
-def representatives(v: np.ndarray, k: int) -> list[int]:
+def representatives(v: np.ndarray, k: int, block: int = 1024) -> list[int]:
     """Greedy facility location: the choice that adds most to the sum of best similarities (0 at first), ties to the lowest index.
 
-    Similarities are made once; gains of a round are one pass over them.
+    Similarities are made in blocks of rows, anew in each round, so that no square matrix is held.
     """
     n = len(v)
     if k >= n:
         return list(range(n))
     u = unit(v.astype(np.float64))
-    sims, best, chosen = u @ u.T, np.zeros(n), []
+    best, chosen = np.zeros(n), []
     for _ in range(k):
-        gain = np.maximum(sims - best[:, None], 0).sum(0)
+        gain = np.zeros(n)
+        for at in range(0, n, block):
+            gain += np.maximum(u[at : at + block] @ u.T - best[at : at + block, None], 0).sum(0)
         gain[chosen] = -1
         pick = int(np.flatnonzero(gain >= gain.max() - 1e-12)[0])
         chosen.append(pick)
-        best = np.maximum(best, sims[:, pick])
+        best = np.maximum(best, u @ u[pick])
     return sorted(chosen)
 
 

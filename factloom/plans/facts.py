@@ -205,7 +205,8 @@ def smoothed_similarity(t: Read):
     return C.semantic_breaks(e, "label", "vec_id", sim).select("vec_id", "label", F.round("similarity", 6).alias("similarity"), F.round("smooth", 6).alias("smooth"))
 
 
-#: Vectors stand in groups of about fifty, as a document's facts do.
+#: Vectors stand in groups of about fifty, as a document's facts do; the SQL of the queries that use them has the same
+#: groups. The ``label_`` queries compare whole labels.
 _GROUP = "cast(vec_id // 50 AS BIGINT)"
 
 
@@ -246,28 +247,45 @@ def split_clusters(t: Read):
     return rows.select("part", "label", "vec_id", F.when(F.col("size") <= F.col("cap"), 0).otherwise(F.floor(F.col("pos") / F.col("cap"))).cast("int").alias("piece"))
 
 
+@query(f"""WITH {_VEC}
+  SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.e, b.e) / (a.len * b.len), 6) AS similarity FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.3""")
+def label_cosine_pairs(t: Read):
+    """J06 X23 within labels, whatever their size."""
+    return V.cosine_pairs(t.embeddings, "label", "vec_id", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH RECURSIVE {_VEC},
+  p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j FROM n a JOIN n b ON a.label = b.label WHERE a.vec_id = b.vec_id OR list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.5),
+  r AS (SELECT label, i, j FROM p UNION SELECT r.label, r.i, p.j FROM r JOIN p ON p.label = r.label AND p.i = r.j)
+  SELECT label, i AS vec_id, min(j) AS cluster FROM r GROUP BY label, i""")
+def label_cosine_components(t: Read):
+    """A21 within labels, whatever their size."""
+    return V.clusters(t.embeddings, "label", "vec_id", 0.5)
+
+
 @query()
 def coalesce_clusters(t: Read):
-    """Labels of a group as clusters; small ones join their nearest, then the closest until five are left."""
+    """Labels of the table as clusters; small ones join their nearest, then the closest until five are left."""
     import numpy as np
-    import pandas as pd
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        parts = [p for _, p in f.sort_values(["label", "vec_id"]).groupby("label")]
-        centres, sizes = [np.stack(p["embedding"].to_numpy()).mean(0) for p in parts], [len(p) for p in parts]
-        first = V.coalesce(centres, sizes, 3)
-        merged = [np.average([centres[k] for k in m], axis=0, weights=[sizes[k] for k in m]) for m in first]
-        final = V.agglomerate(merged, [sum(sizes[k] for k in m) for m in first], 5)
-        rows = [(v, n) for n, group in enumerate(final) for g in group for k in first[g] for v in parts[k]["vec_id"]]
-        return pd.DataFrame({"part": f["part"].iloc[0], "vec_id": [r[0] for r in rows], "cluster": [r[1] for r in rows]})
 
-    return _grouped(t).groupBy("part").applyInPandas(fold, "part long, vec_id long, cluster int")
+    sizes = {r["label"]: r["n"] for r in t.embeddings.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(sizes)
+    means = {(r["label"], r["pos"]): r["mean"] for r in V.centroids(t.embeddings, "label").collect()}  # labels x dimensions
+    wide = 1 + max((pos for _, pos in means), default=-1)
+    counts = [sizes[x] for x in labels]
+    centres = [np.array([means[x, k] for k in range(wide)]) for x in labels]
+    first = V.coalesce(centres, counts, 3)
+    merged = [np.average([centres[k] for k in m], axis=0, weights=[counts[k] for k in m]) for m in first]
+    final = V.agglomerate(merged, [sum(counts[k] for k in m) for m in first], 5)
+    placed = [(labels[k], n) for n, group in enumerate(final) for g in group for k in first[g]]
+    kind = dict(t.embeddings.dtypes)["label"]
+    return t.embeddings.join(F.broadcast(t.spark.createDataFrame(placed, f"label {kind}, cluster int")), "label").select("label", "vec_id", "cluster")
 
 
 @query()
 def facility_topk(t: Read):
-    """Five representatives of each group."""
-    return V.choose(_grouped(t), "part", "vec_id", 5)
+    """Five representatives of each label."""
+    return V.choose(t.embeddings, "label", "vec_id", 5)
 
 
 @query("SELECT a.doc_id, a.doc_id IN (SELECT doc_id FROM labels) AS in_labels FROM documents a")
