@@ -30,7 +30,12 @@ def path_of(url: Column) -> Column:
 
 
 def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) urls of rel=canonical links and meta refreshes; a path alone is on the page's own host."""
+    """(src, dst) urls of rel=canonical links and meta refreshes; targets are resolved against the page's own url.
+
+    ``//host/path`` has the page's scheme, ``/path`` its host, and what has no
+    scheme at all is relative to the page's folder, with ``.`` and ``..`` taken
+    out. Other schemes without ``://`` (mailto:) are no links, nor are ``#`` and ``?``.
+    """
     html = F.col(html_col)
     tags = F.concat(
         F.regexp_extract_all(html, F.lit(r"(?i)<link[^>]*rel=[\"']?canonical[^>]*>"), 0),
@@ -38,7 +43,17 @@ def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     )
     target = F.regexp_extract("tag", r"(?i)(?:href=[\"']?|url=[\"']?)([^\"'>\s]+)", 1)
     found = pages.where(html.isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(tags).alias("tag")).select("src", target.alias("to"))
-    return found.select("src", F.when(F.col("to").startswith("/"), F.concat(F.lit("x://"), host_of(F.col("src")), F.col("to"))).otherwise(F.col("to")).alias("dst")).where("instr(dst, '://') > 0")
+    to, src = F.col("to"), F.col("src")
+    own = F.concat(F.lit("x://"), host_of(src))
+    # The page's folder and the target's path, split at /; a last . or .. leaves a folder.
+    raw = F.concat(F.regexp_replace(path_of(src), "[^/]*$", ""), F.regexp_extract(to, "^[^?#]*", 0))
+    steps = F.filter(F.split(F.regexp_replace(raw, r"/\.{1,2}$", "$0/"), "/", -1), lambda x: x != ".")
+    root = F.array().cast("array<string>")
+    walked = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))), root, lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    relative = F.concat(own, F.lit("/"), F.array_join(F.when(F.startswith(raw, F.lit("/")), walked).otherwise(F.split(to, "/", -1)), "/"))
+    bare = ~to.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|[#?]|$)") & (F.instr(src, "://") > 0)
+    dst = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(own, to)).when(bare, relative).otherwise(to)
+    return found.select("src", dst.alias("dst")).where("instr(dst, '://') > 0")
 
 
 def _ruled(rows: DataFrame, rules: list[Rule]) -> DataFrame:
