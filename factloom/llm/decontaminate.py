@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,47 +50,49 @@ def distance_within(pattern_masks: dict[int, int], length: int, text: bytes, mos
     return best if best <= most else None
 
 
-@dataclass
 class Items:
-    """Benchmark items with the pieces of each; ``shortest`` bytes of a piece are looked up first."""
+    """Distinct benchmark texts with the ids of each, cut into pieces; ``LOOKED`` bytes of a piece are looked up first."""
 
-    ids: list[int] = field(default_factory=list)
-    texts: list[bytes] = field(default_factory=list)
-    budgets: list[int] = field(default_factory=list)
+    LOOKED = 16
 
-    def add(self, item: int, text: bytes, rate: float) -> None:
-        self.ids.append(item)
-        self.texts.append(text)
-        self.budgets.append(int(len(text) * rate))
+    def __init__(self, rate: float):
+        self.rate, self.bytes = rate, 0
+        self.ids: dict[bytes, list[int | None]] = {}
+        self._masks: dict[int, dict[int, int]] = {}
+
+    def add(self, item: int | None, text: bytes) -> None:
+        known = self.ids.setdefault(text, [])
+        if not known:
+            self.bytes += len(text)
+        known.append(item)
 
     def compile(self) -> Items:
+        self.texts = list(self.ids)
+        self.budgets = np.array([int(len(t) * self.rate) for t in self.texts], np.int64)
         pieces = []  # item, offset, length
-        for k, (text, budget) in enumerate(zip(self.texts, self.budgets, strict=True)):
+        for k, (text, budget) in enumerate(zip(self.texts, self.budgets.tolist(), strict=True)):
             n = budget + 1
             cut = [len(text) * i // n for i in range(n + 1)]
             pieces += [(k, a, b - a) for a, b in zip(cut, cut[1:]) if b > a]  # noqa: B905
         self.pieces = np.array(pieces, np.int64).reshape(-1, 3)
-        self.looked = np.minimum(self.pieces[:, 2], 16)
+        self.looked = np.minimum(self.pieces[:, 2], self.LOOKED)
         joined = np.frombuffer(b"".join(self.texts) + b" " * 8, np.uint8)
         at = np.cumsum([0, *map(len, self.texts)])[self.pieces[:, 0]] + self.pieces[:, 1]
         hashed = RangeHash(joined)
         self.short, self.full = hashed(at, at + self.looked), hashed(at, at + self.pieces[:, 2])
-        self.masks = []
-        for text in self.texts:
-            masks: dict[int, int] = {}
-            for i, byte in enumerate(text):
-                masks[byte] = masks.get(byte, 0) | 1 << i
-            self.masks.append(masks)
         return self
 
-    def hits(self, words: Words) -> list[tuple[int, int, int]]:
-        """(row, item, distance) of the rows' best matches within the items' budgets."""
-        if not words.count or not len(self.pieces):
-            return []
-        size = int(words.end[-1])
-        hashed = RangeHash(words.text)
-        row_bounds = np.append(words.start, size)[np.minimum(words.first, words.count)]  # where each row begins
-        spans: dict[tuple[int, int], list[int]] = {}
+    def masks(self, item: int) -> dict[int, int]:
+        """Where the item has each byte, made when the item is first hit."""
+        if (found := self._masks.get(item)) is None:
+            found = self._masks[item] = {}
+            for i, byte in enumerate(self.texts[item]):
+                found[byte] = found.get(byte, 0) | 1 << i
+        return found
+
+    def places(self, words: Words, hashed: RangeHash, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, piece) of every piece that stands in the texts unchanged."""
+        positions, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for length in np.unique(self.looked).tolist():
             which = np.flatnonzero(self.looked == length)
             if size < length:
@@ -98,39 +101,76 @@ class Items:
             text_hash = hashed(at, at + length)
             order = which[np.argsort(self.short[which], kind="stable")]
             keys = self.short[order]
-            seen = np.zeros(1 << 16, bool)
-            seen[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-            maybe = np.flatnonzero(seen[(text_hash & np.uint64(0xFFFF)).astype(np.int64)])
+            seen = np.zeros(1 << 20, bool)
+            seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            maybe = np.flatnonzero(seen[(text_hash & np.uint64(0xFFFFF)).astype(np.int64)])
             low = np.searchsorted(keys, text_hash[maybe], "left")
-            high = np.searchsorted(keys, text_hash[maybe], "right")
-            for position, a, b in zip(maybe[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                for piece in order[a:b].tolist():
-                    item, offset, full = self.pieces[piece].tolist()
-                    if position + full > size or hashed(np.array([position]), np.array([position + full]))[0] != self.full[piece]:
-                        continue
-                    row = int(np.searchsorted(row_bounds, position, "right")) - 1
-                    spans.setdefault((row, item), []).append(position - offset)
+            count = np.searchsorted(keys, text_hash[maybe], "right") - low
+            position = np.repeat(maybe, count)
+            piece = order[np.arange(len(position)) + np.repeat(low - np.cumsum(count) + count, count)]
+            end = position + self.pieces[piece, 2]
+            inside = end <= size
+            position, piece, end = position[inside], piece[inside], end[inside]
+            same = hashed(position, end) == self.full[piece]
+            positions.append(position[same])
+            pieces.append(piece[same])
+        return np.concatenate(positions), np.concatenate(pieces)
+
+    def hits(self, words: Words) -> list[tuple[int, int, int]]:
+        """(row, item, distance) of the rows' best matches within the items' budgets."""
+        if not words.count or not len(self.pieces):
+            return []
+        size = int(words.end[-1])
+        position, piece = self.places(words, RangeHash(words.text), size)
+        bounds = np.append(words.start, size)[np.minimum(words.first, words.count)]  # where each row begins
+        row, item = np.searchsorted(bounds, position, "right") - 1, self.pieces[piece, 0]
+        whole = self.budgets[item] == 0
         out = []
-        for (row, item), diagonals in spans.items():
-            budget, length, best = self.budgets[item], len(self.texts[item]), None
-            low, high = int(row_bounds[row]), int(row_bounds[row + 1])
-            done = -1
-            for d in sorted(set(diagonals)):
-                begin, end = max(low, d - budget), min(high, d + length + budget)
-                if end <= done:
-                    continue
-                done = end
-                found = distance_within(self.masks[item], length, words.text[begin:end].tobytes(), budget)
-                if found is not None and (best is None or found < best):
-                    best = found
-                if best == 0:
-                    break
-            if best is not None:
-                out.append((row, item, best))
-        return out
+        begins, ends = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+        begins[words.start], ends[words.end] = True, True
+        stop = position + self.pieces[piece, 2]
+        exact = np.flatnonzero(whole & begins[position] & ends[stop] & (stop <= bounds[row + 1]))
+        for r, k, p in dict.fromkeys(zip(row[exact].tolist(), item[exact].tolist(), position[exact].tolist(), strict=True)):
+            if words.text[p : p + len(self.texts[k])].tobytes() == self.texts[k]:
+                out.append((r, k, 0))
+        out = list(dict.fromkeys(out))
+        rest = np.flatnonzero(~whole)
+        diagonal = position[rest] - self.pieces[piece[rest], 1]
+        row, item = row[rest], item[rest]
+        order = np.lexsort((diagonal, item, row))
+        row, item, diagonal = row[order], item[order], diagonal[order]
+        length, budget = np.fromiter(map(len, self.texts), np.int64, len(self.texts))[item], self.budgets[item]
+        low, high = np.maximum(bounds[row], diagonal - budget), np.minimum(bounds[row + 1], diagonal + length + budget)
+        # Windows of a row and item that overlap are one; along the diagonals, both ends ascend.
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row))[: len(first)] - 1
+        best: dict[tuple[int, int], int] = {}
+        for r, k, a, b in zip(row[first].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist(), strict=True):
+            if best.get((r, k)) == 0:
+                continue
+            found = distance_within(self.masks(k), len(self.texts[k]), words.text[a:b].tobytes(), int(self.budgets[k]))
+            if found is not None:
+                best[r, k] = min(found, best.get((r, k), found))
+        return out + [(r, k, d) for (r, k), d in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, least_bytes: int = 24, block_bytes: int = 4 << 20) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, block_bytes: int) -> Iterator[Items]:
+    """The benchmark in blocks of some ``block_bytes`` of distinct texts, each ready to be looked up."""
+    block = Items(rate)
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
+        for _, _, words in plain(pa.array([r.t], pa.string())):
+            if words.count:
+                block.add(r.i, words.text[: words.end[-1]].tobytes())
+        if block.bytes >= block_bytes:
+            yield block.compile()
+            block = Items(rate)
+    if block.ids:
+        yield block.compile()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, distance) of every document that holds a benchmark item within the item's error budget.
 
     Texts are compared lower-cased, with all but letters and digits one space.
@@ -138,52 +178,59 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     split into one piece more than that, so that one piece at least stands
     unchanged in any such match; exact piece hits are looked up by hash, compared
     in full by a second hash of the whole piece, and the text around each is
-    verified by Myers' distance. Items under ``least_bytes`` must match a whole
-    document, as a phrase of a few words is no leak.
+    verified by Myers' distance, once for hits whose surroundings overlap. An item
+    too short for an edit is one piece and must stand between word boundaries.
 
-    The benchmark is taken in blocks of ``block_bytes``, the only part that the
-    driver or a broadcast holds; each block is one pass over the documents.
+    The benchmark is taken in blocks of ``block_bytes`` of distinct texts, the
+    only part that the driver or a broadcast holds; each block is one pass over
+    the documents.
 
     Null and empty items and texts match nothing. Null ids of documents return as
     null, of items too. Repeated rows of documents each return; of repeated items
     and ids each match returns. Empty tables: no rows. Other columns are ignored.
+    A text is held whole in one task's memory, at some 60 bytes a byte.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tables, out, block, held = Tables(docs.sparkSession), [], Items(), 0
+    spark, tables, out = docs.sparkSession, Tables(docs.sparkSession), []
 
     def one_pass(items: Items) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(items.compile())
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value
-            whole: dict[bytes, list[int]] = {}
-            for k, text in enumerate(items.texts):
-                if len(text) < least_bytes:
-                    whole.setdefault(text, []).append(k)
             for batch in batches:
-                found = []
-                for first, _, words in plain(batch.column(1)):
-                    found += [(first + row, items.ids[k], d) for row, k, d in items.hits(words) if len(items.texts[k]) >= least_bytes]
-                    if whole:
-                        for row in np.flatnonzero(np.diff(words.first)).tolist():
-                            a, b = int(words.start[words.first[row]]), int(words.end[words.first[row + 1] - 1])
-                            found += [(first + row, items.ids[k], 0) for k in whole.get(words.text[a:b].tobytes(), [])] if b - a < least_bytes else []
+                found = [(first + row, i, d) for first, _, words in plain(batch.column(1)) for row, k, d in items.hits(words) for i in items.ids[items.texts[k]]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], ["doc_id", "item_id", "distance"])
 
         return rows.mapInArrow(run, "doc_id long, item_id long, distance int")
 
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).toLocalIterator():
-        for _, _, words in plain(pa.array([r.t], pa.string())):
-            if words.count:
-                block.add(r.i, words.text[: words.end[-1]].tobytes(), error_rate)
-                held += len(block.texts[-1])
-        if held >= block_bytes:
-            out.append(tables.write(one_pass(block)))
-            block, held = Items(), 0
-    if block.ids or not out:
-        last = one_pass(block)
-        out.append(tables.write(last) if out else last)
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    waiting = None
+    for block in _blocks(benchmark, item_col, item_text_col, error_rate, block_bytes):
+        if waiting is not None:
+            out.append(tables.write(waiting))
+        waiting = one_pass(block)
+    last = one_pass(Items(error_rate).compile()) if waiting is None else waiting
+    return reduce(DataFrame.unionByName, out, last)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, see ``contaminated``; each is decided by itself.
+
+    One pass without a shuffle: a row goes through the blocks of the benchmark one
+    after another and stays if none is hit. Null and empty texts stay, null and
+    repeated ids don't matter. Returns the columns of ``docs``.
+    """
+    at = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, error_rate, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            items = sent.value
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                for first, _, words in plain(batch.column(at)):
+                    stays[[first + row for row, _, _ in items.hits(words)]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

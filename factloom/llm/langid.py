@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,127 +14,160 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import HOT_SHARE
 from .spans import chunks
 
 LONGEST = 3
 UNKNOWN = "und"
+#: Languages that are learned at most: those with the most labelled documents. Bounds the sample, as does the longest text in it.
+MOST_LANGUAGES, MOST_SAMPLE_BYTES = 256, 1 << 20
 #: Rows of one matrix product.
 BLOCK_ROWS = 256
 
 _CLEAN = np.full(256, 0x20, np.uint8)
 _CLEAN[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x61, 0x7B), *range(0x80, 0x100)]
+#: Bytes that are left, numbered; the first code of each n-gram length, and the number of all codes.
+_NUMBER = np.zeros(256, np.int32)
+_NUMBER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = np.arange(1, 155)
+BYTES = 155
+_FIRST = np.cumsum([0, *(BYTES**n for n in range(1, LONGEST + 1))]).astype(np.int32)
 
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(rows, code of every n-gram position ...) see ``grams``; texts are lower-cased, all but letters is a space."""
+    """(first row, end row, bytes, offsets) of texts, lower-cased; all but letters is a space."""
     lower = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
     for first, end, data, offsets in chunks(lower, rows=BLOCK_ROWS):
         yield first, end, _CLEAN[data], offsets
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, codes) of the byte n-grams of each length; a code holds its length above 24 bits of bytes."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    code = np.zeros(len(data), np.int32)
+def grams(data: np.ndarray) -> list[np.ndarray]:
+    """Codes of the byte n-grams of 1 to LONGEST bytes of one text, repeats included; a code holds its length in bytes above the n-gram's own."""
+    out, code = [], np.zeros(len(data), np.int32)
     for n in range(1, LONGEST + 1):
         if len(data) < n:
-            return
-        code = (code[: len(data) - n + 1] << 8) | data[n - 1 :]
-        inside = row[: len(code)] == row[n - 1 :]
-        yield row[: len(code)][inside], code[inside]
+            break
+        code = (code[: len(data) - n + 1] * BYTES) + _NUMBER[data[n - 1 :]]
+        out.append(code + _FIRST[n - 1])
+    return out
+
+
+class Distinct:
+    """Distinct codes of a text, without sorting: of the places that a code writes into its slot, one is left."""
+
+    def __init__(self) -> None:
+        self.slot = np.zeros(_FIRST[-1], np.int32)
+
+    def __call__(self, data: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+        if len(data) <= piece:
+            return self._once(np.concatenate([*grams(data), np.zeros(0, np.int32)]))
+        return self._once(np.concatenate([self(data[k : k + piece - LONGEST], piece) for k in range(0, len(data), piece - 2 * LONGEST)]))
+
+    def _once(self, codes: np.ndarray) -> np.ndarray:
+        places = np.arange(len(codes), dtype=np.int32)
+        self.slot[codes] = places
+        return codes[self.slot[codes] == places]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    tables: list[np.ndarray]  # of each n-gram length: code -> feature, -1 for none
-    landmarks: np.ndarray  # features x landmarks, columns of unit length
+    codes: np.ndarray  # the landmarks' n-grams, ascending; others add to a text's norm alone
+    landmarks: np.ndarray  # features x landmarks: whether a landmark has the n-gram, over the root of its number of n-grams
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(offsets) - 1, len(self.landmarks)), np.float32)
-        for table, (row, code) in zip(self.tables, grams(data, offsets)):  # noqa: B905  short texts have fewer
-            feature = table[code]
-            known = feature >= 0
-            out[row[known], feature[known]] = 1
+    @cached_property
+    def feature(self) -> np.ndarray:
+        """code -> feature, -1 for n-grams that no landmark has."""
+        out = np.full(_FIRST[-1], -1, np.int32)
+        out[self.codes] = np.arange(len(self.codes))
         return out
 
-    def scores(self, presence: np.ndarray) -> np.ndarray:
-        """Rows x languages: kernel with the landmarks, in one product, times the regression's weights, in another."""
-        norm = np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
-        return (presence @ self.landmarks) / norm @ self.weights + self.bias
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "feature"}
+
+    def kernel(self, data: np.ndarray, offsets: np.ndarray, distinct: Distinct) -> np.ndarray:
+        """Rows x landmarks: the n-grams that two texts share, over the root of the product of their numbers."""
+        rows = len(offsets) - 1
+        presence, norm = np.zeros((rows, len(self.landmarks)), np.float32), np.ones((rows, 1), np.float32)
+        for k in range(rows):
+            codes = distinct(data[offsets[k] : offsets[k + 1]])
+            found = self.feature[codes]
+            presence[k, found[found >= 0]] = 1
+            norm[k] = max(1, len(codes)) ** 0.5
+        return presence @ self.landmarks / norm
+
+    def scores(self, kernel: np.ndarray) -> np.ndarray:
+        return kernel @ self.weights + self.bias
 
 
-def fit(texts: list[str], languages: list[str], features: int = 4096, landmarks: int = 192, ridge: float = 1e-3) -> Model:
-    """Kernel: the n-grams (1 to 3 bytes) that two texts share, over the root of the product of their numbers.
+def fit(texts: list[str], languages: list[str], landmarks: int = 192, ridge: float = 1e-3) -> Model:
+    """Kernel ridge regression, one language against the rest, over Nystroem features.
 
-    N-grams are those of the ``features`` that most texts of the sample have.
+    The kernel is that of presence of all n-grams of 1 to LONGEST bytes; as only
+    those of a landmark can be shared with it, the model holds no others, and
+    none is left out.
     """
     known = sorted(set(languages))
-    blocks = list(_blocks(pa.array(texts, pa.large_string())))
-    seen: list[np.ndarray] = []
-    for n in range(LONGEST):
-        found = []
-        for _, _, data, offsets in blocks:
-            for k, (row, code) in enumerate(grams(data, offsets)):
-                if k == n:
-                    found.append(np.unique(row.astype(np.int64) << 24 | code) & 0xFFFFFF)
-        codes, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seen.append(np.stack([count, codes, np.full(len(codes), n)], 1))
-    every = np.concatenate(seen)
-    every = every[np.lexsort((every[:, 1], every[:, 2], -every[:, 0]))][:features]
-    tables = [np.full(1 << 8 * (n + 1), -1, np.int16) for n in range(LONGEST)]
-    for feature, (_, code, n) in enumerate(every):
-        tables[n][code] = feature
-    model = Model(known, tables, np.zeros((len(every), 0), np.float32), np.zeros((0, len(known))), np.zeros(len(known)))
-    x = np.concatenate([model.presence(d, o) for _, _, d, o in blocks])
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    rng = np.random.default_rng(0)
+    blocks = [(data, offsets) for _, _, data, offsets in _blocks(pa.array(texts, pa.large_string()))]
+    rng, distinct = np.random.default_rng(0), Distinct()
     chosen = np.sort(np.concatenate([rng.permutation(np.flatnonzero(np.array(languages) == lang))[: max(1, landmarks // len(known))] for lang in known]))
-    marks = x[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = values > 1e-6 * values[-1]
+    texts_of = [data[o : e] for data, offsets in blocks for o, e in zip(offsets[:-1], offsets[1:], strict=True)]
+    marks = [distinct(texts_of[k]) for k in chosen]
+    every = np.unique(np.concatenate(marks))
+    columns = np.zeros((len(every), len(marks)), np.float32)
+    for k, codes in enumerate(marks):
+        columns[np.searchsorted(every, codes), k] = 1 / max(1, len(codes)) ** 0.5
+    model = Model(known, every, columns, np.zeros((len(marks), len(known)), np.float32), np.zeros(len(known), np.float32))
+    x = np.concatenate([model.kernel(d, o, distinct) for d, o in blocks]).astype(np.float64)
+    values, vectors = np.linalg.eigh(columns.T.astype(np.float64) @ columns)
+    good = values > 1e-6 * max(values[-1], 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = x @ root
     y = np.where(np.array(languages)[:, None] == np.array(known), 1.0, -1.0)
     share = np.array([1 / (len(known) * languages.count(lang)) for lang in languages])[:, None]  # languages count alike
     mean_phi, mean_y = (share * phi).sum(0), (share * y).sum(0)
     centred = phi - mean_phi
     beta = np.linalg.solve(centred.T @ (share * centred) + ridge * np.eye(phi.shape[1]), centred.T @ (share * (y - mean_y)))
-    model.landmarks = np.ascontiguousarray(marks.T)
     model.weights = (root @ beta).astype(np.float32)
     model.bias = (mean_y - mean_phi @ beta).astype(np.float32)
     return model
 
 
 def sample(rows: DataFrame, by: str, per_class: int) -> DataFrame:
-    """Up to ``per_class`` rows of each value of ``by``, those of the smallest id hash: (doc_id, by).
+    """Up to ``per_class`` ids of each value of ``by``, those of the smallest id hash: (doc_id, by), each once.
 
-    Classes are thinned by their counts before any of their rows meet in a task.
+    Classes with over 1/512 of the rows, 512 at most by that definition, are
+    thinned by their counts before any of their rows meet in a task; of others,
+    each task sends ``per_class`` rows at most, as Spark limits ranks before it
+    shuffles.
     """
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = {r[by]: r["n"] for r in counts.where(F.col("n") > F.lit(total * HOT_SHARE)).collect()}
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.lit(0)
-    for value, n in sorted(counts.items(), key=str):
+    share = F.lit(1 << 30)
+    for value, n in sorted(hot.items(), key=str):
         share = F.when(F.col(by) == value, F.lit(int((1 << 30) * min(1.0, (2 * per_class + 20) / n)))).otherwise(share)
-    thin = rows.withColumn("mark", mark).where(F.col("mark") < share)
+    thin = rows.select("doc_id", by).withColumn("mark", mark).where(F.col("mark") < share).distinct()
     place = F.row_number().over(W.partitionBy(by).orderBy("mark", "doc_id"))
     return thin.withColumn("place", place).where(F.col("place") <= per_class).select("doc_id", by)
 
 
 def labelled(rows: DataFrame, train: DataFrame, text_col: str, per_language: int) -> DataFrame:
     """``rows`` in one pass, with lang_pred and score behind their own columns, see ``identify``; ``text_col`` itself goes."""
-    usable = train.where("lang is not null and text is not null").select("doc_id", "lang")
-    chosen = sample(usable, "lang", per_language)
-    learned = train.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()  # per_language rows of each language
-    learned.sort(key=lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.text))
+    usable = train.where("doc_id is not null and lang is not null and text is not null").where(F.octet_length("text") <= MOST_SAMPLE_BYTES).select("doc_id", "text", "lang")
+    names = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    usable = usable.where(F.col("lang").isin(names))
+    chosen = usable.join(F.broadcast(sample(usable, "lang", per_language)), ["doc_id", "lang"])  # per_language ids of each language
+    learned = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    learned.sort(key=lambda r: (r.lang, r.doc_id))
     model = fit([r.text for r in learned], [r.lang for r in learned]) if learned else None
     sent = rows.sparkSession.sparkContext.broadcast(model)
     own = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, distinct = sent.value, Distinct()
         for batch in batches:
             for first, end, data, offsets in _blocks(batch.column(len(own))):
                 kept = [batch.column(k).slice(first, end - first) for k in range(len(own))]
@@ -141,7 +175,7 @@ def labelled(rows: DataFrame, train: DataFrame, text_col: str, per_language: int
                 if model is None:
                     names, score = [UNKNOWN] * (end - first), np.zeros(end - first)
                 else:
-                    raw = 4 * model.scores(model.presence(data, offsets)).astype(np.float64)
+                    raw = 4 * model.scores(model.kernel(data, offsets, distinct)).astype(np.float64)
                     p = np.exp(raw - raw.max(1, keepdims=True))
                     best = p.argmax(1)
                     score = np.where(letters, p.max(1) / p.sum(1), 0.0)
@@ -157,13 +191,15 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     """The language of every whole text of ``docs``, learned from ``train`` (doc_id, text, lang).
 
     At most ``per_language`` documents of a language, chosen by a hash of their
-    ids, are gathered for fitting; the model's size is bounded by its parameters
-    and is broadcast.
+    ids, are gathered for fitting, of texts of up to MOST_SAMPLE_BYTES and of the
+    MOST_LANGUAGES languages with the most labelled documents; an id that is
+    repeated with one language counts once, with its smallest text. The model's
+    size is bounded by these and is broadcast. Scoring reads every whole text.
 
     Returns doc_id, lang_pred, score (0 to 1). Null text and text without a
     letter: ``und``, 0. Without any training rows: ``und``, 0 for all. Null and
     repeated ids and rows: each row returns. Empty table: no rows. Rows of
-    ``train`` with a null text or lang aren't learned. Other columns are ignored.
+    ``train`` with a null id, text or lang aren't learned. Other columns are ignored.
     """
     return labelled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), train, "text", per_language)
 

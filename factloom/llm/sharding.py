@@ -3,41 +3,61 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, groupby
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import Tables, settled
 
+#: Rows of a cell, in which slots are numbered by one task, and cells of all shards at most: their offsets are broadcast.
+CELL_ROWS, MOST_CELLS = 100_000, 1 << 20
+
+
+class Segment(NamedTuple):
+    """A run of neighbouring groups: those with keys of one prefix, between two of the largest groups, or one of these."""
+
+    after: int  # number of largest groups in front of it, itself included
+    rest: bool  # behind such a group, not the group itself
+    prefix: str
+    size: int
+    groups: int
+
 
 class Segments:
-    """Runs of neighbouring groups in their order: a prefix of their keys, bytes, number of groups, largest group.
+    """Segments in the order of their keys, and greedy fillings of shards with them.
 
-    A segment of one group is atomic. Of the others only the sums are known, so
-    there are two greedy checks: one takes them as atomic, which can only need
-    more capacity than the groups do; one as liquid, which can only need less.
+    A shard holds up to the capacity, or one group that is larger. Of a segment of
+    several groups only the sum is known, so there are two greedy checks: one
+    takes it as atomic, which can only need more capacity than its groups do; one
+    as liquid, which can only need less, as no group in it is over ``floor``.
     """
 
-    def __init__(self, rows: list[tuple[str, int, int, int]]):
+    def __init__(self, rows: list[Segment], floor: int):
         self.rows = sorted(rows)
-        self.sums = [0, *accumulate(r[1] for r in self.rows)]
-        self.total = self.sums[-1]
-        self.largest = max((r[3] for r in self.rows), default=0)
+        self.sums = [0, *accumulate(r.size for r in self.rows)]
+        self.total, self.floor = self.sums[-1], floor
 
     def cuts(self, capacity: int, shards: int, liquid: bool) -> list[int]:
         """Positions in bytes at which a greedy filling ends each shard."""
         at, out = 0, []
         for _ in range(shards):
             k = bisect_right(self.sums, at + capacity) - 1
-            at = at + capacity if liquid and k < len(self.rows) and self.rows[k][2] > 1 else max(at, self.sums[k])
-            out.append(min(at, self.total))
+            end = max(at, self.sums[k])
+            if k < len(self.rows):
+                if liquid and self.rows[k].groups > 1:
+                    end = at + capacity
+                elif self.rows[k].groups == 1 and end == at:  # larger than the capacity: alone
+                    end = self.sums[k + 1]
+            at = min(end, self.total)
+            out.append(at)
         return out
 
     def least(self, shards: int, liquid: bool) -> int:
         """The smallest capacity whose greedy filling takes everything in, by binary search."""
-        low, high = max(self.largest, -(-self.total // shards)), self.total
+        low, high = self.floor, max(self.floor, self.total)
         while low < high:
             mid = (low + high) // 2
             if self.cuts(mid, shards, liquid)[-1] >= self.total:
@@ -46,8 +66,8 @@ class Segments:
                 low = mid + 1
         return low
 
-    def unsettled(self, shards: int) -> list[str]:
-        """Prefixes of the segments whose inner cuts may matter."""
+    def unsettled(self, shards: int) -> list[Segment]:
+        """Segments of several groups whose inner cuts may matter."""
         first = self.cuts(self.least(shards, True), shards, False)
         last = self.cuts(self.least(shards, False), shards, True)
         found = set()
@@ -55,74 +75,100 @@ class Segments:
             for k in range(max(0, bisect_right(self.sums, a) - 1), len(self.rows)):
                 if self.sums[k] > b:
                     break
-                if self.rows[k][2] > 1:
-                    found.add(self.rows[k][0])
+                if self.rows[k].groups > 1:
+                    found.add(self.rows[k])
         return sorted(found)
 
 
-def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", digits: int = 4, salts: int = 256) -> DataFrame:
+def minimax_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", digits: int = 4) -> DataFrame:
     """Puts every row of ``docs`` into a shard so that the largest shard is as small as it can be.
 
     Law: ``bytes``. A row's size is its text's bytes plus 8. Groups of equal
-    texts are atomic and stand in the order of their digests. A group over the
-    mean of what is left has a shard of its own, or no law of sizes could hold;
-    the rest is cut where the smallest feasible capacity, found by binary search
-    with a greedy check, fills a shard. The driver sees sums over ranges of
-    digests (16**``digits`` at most) and has Spark split just those ranges in
-    which a cut may fall, again and again until these hold one group each: the
+    texts are atomic and stand in the order of their digests; a shard is a run of
+    neighbours in that order. The smallest feasible capacity is found by binary
+    search with a greedy check, and the cuts fall where it fills a shard. A group
+    that is larger than the capacity is a shard by itself, in its place: so the
+    largest shard is the least that any contiguous partition has, however large
+    one group is; between such groups the same search makes the shards even.
+
+    The driver sees the ``shards`` largest groups and sums over ranges of digests
+    between them (16**``digits`` at first), and has Spark split just those ranges
+    in which a cut may fall, again and again until these hold one group each: the
     capacity is exact, and no list of all groups is ever gathered.
 
-    Slots are gapless from 0 in each shard: rows spread over ``salts`` cells of a
-    shard by a hash of id and digest, cells are counted, and a row's slot is its
-    cell's offset plus its place in the cell. A group that is a third of all rows
-    is thus spread over as many tasks.
+    Slots are gapless from 0 in each shard: rows spread over cells of a shard,
+    CELL_ROWS in each or more where there would be over MOST_CELLS, by a hash of
+    their number in the written table, cells are counted, and a row's slot is its
+    cell's offset plus its place in the cell. So neither one text nor one id that
+    is a third of all rows meets in a task.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null). Null
-    text: as empty, size 8. Null and repeated ids: each row has its own slot; the
-    order among rows that agree in id and text is open. Empty table: no rows.
-    Shards may stay empty when groups are few. Other columns are ignored.
+    text: as empty, size 8. Null and repeated ids: each row has its own slot. A
+    shard's order is open. Empty table: no rows. Shards may stay empty when groups
+    are few. Other columns are ignored.
     """
     tables = Tables(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = tables.write(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.substring(F.sha2(text, 256), 1, 32).alias("key"))
+        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.substring(F.sha2(text, 256), 1, 32).alias("key"), F.monotonically_increasing_id().alias("number"))
     )
-    groups = tables.write(slim.groupBy("key").agg(F.sum("size").alias("size")))
-    heavy = [(r.key, r.size) for r in groups.orderBy(F.desc("size"), "key").limit(shards - 1).collect()]
-    left = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    own: list[str] = []
-    for key, size in heavy:
-        if size * (shards - len(own)) <= left or size == left:
-            break
-        own.append(key)
-        left -= size
-    loose = groups.where(~F.col("key").isin(own)) if own else groups
-    cut_keys = _cut_keys(loose, shards - len(own), digits)
-    shard = F.size(F.filter(F.array(*map(F.lit, cut_keys)).cast("array<string>"), lambda c: c <= F.col("key"))) if cut_keys else F.lit(0)
-    for k, key in enumerate(own):
-        shard = F.when(F.col("key") == key, F.lit(shards - 1 - k)).otherwise(shard)
-    placed = slim.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)).cast("int"))
-    cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
+    groups = tables.write(slim.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
+    cut_keys = _cut_keys(groups, shards, digits)
+    total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    tables.drop(groups)
+    cells = min(max(16, total // (shards * CELL_ROWS)), MOST_CELLS // shards)
+    shard = _below(cut_keys, F.col("key"))
+    placed = slim.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(cells)).cast("int"))
+    counted = placed.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select("shard", "cell", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("shard", "cell").orderBy("doc_id", "key")) - 1
-    slots = placed.withColumn("place", place).join(F.broadcast(offsets), ["shard", "cell"])  # shards * salts rows at most
+    offsets = counted.select("shard", "cell", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("shard", "cell").orderBy("key", "doc_id", "number")) - 1
+    slots = placed.withColumn("place", place).join(F.broadcast(offsets), ["shard", "cell"])  # MOST_CELLS rows at most
     return settled(slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")))
 
 
+def _below(keys: list[str], key: Column) -> Column:
+    """How many of ``keys``, a few, are not above ``key``."""
+    return F.size(F.filter(F.array(*map(F.lit, keys)), lambda k: k <= key)) if keys else F.lit(0)
+
+
 def _cut_keys(groups: DataFrame, shards: int, digits: int) -> list[str]:
-    """Keys (or prefixes of keys) at which the shards but the first begin."""
-    def sums(rows: DataFrame, length: int) -> list[tuple[str, int, int, int]]:
-        found = rows.groupBy(F.substring("key", 1, length).alias("prefix")).agg(F.sum("size"), F.count("*"), F.max("size"))
-        return [tuple(r) for r in found.collect()]
-
-    now = Segments(sums(groups, digits))
-    while split := now.unsettled(shards):
-        kept = [r for r in now.rows if r[0] not in set(split)]
-        for length in sorted({len(p) for p in split}):
-            few = groups.sparkSession.createDataFrame([(p,) for p in split if len(p) == length], "prefix string")
-            inner = groups.join(F.broadcast(few), F.substring("key", 1, length) == F.col("prefix"), "left_semi")
-            kept += sums(inner, length + 2)
-        now = Segments(kept)
-    cuts = now.cuts(now.least(shards, False), shards, False)[:-1]
-    return [now.rows[k][0] if (k := bisect_right(now.sums, at) - 1) < len(now.rows) else "g" for at in cuts]
+    """Keys, or what stands between keys, at which the shards but the first begin."""
+    top = groups.orderBy(F.desc("size"), "key").limit(shards + 1).collect()
+    largest = sorted(r.key for r in top[:shards])
+    floor = top[shards].size if len(top) > shards else 1  # more than ``shards`` groups can't each be a shard
+    kinds = groups.select("key", "size", _below(largest, F.col("key")).alias("after"), (~F.col("key").isin(largest)).alias("rest")) if largest else groups.select("key", "size", F.lit(0).alias("after"), F.lit(True).alias("rest"))
+
+    def sums(rows: DataFrame, length: int) -> list[Segment]:
+        found = rows.groupBy("after", "rest", F.substring("key", 1, length).alias("prefix")).agg(F.sum("size"), F.count("*"))
+        return [Segment(*r) for r in found.collect()]
+
+    def settled_segments(rows: list[Segment], shards: int) -> Segments:
+        """``rows``, split until no cut of the best filling falls inside a segment of several groups."""
+        now = Segments(rows, floor)
+        while split := now.unsettled(shards):
+            rows = [r for r in now.rows if r not in set(split)]
+            for length in sorted({len(r.prefix) for r in split}):
+                few = groups.sparkSession.createDataFrame([r[:3] for r in split if len(r.prefix) == length], "after int, rest boolean, prefix string")
+                inner = kinds.withColumn("prefix", F.substring("key", 1, length)).join(F.broadcast(few), ["prefix", "after", "rest"], "left_semi")
+                rows += sums(inner, length + 2)
+            now = Segments(rows, floor)
+        return now
+
+    def begin(r: Segment) -> str:
+        if not r.after:
+            return r.prefix
+        return max(r.prefix, largest[r.after - 1] + "~") if r.rest else largest[r.after - 1]
+
+    whole = settled_segments(sums(kinds, digits), shards)
+    capacity, starts = whole.least(shards, False), []
+    for alone, run in groupby(whole.rows, lambda r: r.groups == 1 and r.size > capacity):
+        run = list(run)
+        if alone:
+            starts += map(begin, run)
+            continue
+        ends = Segments(run, floor).cuts(capacity, shards, False)
+        used = ends.index(ends[-1]) + 1
+        part = settled_segments(run, used)  # its shards are made as even as they can be
+        starts += [begin(part.rows[bisect_right(part.sums, at) - 1]) for at in [0, *part.cuts(part.least(used, False), used, False)[:-1]] if at < part.total]
+    return starts[1:]

@@ -14,9 +14,11 @@ A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, but only on a local master, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -76,7 +78,7 @@ def folded(text: Column) -> Column:
 HOT_SHARE = 1 / 512
 
 
-def attach(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, values: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``values``, which has one row for each key and its number of rows in ``size``.
 
     Keys with over HOT_SHARE of ``total`` rows, 512 at most by that definition,
@@ -86,7 +88,7 @@ def attach(rows: DataFrame, values: DataFrame, key: str, size: str, total: int)
     hot = values.where(F.col(size) > F.lit(total * HOT_SHARE))
     rest = values.where(~(F.col(size) > F.lit(total * HOT_SHARE)))
     few = F.broadcast(hot)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    others = rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return rows.join(few, key).unionByName(others.join(rest.hint("merge"), key))
 
 
@@ -96,18 +98,20 @@ def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataF
     Alternating large and small stars (Kiveris et al., 2014): each round moves
     the larger neighbours of a node, then the smaller, to the smallest one, until
     every node hangs on its component's smallest. No round makes more edges than
-    there were; a round is a written table. Self-edges and nulls are no links.
+    there were; a star is a written table. Self-edges and nulls are no links. The
+    neighbours of a hub aren't shuffled to one task: see ``attach``.
     """
-    def stars(pairs: DataFrame, larger: bool) -> DataFrame:
+    def hung(pairs: DataFrame, least: Column, count: int) -> DataFrame:
+        return attach(pairs, pairs.groupBy("a").agg(least.alias("least"), F.count("*").alias("degree")), "a", "degree", count)
+
+    def stars(pairs: DataFrame, count: int, larger: bool) -> DataFrame:
         if larger:
             both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-            moved = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-            return moved.distinct()
+            moved = hung(both, F.least(F.min("b"), F.min("a")), 2 * count)
+            return moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("least"))
-        moved = down.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+        moved = hung(down, F.min("b"), count).where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        return moved.unionByName(down.groupBy("a").agg(F.min("b").alias("b"))).distinct()
 
     def state(table: DataFrame) -> tuple:
         return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -117,8 +121,10 @@ def components(edges: DataFrame, tables: Tables, most_rounds: int = 60) -> DataF
     for _ in range(most_rounds):
         if not was[0]:
             break
-        after = tables.write(stars(stars(now, True), False))
+        half = tables.write(stars(now, was[0], True))
+        after = tables.write(stars(half, was[0], False))
         tables.drop(now)
+        tables.drop(half)
         now, seen = after, state(after)
         if seen == was:
             break

@@ -1,4 +1,4 @@
-"""Substring dedup: repeated word windows are edges of a De Bruijn graph, paths of them are removed spans."""
+"""Substring dedup: a De Bruijn graph of word windows, compacted by joins; its paths, at their source's places, are what is removed."""
 
 from __future__ import annotations
 
@@ -9,118 +9,161 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import HOT_SHARE, Tables, attach
-from .spans import RangeHash, Words, chunks
+from .spans import RangeHash, Words, chunks, mix
 
 #: Words of the short run whose least hash anchors a window.
 ANCHOR = 5
 SALTS = 64
-#: Windows refused at once. Two different windows of one 64-bit hash are rare; more of them only take more rounds.
-MOST_CLASHES = 100_000
-
-
-def window_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, row, hash, anchor) of every window of ``k`` words; the anchor is the least hash of ANCHOR words in it."""
-    first, row = words.runs(k)
-    if not len(first):
-        return first, row, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    hashed = RangeHash(words.text)
-    return first, row, hashed(words.start[first], words.end[first + k - 1]), _least(words, hashed, k)[first]
-
-
-def _least(words: Words, hashed: RangeHash, k: int) -> np.ndarray:
-    """The least hash of the runs of ANCHOR words in the ``k`` words from each word on."""
-    g = min(ANCHOR, k)
-    out = hashed(words.start[: words.count - g + 1], words.end[g - 1 :])
-    span, width = k - g + 1, 1
-    while width < span:  # least of ``width`` neighbours, doubled up to ``span``
-        step = min(width, span - width)
-        out = np.minimum(out[:-step], out[step:])
-        width += step
-    return out
-
-
-def _run_starts(least: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where a run of windows with one anchor begins."""
-    new = np.ones(len(least), bool)
-    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
-    return np.flatnonzero(new)
-
-
-def _ids(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
-    at = pa.array(rows)
-    return [batch.column(0).take(at), batch.column(1).take(at)]
-
-
-def _without(refused: set[tuple[int, bytes]], words: Words, a: np.ndarray, b: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Paths (words a to b) cut so that no refused window of their source is in them."""
-    sources = {s for s, _ in refused}
-    out: list[tuple[int, int, int]] = []
-    for p, q, s in zip(a.tolist(), b.tolist(), source.tolist(), strict=True):
-        if s not in sources:
-            out.append((p, q, s))
-            continue
-        begin = p
-        for i in range(p, q - window + 1):
-            body = words.text[words.start[i] : words.end[i + window - 1]].tobytes()
-            if (s, hashlib.sha256(body).digest()) in refused:
-                if i > begin:
-                    out.append((begin, i - 1 + window, s))
-                begin = i + 1
-        if begin <= q - window:
-            out.append((begin, q, s))
-    cut = np.array(out, np.int64).reshape(-1, 3)
-    return cut[:, 0], cut[:, 1], cut[:, 2]
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep_text: bool = False) -> DataFrame:
+#: Places of a source that one task chains; joins chain what is beyond.
+BLOCK = 4096
+#: Spans of one source that one row of the check holds, about.
+CHECKED_TOGETHER = 4096
+EDGE = ["left", "right"]
+
+
+class Windows:
+    """Windows of ``k`` words of a chunk of rows, anchored; hashes keep ``bits`` bits (tests take few, so that they clash)."""
+
+    def __init__(self, words: Words, k: int, bits: int = 64):
+        self.words, self.k, self.mask = words, k, np.uint64((1 << bits) - 1)
+        self.hashed = RangeHash(words.text)
+        self.first, self.row = words.runs(k)
+        least = self._least()[self.first] if len(self.first) else np.zeros(0, np.uint64)
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | (self.row[1:] != self.row[:-1]) | (self.first[1:] != self.first[:-1] + 1)
+        self.runs = np.flatnonzero(new)  # where runs of windows with one anchor begin
+        self.anchors = least[self.runs]
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words from ``a`` to ``b``."""
+        return self.hashed(self.words.start[a], self.words.end[b]) & self.mask
+
+    def _least(self) -> np.ndarray:
+        """The least hash of the runs of ANCHOR words in the ``k`` words from each word on."""
+        g = min(ANCHOR, self.k)
+        at = np.arange(self.words.count - g + 1)
+        out = self.hash(at, at + g - 1)
+        span, width = self.k - g + 1, 1
+        while width < span:  # least of ``width`` neighbours, doubled up to ``span``
+            step = min(width, span - width)
+            out = np.minimum(out[:-step], out[step:])
+            width += step
+        return out
+
+    def nodes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows, the nodes that they join as edges: their first k-1 words and their last."""
+        first = self.first[which]
+        return self.hash(first, first + self.k - 2), self.hash(first + 1, first + self.k - 1)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _lists(column: pa.Array, begin: int, end: int) -> tuple[pa.Array, np.ndarray]:
+    """(values, their rows) of a slice of a list column."""
+    own = column.slice(begin, end - begin)
+    return own.flatten(), np.repeat(np.arange(end - begin), np.asarray(own.value_lengths().fill_null(0)))
+
+
+def _compacted(edges: DataFrame, tables: Tables) -> DataFrame:
+    """``edges`` (left, right, source, source_place, n) with ``path``: a number of the nonbranching path that each lies on.
+
+    A node with one edge in and one edge out joins these two. Edges whose source
+    places follow one another chain in the order of their source, BLOCK places in
+    a task; the pieces then chain over their end nodes by joins in which every
+    piece's pointer to the piece before it doubles its reach each round, until all
+    point to the head of their path. A ring has no head: its pieces get numbers of some of them.
+    """
+    ways = edges.select(F.col("left").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("right").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    branching = ways.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or in > 1").select(F.col("node").alias("right"), F.lit(True).alias("branches"))
+    w = W.partitionBy("source", "block").orderBy("source_place", *EDGE)
+    before = lambda c: F.lag(c).over(w)
+    follows = (before("source_place") == F.col("source_place") - 1) & (before("right") == F.col("left")) & ~before("branches")
+    marked = edges.join(branching, "right", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).withColumn("block", F.floor(F.col("source_place") / BLOCK))
+    marked = marked.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("piece", F.sum("new").over(w))
+    named = tables.write(marked.select(*edges.columns, "branches", F.xxhash64("source", "block", "piece").alias("piece")))
+    ends = named.groupBy("piece").agg(F.min_by("left", "source_place").alias("begin"), F.max_by("right", "source_place").alias("end"), F.max_by("branches", "source_place").alias("branches"))
+    ends = tables.write(ends)
+    before_it = ends.where("not branches").select(F.col("end").alias("begin"), F.col("piece").alias("up"))
+    up = tables.write(ends.join(before_it, "begin").where("piece <> up").select("piece", "up"))
+    most = max(1, up.count()).bit_length() + 1
+    for _ in range(most):
+        further = up.select(F.col("piece").alias("up"), F.col("up").alias("over"))
+        after = tables.write(up.join(further, "up", "left").select("piece", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
+        moved = after.where("moved").limit(1).count()
+        tables.drop(up)
+        up = after.drop("moved")
+        up.folder = after.folder
+        if not moved:
+            break
+    return named.drop("branches").join(up, "piece", "left").select(*edges.columns, F.coalesce("up", "piece").alias("path"))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, keep_text: bool = False, hash_bits: int = 64) -> DataFrame:
     """Removes words of windows that also start in a document with a smaller id.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``; a window of ``window`` words is an edge from
-    its first words to its last. All windows of the input are judged:
+    Words are ``[^\\x20\\x09-\\x0D]+``; a window of ``window`` words (2 at least) is
+    an edge of a De Bruijn graph, from the node of its first words to that of its
+    last. All windows of the input are judged:
 
     1. Anchors. Equal windows have the same least 5-word hash, their anchor. Of
        all anchors (one per run of some five windows) only those in two documents
        or more can belong to repeated edges.
-    2. Edges. The windows of such runs are hashed and grouped; an edge in two
-       documents or more is repeated, and its source is its smallest document.
-    3. Paths. In a document, neighbouring repeated edges of one smaller source
-       compact into one path; a path ends where the edges end or the source
-       branches off.
-    4. Verification. Each distinct path of a source is looked up in that source's
-       own text, word for word; windows that aren't there (a clash of hashes) are
-       refused and the documents are made again without them.
-
-    Groups of a hot anchor or edge are salted or broadcast by their counts, and
-    hot paths are verified once; no step gathers the occurrences of a key.
+    2. Edges. The windows of such runs become edges, named by the hashes of their
+       two nodes; an edge in two documents or more is repeated. Its source is its
+       first place in the document with the smallest id.
+    3. Compaction. Nonbranching paths of repeated edges compact, see ``_compacted``.
+    4. Spans. In a document, neighbouring windows of one path whose source places
+       follow one another too are a span.
+    5. Verification. Each distinct span is held against its source, word for word
+       by SHA-256, at its place there. Where two different windows have one name, a
+       span fails; all edges in its range of the source are then told apart by the
+       SHA-256 of their words, and get sources of their own.
+
+    Groups of a hot anchor are salted by document, those of hot edges and sources
+    are split by their counts; no step gathers the occurrences of a key.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one
-    space), and with ``keep_text`` kept. Null text: no words. Null id: neither
-    removed from nor a source. Rows that repeat an id aren't each other's source;
-    each returns. Empty table: no rows. Other columns are ignored. A text is held
-    whole in one task's memory, at some 100 bytes a byte.
+    space), n_paths (distinct paths that words were removed along), and with
+    ``keep_text`` kept. Null text: no words. Null id: neither removed from nor a
+    source. Rows that repeat an id aren't each other's source; each returns. Empty
+    table: no rows. Other columns are ignored. A text is held whole in one task's
+    memory, at some 100 bytes a byte.
     """
+    if window < 2:
+        raise ValueError("a window has two words at least")
     spark = docs.sparkSession
     tables = Tables(spark)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    repeated_ids = bool(named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+    ids = named.where("doc_id is not null").groupBy("doc_id").count()
+    low, high, most = ids.agg(F.min("doc_id"), F.max("doc_id"), F.max("count")).first()
+    repeated_ids = (most or 0) > 1
     rows = named.select("doc_id", (F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated_ids else F.lit(0).cast("long")).alias("copy"), "text")
     real = rows.where("doc_id is not null")
+    # A place in a document as one number, whose least is the first place in the smallest document.
+    kind = "long" if (high or 0) - (low or 0) < 1 << 32 else "decimal(38,0)"
+    wide = F.lit(1 << 31).cast(kind)
+    at = (F.col("doc_id").cast(kind) - F.lit(low or 0).cast(kind)) * wide + F.col("place").cast(kind)
+    source, source_place = (F.floor(F.col("at") / wide).cast("long") if kind != "long" else F.shiftright("at", 31)) + F.lit(low or 0), (F.col("at") % wide).cast("int").alias("source_place")
 
     def anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, _, data, offsets in chunks(batch.column(2)):
-                first, row, _, least = window_hashes(words := Words(data, offsets), window)
-                at = _run_starts(least, row, first)
-                mark, row, place = least[at], row[at], first[at] - words.first[row[at]]
+            for base, end, data, offsets in chunks(batch.column(2)):
+                w = Windows(words := Words(data, offsets), window, hash_bits)
+                mark, row, place = w.anchors, w.row[w.runs], w.first[w.runs] - words.first[w.row[w.runs]]
                 if hot is None:
                     pair = np.lexsort((mark, row))
                     once = pair[np.append(True, (np.diff(row[pair]) != 0) | (mark[pair][1:] != mark[pair][:-1]))] if len(pair) else pair
-                    yield pa.RecordBatch.from_arrays([pa.array(mark[once].view(np.int64)), batch.column(0).take(pa.array(row[once] + base))], ["anchor", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([_signed(mark[once]), batch.column(0).take(pa.array(row[once] + base))], ["anchor", "doc_id"])
                 else:
-                    salt = np.where(np.isin(mark, hot), place % SALTS + 1, 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(salt), *_ids(batch, row + base), pa.array(place.astype(np.int32))], ["anchor", "salt", "doc_id", "copy", "place"])
+                    own = mix(batch.column(0).slice(base, end - base).to_numpy().view(np.uint64) + batch.column(1).slice(base, end - base).to_numpy().view(np.uint64))
+                    salt = np.where(np.isin(mark, hot), (own % np.uint64(SALTS))[row].astype(np.int64) + 1, 0).astype(np.int32)
+                    to = pa.array(row + base)
+                    yield pa.RecordBatch.from_arrays([_signed(mark), pa.array(salt), batch.column(0).take(to), batch.column(1).take(to), pa.array(place.astype(np.int32))], ["anchor", "salt", "doc_id", "copy", "place"])
 
     shared = tables.write(
         real.mapInArrow(lambda batches: anchors(batches, None), "anchor long, doc_id long")
@@ -134,56 +177,60 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marked.join(shared.select("anchor", F.explode(salts).alias("salt")).hint("shuffle_hash"), ["anchor", "salt"])
         .groupBy("doc_id", "copy").agg(F.collect_list("place").alias("places"))
     )
+    tables.drop(shared)
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of the runs whose first places are listed."""
         for batch in batches:
-            places = batch.column(3)
             for base, end, data, offsets in chunks(batch.column(2)):
-                first, row, hashes, least = window_hashes(words := Words(data, offsets), window)
-                at = _run_starts(least, row, first)
-                own = places.slice(base, end - base)
-                flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                owner = np.repeat(np.arange(end - base), np.asarray(own.value_lengths().fill_null(0)))
-                chosen = np.isin(first[at], flat + words.first[owner])
-                keep = np.repeat(chosen, np.diff(np.append(at, len(first))))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), *_ids(batch, row[keep] + base), pa.array((first - words.first[row])[keep].astype(np.int32))], ["edge", "doc_id", "copy", "place"])
-
-    occurrences = tables.write(real.join(candidates, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places").mapInArrow(edges, "edge long, doc_id long, copy long, place int"))
-    tables.drop(candidates)
-    repeated = tables.write(
-        occurrences.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("source < high").select("edge", "source", "n")
-    )
-    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                w = Windows(words := Words(data, offsets), window, hash_bits)
+                flat, owner = _lists(batch.column(3), base, end)
+                chosen = np.isin(w.first[w.runs], flat.to_numpy(zero_copy_only=False).astype(np.int64) + words.first[owner])
+                keep = np.flatnonzero(np.repeat(chosen, np.diff(np.append(w.runs, len(w.first)))))
+                left, right = w.nodes(keep)
+                to = pa.array(w.row[keep] + base)
+                yield pa.RecordBatch.from_arrays([_signed(left), _signed(right), batch.column(0).take(to), batch.column(1).take(to), pa.array((w.first[keep] - words.first[w.row[keep]]).astype(np.int32))], [*EDGE, "doc_id", "copy", "place"])
+
+    listed = real.join(candidates, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places")
+    found = listed.mapInArrow(windows, "left long, right long, doc_id long, copy long, place int")
+
+    def sourced(occurrences: DataFrame, *more: str) -> DataFrame:
+        """Repeated edges, told apart by ``more`` as well, with their sources."""
+        grouped = occurrences.groupBy(*EDGE, *more).agg(F.min(at).alias("at"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        return grouped.select(*EDGE, *more, source.alias("source"), source_place, "high", "n").where("source < high").drop("high")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, copy, place, source = (batch.column(k).to_numpy() for k in range(4))
+            doc, copy, place, source, there, path = (batch.column(k).to_numpy() for k in range(6))
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (source[1:] != source[:-1]) | (place[1:] > place[:-1] + 1)
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(doc))[: len(at)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], copy[at], source[at], place[at], place[last])], ["doc_id", "copy", "source", "begin", "last"])
-
-    spans = tables.write(
-        attach(occurrences, repeated, "edge", "n", total).where("doc_id > source").select("doc_id", "copy", "place", "source")
-        .repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place")
-        .mapInArrow(paths, "doc_id long, copy long, source long, begin int, last int")
-    )
-    tables.drop(occurrences)
+            new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (source[1:] != source[:-1]) | (path[1:] != path[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(doc))[: len(first)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], copy[first], source[first], there[first], path[first], place[first], place[last])], ["doc_id", "copy", "source", "source_place", "path", "begin", "last"])
+
+    def spans_of(located: DataFrame) -> DataFrame:
+        return tables.write(
+            located.where("doc_id > source").select("doc_id", "copy", "place", "source", "source_place", "path")
+            .repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place")
+            .mapInArrow(paths, "doc_id long, copy long, source long, source_place int, path long, begin int, last int")
+        )
+
+    occurrences = tables.write(found)
+    repeated = tables.write(sourced(occurrences))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    edges = tables.write(_compacted(repeated, tables))
     tables.drop(repeated)
+    spans = spans_of(attach(occurrences, edges, EDGE, "n", total))
+    tables.drop(occurrences)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each row its result; for each of its paths the words that its source must have."""
+        """For each row its result; for each of its spans the words that its source must have."""
         for batch in batches:
-            own = batch.column(3)
             for base, end, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets)
-                held = own.slice(base, end - base)
-                flat, owner = held.flatten(), np.repeat(np.arange(end - base), np.asarray(held.value_lengths().fill_null(0)))
-                source, begin, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                flat, owner = _lists(batch.column(3), base, end)
+                source, there, path, begin, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 a, b = words.first[owner] + begin, words.first[owner] + last + window
-                if refused:
-                    a, b, source = _without(refused, words, a, b, source, window)
                 change = np.bincount(a, minlength=words.count + 1) - np.bincount(b, minlength=words.count + 1)
                 gone = np.cumsum(change)[: words.count] > 0
                 sizes = words.end - words.start + 1
@@ -191,53 +238,81 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 bounds = np.concatenate([[0], np.cumsum(np.where(gone, 0, sizes))])[words.first]
                 kept = [text[p : max(p, q - 1)].tobytes() for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 sums = np.concatenate([[0], np.cumsum(gone)])[words.first]
+                order = np.lexsort((path, owner))
+                fresh = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(path[order]) != 0))[: len(order)]
                 n, none = end - base, pa.nulls
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), pa.array(np.diff(words.first)), pa.array(np.diff(sums)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept] if keep_text else [None] * n, pa.string()), none(n, pa.int64()), none(n, pa.binary())], names)
-                bodies, wanted = {}, []
-                for s, p, q in zip(source.tolist(), words.start[a].tolist() if len(a) else [], words.end[b - 1].tolist() if len(b) else [], strict=True):
-                    body = words.text[p:q].tobytes()
-                    if bodies.setdefault((s, body), len(wanted)) == len(wanted):
-                        wanted.append((s, body))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), pa.array(np.diff(words.first)), pa.array(np.diff(sums)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(np.bincount(owner[order][fresh], minlength=n)[:n]), pa.array([k.decode() for k in kept] if keep_text else [None] * n, pa.string()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary())], names)
+                wanted = {}
+                for s, t, length, p, q in zip(source.tolist(), there.tolist(), (b - a).tolist(), words.start[a].tolist() if len(a) else [], words.end[b - 1].tolist() if len(b) else [], strict=True):
+                    wanted[s, t, length, hashlib.sha256(words.text[p:q]).digest()] = None
                 n = len(wanted)
-                yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.string()), none(n, pa.string()), pa.array([s for s, _ in wanted], pa.int64()), pa.array([w for _, w in wanted], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.string()), none(n, pa.int64()), none(n, pa.string()), pa.array([w[0] for w in wanted], pa.int64()), pa.array([w[1] for w in wanted], pa.int32()), pa.array([w[2] for w in wanted], pa.int32()), pa.array([w[3] for w in wanted], pa.binary())], names)
 
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the bodies that the source's text doesn't have."""
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether the source's text has the words of each span at its place."""
         for batch in batches:
-            found = []
+            out = []
             for k, wanted in enumerate(batch.column(2).to_pylist()):
-                whole = None
-                for _, _, data, offsets in chunks(batch.column(1).slice(k, 1)):
-                    whole = Words(data, offsets)
-                text = b" " + whole.text.tobytes() if whole is not None else b""
-                known: set[bytes] | None = None
-                for body in wanted:
-                    if b" " + body + b" " in text:
-                        continue
-                    if known is None:
-                        parts = text.split()
-                        known = {b" ".join(parts[i : i + window]) for i in range(len(parts) - window + 1)}
-                    parts = body.split(b" ")
-                    found += [(batch.column(0)[k].as_py(), hashlib.sha256(w).digest()) for i in range(len(parts) - window + 1) if (w := b" ".join(parts[i : i + window])) not in known]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["source", "digest"])
-
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "source", "body"]
-    by_row = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("source", "begin", "last")).alias("spans"))
-    sources = real.groupBy("doc_id").agg(F.array_distinct(F.collect_list("text")).alias("texts")) if repeated_ids else real.select("doc_id", F.array("text").alias("texts"))
-    refused: set[tuple[int, bytes]] = set()
-    while True:
-        made = tables.write(
-            rows.join(by_row, ["doc_id", "copy"], "left").select("doc_id", "copy", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<source: long, begin: int, last: int>>)")).alias("spans"))
-            .mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source long, body binary")
+                words = next((Words(data, offsets) for _, _, data, offsets in chunks(batch.column(1).slice(k, 1))), None)
+                s = batch.column(0)[k].as_py()
+                for w in wanted:
+                    t, end = w["source_place"], w["source_place"] + w["n"]
+                    out.append((s, t, w["n"], w["digest"], words is not None and end <= words.count and hashlib.sha256(words.text[words.start[t] : words.end[end - 1]]).digest() == w["digest"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()))], ["source", "source_place", "n", "digest", "same"])
+
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", "kept", "source", "source_place", "n", "digest"]
+
+    def made_of(spans: DataFrame) -> DataFrame:
+        by_row = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("source", "source_place", "path", "begin", "last")).alias("spans"))
+        none = F.expr("cast(array() as array<struct<source: long, source_place: int, path: long, begin: int, last: int>>)")
+        return tables.write(
+            rows.join(by_row, ["doc_id", "copy"], "left").select("doc_id", "copy", "text", F.coalesce("spans", none).alias("spans"))
+            .mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_paths long, kept string, source long, source_place int, n int, digest binary")
             .withColumn("request", F.col("source").isNotNull())
         )
-        wanted = (
-            made.where("request").groupBy("source", F.sha2("body", 256).alias("digest")).agg(F.first("body").alias("body"))
-            .groupBy("source", F.substring("digest", 1, 1).alias("part")).agg(F.collect_list("body").alias("bodies"))
-        )
-        checked = wanted.join(sources, wanted["source"] == sources["doc_id"]).select("source", F.array_join("texts", "\n").alias("text"), "bodies")
-        clashes = {(r.source, bytes(r.digest)) for r in checked.mapInArrow(missing, "source long, digest binary").distinct().limit(MOST_CLASHES).collect()}
-        if not clashes:
-            break
-        refused |= clashes
-    return made.where("not request").select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else []))
+
+    made = made_of(spans)
+    request = ["source", "source_place", "n", "digest"]
+    requests = tables.write(made.where("request").select(*request).distinct())
+    by_source = requests.groupBy("source").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("source_place", "n", "digest"), F.ceil(F.col("size") / CHECKED_TOGETHER)).alias("part")
+    together = attach(requests, by_source, "source", "size", requests.count()).select(*request, part).groupBy("source", "part").agg(F.collect_list(F.struct("source_place", "n", "digest")).alias("wanted"))
+    held = real.select(F.col("doc_id").alias("source"), "text")
+    answers = together.join(held.distinct() if repeated_ids else held, "source").select("source", "text", "wanted").mapInArrow(checked, "source long, source_place int, n int, digest binary, same boolean")
+    failed = tables.write(answers.groupBy(*request).agg(F.max("same").alias("same")).where("not same").select("source", "source_place", "n").distinct() if repeated_ids else answers.where("not same").select("source", "source_place", "n").distinct())
+    tables.drop(requests)
+    if failed.take(1):
+        tables.drop(made)
+        spans = spans_of(_told_apart(edges, failed, tables.write(found), real, sourced, window, tables))
+        made = made_of(spans)
+    return made.where("not request").select("doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", *(["kept"] if keep_text else []))
+
+
+def _told_apart(edges: DataFrame, failed: DataFrame, occurrences: DataFrame, real: DataFrame, sourced, window: int, tables: Tables) -> DataFrame:
+    """Occurrences with sources; those of edges in the failed ranges (source, source_place, n words) are grouped by the SHA-256 of their words too."""
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, end, data, offsets in chunks(batch.column(2)):
+                words = Words(data, offsets)
+                flat, owner = _lists(batch.column(3), base, end)
+                place = flat.field(2).to_numpy(zero_copy_only=False)
+                first = words.first[owner] + place
+                found = [hashlib.sha256(words.text[p:q]).digest() for p, q in zip(words.start[first].tolist() if len(first) else [], words.end[first + window - 1].tolist() if len(first) else [], strict=True)]
+                to = pa.array(owner + base)
+                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), batch.column(0).take(to), batch.column(1).take(to), pa.array(place), pa.array(found, pa.binary())], [*EDGE, "doc_id", "copy", "place", "digest"])
+
+    near = F.floor(F.col("source_place") / BLOCK)
+    last = F.col("source_place") + F.col("n") - window
+    ranges = failed.select("source", F.col("source_place").alias("from"), last.alias("to"), F.explode(F.sequence(near, F.floor(last / BLOCK))).alias("block"))
+    doubtful = edges.withColumn("block", near).join(ranges, ["source", "block"]).where(F.col("source_place").between(F.col("from"), F.col("to"))).select(*EDGE).distinct()
+    doubtful = tables.write(doubtful)
+    mine = occurrences.join(doubtful, EDGE, "left_semi").groupBy("doc_id", "copy").agg(F.collect_list(F.struct(*EDGE, "place")).alias("places"))
+    texts = real.join(mine, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places")
+    apart = tables.write(texts.mapInArrow(digests, "left long, right long, doc_id long, copy long, place int, digest binary"))
+    key = [*EDGE, "digest"]
+    exact = tables.write(sourced(apart, "digest"))
+    sure = edges.join(doubtful, EDGE, "left_anti")
+    columns = ["doc_id", "copy", "place", "source", "source_place", "path"]
+    total = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = attach(apart, exact.withColumn("path", F.xxhash64(*key)), key, "n", total(exact)).select(*columns)
+    return attach(occurrences, sure, EDGE, "n", total(sure)).select(*columns).unionByName(again)

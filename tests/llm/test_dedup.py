@@ -11,7 +11,7 @@ from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.shared import Tables, attach, components
 from factloom.llm.simhash_dedup import fingerprints_of, links, near_groups
 from factloom.llm.spans import chunks, xxh64
-from factloom.llm.substring_dedup import dedup_substrings
+from factloom.llm.substring_dedup import _compacted, dedup_substrings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -173,11 +173,57 @@ def test_substrings_match_a_plain_version(documents, rows_of):
             words += [f"u{random.randrange(9)}" for _ in range(random.randrange(20))] + random.choice(passages)
         rows.append((20 + i, random.choice([" ", "\n", " \t"]).join(words)))
     rows += [rows[-1], (25, "a text that repeats an id " + " ".join(passages[3])), (5, "same "), (6, "É " * 20), (7, "É " * 14)]
-    for window in (13, 4):
-        assert rows_of(dedup_substrings(documents(rows), window=window)) == plain_substrings(rows, window)
+    four = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    for how in ({}, {"window": 4}, {"hash_bits": 6}, {"window": 4, "hash_bits": 2}):
+        assert rows_of(dedup_substrings(documents(rows), **how).select(*four)) == plain_substrings(rows, how.get("window", 13)), how
+    far = [(None if i is None else i * (1 << 56) - (1 << 61), t) for i, t in rows]
+    assert rows_of(dedup_substrings(documents(far)).select(*four)) == plain_substrings(far, 13)
     assert dedup_substrings(documents([])).count() == 0
 
 
+def test_clashing_windows_are_told_apart(documents, rows_of):
+    """Documents share passages in pairs; with six bits of hash, nearly every window has the name of another one."""
+    random.seed(2)
+    rows = []
+    for k in range(20):
+        passage = [f"s{k}x{j}" for j in range(25)]
+        for i in (k, 39 - k):
+            rows.append((i, " ".join([f"d{i}y{j}" for j in range(7)] + passage + [f"d{i}z{j}" for j in range(7)])))
+    want = plain_substrings(rows, 13)
+    assert sum(r[2] for r in want) == 20 * 25
+    assert rows_of(dedup_substrings(documents(rows), hash_bits=6).select("doc_id", "n_words", "n_removed", "kept_sha256")) == want
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    """a-b-c-d and x-b-c-y share b-c: the nodes around it branch, and the long tail compacts over blocks and sources."""
+    def edge(left, right, source, place):
+        return (left, right, source, place, 2)
+
+    chain = [edge(100 + k, 101 + k, 1 if k < 30 else 2, k if k < 30 else 5000 + k) for k in range(60)]
+    ring = [edge(900, 901, 7, 0), edge(901, 902, 8, 0), edge(902, 900, 9, 0)]
+    fork = [edge(1, 2, 3, 0), edge(2, 3, 3, 1), edge(3, 4, 3, 2), edge(10, 2, 4, 0), edge(3, 11, 4, 2)]
+    far = [edge(300 + k, 301 + k, 5, 4090 + k) for k in range(12)]
+    edges = spark.createDataFrame([*chain, *ring, *fork, *far], "left long, right long, source long, source_place int, n long")
+    path = {(r.left, r.right): r.path for r in _compacted(edges, Tables(spark)).collect()}
+    assert len(path) == len(edges.collect())
+    for one in (chain, far):
+        assert len({path[e[:2]] for e in one}) == 1
+    assert len({path[e[:2]] for e in fork}) == 5
+
+
+def test_hot_anchors_are_salted_by_document(spark):
+    """A header stands at one place of every document; its occurrences are dealt to many salts."""
+    from factloom.llm import substring_dedup as S
+
+    header = " ".join(f"h{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, f"{header} {i} " + " ".join(f"u{i}x{j}" for j in range(9))) for i in range(300)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in S.dedup_substrings(docs).collect()}
+    assert got == {0: 0} | {i: 20 for i in range(1, 300)}
+    from factloom.llm.spans import mix
+
+    assert len(set((mix(np.arange(300).astype(np.uint64)) % np.uint64(S.SALTS)).tolist())) > 50
+
+
 def test_substrings_return_the_kept_text(documents):
     body = " ".join(f"w{i}" for i in range(20))
     got = {r.doc_id: r.kept for r in dedup_substrings(documents([(1, body), (2, f"new {body}\nend")]), keep_text=True).collect()}
