@@ -342,12 +342,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536)
 
 
 class Encoder:
-    """Encodes and decodes texts; words are found in the lexicon or merged."""
+    """Encodes texts; words are found in the lexicon or merged."""
 
     def __init__(self, vocabulary: Vocabulary, image: bytes):
         self.vocabulary, self.lexicon = vocabulary, Lexicon(image)
         self.find = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.cache: dict[str, tuple[str, bytes]] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
 
     def words(self, text: str) -> list[str]:
@@ -364,16 +364,15 @@ class Encoder:
         short = [k for k, p in enumerate(places) if p < 0 and 0 < len(raw[k]) <= 64]
         for k, ids in zip(short, v.merge_all([raw[k] for k in short]), strict=True):
             known[k] = ids
-        bytes_of = v.bytes_of.__getitem__
         for word, b, ids in zip(words, raw, known, strict=True):
             if word in v.special:
                 ids = [v.special[word]]
             elif ids is None:
                 ids = v.merge(b)
-            self.cache[word] = ",".join(map(str, ids)), len(ids), b"".join(map(bytes_of, ids))
+            self.cache[word] = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
 
-    def rows(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, bytes decoded from the ids) of each text."""
+    def rows(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(ids joined by commas, ids as 32-bit integers) of each text."""
         split = [self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -383,48 +382,95 @@ class Encoder:
         get = self.cache.__getitem__
         for words in split:
             found = [get(w) for w in words]
-            yield sum([x[1] for x in found]), ",".join([x[0] for x in found]), b"".join([x[2] for x in found])
+            yield ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
 
-_encoders: dict[str, Encoder] = {}
+class Decoder:
+    """Texts of lists of ids."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.token = vocabulary.bytes_of.__getitem__
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536, keep_ids: bool = False) -> DataFrame:
-    """Byte-level BPE ids of every whole text, and what they decode to.
+    def __call__(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.token, ids.tolist())).decode("utf-8", "replace")
 
-    The words of all documents are counted; the most frequent, ``lexicon_words``
-    at most, are merged once and compiled with their ids into a minimal acyclic
-    automaton with shared suffixes. Its image, bounded by that number, is
-    broadcast and memory-mapped by each worker; any other word is merged exactly.
-    Special tokens' strings are special tokens, as the tokenizers library has it.
-    The vocabulary's file is read on the driver only.
 
-    Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas),
-    decoded_sha256, and with ``keep_ids`` ids and decoded. Null text: as empty.
-    Null and repeated ids and rows: each row returns. Empty table: no rows. Other
-    columns are ignored.
-    """
+_encoders: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32), np.frombuffer(b"".join(ids), np.int32))
+
+
+def _encoded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, lexicon_words: int, columns: dict[str, str]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = Vocabulary(vocabulary_path)
     words = frequent_words(docs, text_col, lexicon_words)
     image = build_lexicon({w: vocabulary.merge(w) for w in words})
     name = hashlib.sha256(image).hexdigest()
     sent = spark.sparkContext.broadcast((vocabulary, image))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _encoders:
             _encoders.clear()
-            _encoders[name] = Encoder(*sent.value)
-        encoder = _encoders[name]
-        sha = lambda b: hashlib.sha256(b).hexdigest()
+            _encoders[name] = Encoder(*sent.value), Decoder(sent.value[0])
+        encoder, decoder = _encoders[name]
+        made_by = {
+            "n_tokens": lambda made: pa.array([len(i) // 4 for _, i in made], pa.int64()),
+            "ids": lambda made: _lists([i for _, i in made]),
+            "ids_sha256": lambda made: pa.array([sha(text.encode()) for text, _ in made]),
+            "decoded_sha256": lambda made: pa.array([sha(decoder(np.frombuffer(i, np.int32)).encode()) for _, i in made]),
+        }
         for batch in batches:
             texts = batch.column(1)
             for first, end, _, _ in chunks(texts):
                 made = list(encoder.rows(texts.slice(first, end - first).to_pylist()))
-                columns = [batch.column(0).slice(first, end - first), pa.array([n for n, _, _ in made], pa.int64()), pa.array([sha(i.encode()) for _, i, _ in made]), pa.array([sha(d.decode("utf-8", "replace").encode()) for _, _, d in made])]
-                if keep_ids:
-                    columns += [pa.array([[int(x) for x in i.split(",")] if i else [] for _, i, _ in made], pa.list_(pa.int32())), pa.array([d.decode("utf-8", "replace") for _, _, d in made])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(made_by[c](made) for c in columns)], ["doc_id", *columns])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in {"doc_id": "long", **columns}.items()))
+
+
+def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536) -> DataFrame:
+    """Byte-level BPE ids of every whole text.
+
+    The words of all documents are counted; the most frequent, ``lexicon_words``
+    at most, are merged once and compiled with their ids into a minimal acyclic
+    automaton with shared suffixes. Its image, bounded by that number, is
+    broadcast and memory-mapped by each worker from a file that is unlinked at
+    once, so a lost worker loses nothing; any other word is merged exactly.
+    Special tokens' strings are special tokens, as the tokenizers library has it.
+    The vocabulary's file is read on the driver only.
+
+    Returns doc_id, n_tokens, ids. Null text: as empty. Null and repeated ids and
+    rows: each row returns. Empty table: no rows. Other columns are ignored.
+    """
+    return _encoded(docs, vocabulary_path, id_col, text_col, lexicon_words, {"n_tokens": "long", "ids": "array<int>"})
+
+
+def decode_documents(encoded: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """The texts of lists of ids, special tokens too; bytes that aren't UTF-8 are replaced as the tokenizers library does.
+
+    Returns doc_id, text. Null list: null; empty list: empty. An id that the
+    vocabulary lacks, or a null in a list, is an error. Null and repeated ids and
+    rows: each row returns. Empty table: no rows. Other columns are ignored.
+    """
+    sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(sent.value)
+        for batch in batches:
+            texts = [None if ids is None else decoder(np.array(ids, np.int64)) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
+def round_trips(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536) -> DataFrame:
+    """Digests of what ``encode_documents`` gives and of what its ids decode to, in one pass.
+
+    Returns doc_id, n_tokens, ids_sha256 (decimal ids joined by commas),
+    decoded_sha256. Odd rows as in ``encode_documents``.
+    """
+    return _encoded(docs, vocabulary_path, id_col, text_col, lexicon_words, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

@@ -53,9 +53,9 @@ def tokenizer(name: str) -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import encode_documents
+    from .bpe import round_trips
 
-    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return round_trips(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

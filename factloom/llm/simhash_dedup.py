@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, attach, components, settled
+from .similar_dedup import similar_groups
 from .spans import Words, chunks, xxh64
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, n: int = 3) -> np.ndarray:
     """64-bit fingerprints of rows of bytes, see ``fingerprints``."""
     words = Words(data, offsets, lower=True)
     per_row = np.diff(words.first)
-    first, row = words.runs(3)
-    last = first + 2
-    short = np.flatnonzero((per_row > 0) & (per_row < 3))
+    first, row = words.runs(n)
+    last = first + n - 1
+    short = np.flatnonzero((per_row > 0) & (per_row < n))
     if len(short):
         first = np.concatenate([first, words.first[short]])
         last = np.concatenate([last, words.first[short + 1] - 1])
@@ -36,19 +37,18 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [fingerprints_of(data, offsets) for _, _, data, offsets in chunks(batch.column(1))]
-        found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """(doc_id, fp long): SimHash over XXH64 (seed 42) of ``words``-word shingles of the A-Z-lower-cased text, repeats included.
 
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): SimHash over XXH64 (seed 42) of 3-word shingles of the A-Z-lower-cased text, repeats included.
-
-    Under three words, the whole sequence is the one shingle; without words, and
+    Under so many words, the whole sequence is the one shingle; without words, and
     for null, the fingerprint is zero. A bit is 1 if set in over half the hashes.
     """
+    def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [fingerprints_of(data, offsets, words) for _, _, data, offsets in chunks(batch.column(1))]
+            found = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -119,25 +119,40 @@ def links(classes: DataFrame, tables: Tables, segment_bits: int = 2, dense: int
     return pairs.unionByName(met)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bits: int = 2, dense: int = 512) -> DataFrame:
-    """Every row of ``docs`` with its fingerprint and the smallest doc_id reachable over links of 3 or fewer bits.
+#: Up to so many distinct fingerprints, segments of two bits have cells with few of them; beyond, segments of one bit do.
+MOST_FOR_PAIRS_OF_BITS = 1 << 22
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None, segment_bits: int | None = None, dense: int = 512) -> DataFrame:
+    """Every row of ``docs`` with the smallest doc_id reachable over links between near texts.
+
+    Without ``similarity``, links are 3 or fewer differing bits between SimHash
+    fingerprints of ``words``-word shingles. Equal fingerprints are one class with
+    one representative, so copies are never paired; the classes' links are
+    components of a graph. Documents without words have fingerprint zero and link
+    like any other. ``segment_bits``, by default by the number of classes, changes
+    the plan, not the result.
 
-    Equal fingerprints are one class with one representative, so copies are never
-    paired; the classes' links are components of a graph. Documents without
-    words have fingerprint zero and link like any other.
+    With ``similarity``, links are pairs of texts whose sets of shingles have at
+    least that Jaccard similarity, see ``similar_groups``: at 0.8, fingerprints
+    differ in some ten bits, more than the grid can search for.
 
-    Returns doc_id, fingerprint (16 lowercase hex digits), component_id. Null
-    text: no words. Null ids form no representative unless a class has no other;
-    its component_id is then null. Repeated rows each return. Empty table: no
-    rows. Other columns are ignored. A text is held whole in one task's memory,
-    at some 80 bytes a byte.
+    Returns doc_id, component_id and, without ``similarity``, fingerprint (16
+    lowercase hex digits). Null text: no words. Null ids form no representative
+    unless a class has no other; its component_id is then null. Repeated rows each
+    return. Empty table: no rows. Other columns are ignored. A text is held whole
+    in one task's memory, at some 80 bytes a byte.
     """
+    if similarity is not None:
+        return similar_groups(docs, id_col, text_col, words, similarity)
     tables = Tables(docs.sparkSession)
-    marked = tables.write(fingerprints(docs, id_col, text_col))
+    marked = tables.write(fingerprints(docs, id_col, text_col, words))
     classes = tables.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    total = classes.agg(F.sum("size")).first()[0] or 0
-    found = components(links(classes.where("rep is not null").select("fp", "rep"), tables, segment_bits, dense), tables)
+    count, total = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits = segment_bits or (2 if count <= MOST_FOR_PAIRS_OF_BITS else 1)
+    found = components(links(classes.where("rep is not null").select("fp", "rep"), tables, bits, dense), tables)
     placed = tables.write(
         classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "size", F.coalesce("component", "rep").alias("component_id"))
     )
+    tables.drop(classes)
     return settled(attach(marked, placed, "fp", "size", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, attach, components
@@ -15,6 +15,8 @@ from .spans import RangeHash, Words, chunks, mix
 
 #: Minima in a band: texts that share a twentieth of their shingles meet in one of 3e6 bands.
 BAND_ROWS = 5
+#: Bits of a set's fingerprint, by which pairs are ruled out before their sets are read.
+SKETCH_BITS = 512
 
 
 def bands_for(similarity: float, miss: float) -> int:
@@ -53,12 +55,28 @@ def bands_of(hashes: np.ndarray, row: np.ndarray, bands: int) -> tuple[np.ndarra
     return has, keys
 
 
+def sketches_of(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Fingerprints of sets (distinct hashes of each row), rows x SKETCH_BITS / 64: a bit is 1 if an odd number of the set falls on it.
+
+    The bits in which two fingerprints differ are no more than the elements that
+    only one of the sets has.
+    """
+    odd = np.bincount(row * SKETCH_BITS + (hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=rows * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(rows, SKETCH_BITS), axis=1, bitorder="little").view(np.int64)
+
+
+def _near(p: str, q: str, similarity: float) -> Column:
+    """Whether sizes and fingerprints allow the similarity: a bound that no similar pair fails."""
+    apart = sum((F.bit_count(F.col(f"{p}.sketch")[k].bitwiseXOR(F.col(f"{q}.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    return apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-12) * (F.col(f"{p}.size") + F.col(f"{q}.size"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles share ``similarity`` of their union; many pairs may have one b."""
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    degrees = pairs.groupBy("b").agg(F.count("*").alias("degree"))
+    total = degrees.agg(F.sum("degree")).first()[0] or 0
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = attach(left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(sizes, "b"), "b", "size", total)
+    both = attach(left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).join(degrees, "b"), "b", "degree", total)
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
@@ -69,9 +87,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Similarity is of the sets of ``words``-word shingles, as 64-bit hashes. Texts
     are compared if they meet in a band of MinHash; a pair of just ``similarity``
     meets in none with a chance of ``miss``, a closer one with less. Of a band's
-    texts, each is first compared with the smallest. What that leaves in other
-    components is compared in full: nothing is capped, and a large group of near
-    copies, which hang on the smallest, is linear.
+    texts, each is first compared with that which meets the most others in all its
+    bands, as a text that the others were copied from does. What that leaves in
+    other components is compared in full: nothing is capped, and a large group of
+    near copies, which hang on the text they come from, is linear. Pairs are held
+    to a lower bound of their difference, the Hamming distance of parity
+    fingerprints, before their sets are read.
 
     Returns doc_id, component_id. Texts without words, and null, link to none.
     Null ids: component_id is null. Repeated rows each return. Empty table: no rows.
@@ -89,32 +110,45 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(1)):
+            for first, end, data, offsets in chunks(batch.column(1), rows=4096):
                 hashes, row = shingles_of(data, offsets, words)
                 order = np.lexsort((hashes, row))
                 hashes, row = hashes[order], row[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-                places = np.searchsorted(row[new], np.arange(end - first + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(places, hashes[new].view(np.int64))], ["doc_id", "shingles"])
+                hashes, row = hashes[new], row[new]
+                places = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
+                sketch = sketches_of(hashes, row, end - first)
+                lists = pa.ListArray.from_arrays(np.arange(end - first + 1, dtype=np.int32) * sketch.shape[1], sketch.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(places, hashes.view(np.int64)), pa.array(np.diff(places)), lists], ["doc_id", "shingles", "size", "sketch"])
 
     with_id = named.where("doc_id is not null")
     keys = tables.write(with_id.mapInArrow(keys_of, "doc_id long, key long"))
-    hubs = tables.write(keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last"))
-    total = hubs.agg(F.sum("n")).first()[0] or 0
-    met = tables.write(attach(keys, hubs, "key", "n", total).select("key", "doc_id", "hub"))
+    shared = tables.write(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    met = tables.write(attach(keys, shared, "key", "n", total).select("key", "doc_id", "n"))
     tables.drop(keys)
-    sets = tables.write(with_id.join(met.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, shingles array<long>"))
-    stars = tables.write(met.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    near = tables.write(_verified(stars, sets, similarity))
+    tables.drop(shared)
+    meets = met.groupBy("doc_id").agg(F.sum("n").alias("meets"))
+    sets = tables.write(with_id.join(meets, "doc_id").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles array<long>, size int, sketch array<long>"))
+    slim = sets.drop("shingles")
+    hubs = met.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", "doc_id")).alias("hub"), F.max("n").alias("n")).select("key", F.col("hub.doc_id").alias("hub"), "n")
+    pairs = attach(met.select("key", "doc_id"), hubs, "key", "n", total).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = tables.write(pairs)
+    degrees = stars.groupBy("b").agg(F.count("*").alias("degree"))
+    hung = attach(stars, slim.withColumnRenamed("doc_id", "b").join(degrees, "b").select("b", "degree", F.struct("size", "sketch").alias("q")), "b", "degree", stars.count())
+    likely = hung.join(slim.select(F.col("doc_id").alias("a"), F.struct("size", "sketch").alias("p")), "a").where(_near("p", "q", similarity)).select("a", "b")
+    near = tables.write(_verified(tables.write(likely), sets, similarity))
     placed = components(near, tables)
     at = tables.write(met.join(placed.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    parts = at.select("key", "component").distinct()
-    split = parts.join(parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key"), "key", "left_semi")
-    apart = split.select("key", F.col("component").alias("one")).join(split.select("key", F.col("component").alias("other")), "key").where("one < other")
-    ones, others = at.select("key", F.col("component").alias("one"), F.col("doc_id").alias("b")), at.select("key", F.col("component").alias("other"), F.col("doc_id").alias("a"))
-    rest = apart.join(ones, ["key", "one"]).join(others, ["key", "other"]).select("a", "b").distinct()
-    rest = tables.write(rest.join(stars, ["a", "b"], "left_anti"))
-    near = near.unionByName(tables.write(_verified(rest, sets, similarity)))
-    found = components(near, tables).withColumnRenamed("node", "doc_id")
+    tables.drop(met)
+    split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    apart = at.join(split, "key", "left_semi").join(slim, "doc_id")
+    p, q = apart.alias("p"), apart.alias("q")
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near("p", "q", similarity))
+    rest = tables.write(rest.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct())
+    more = tables.write(_verified(rest, sets, similarity))
+    found = (components(near.unionByName(more), tables) if more.take(1) else placed).withColumnRenamed("node", "doc_id")
+    for spent in (sets, stars, at, rest):
+        tables.drop(spent)
     return named.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factloom.llm.bpe import Vocabulary, build_lexicon, encode_documents
+from factloom.llm.bpe import Vocabulary, build_lexicon, decode_documents, encode_documents, round_trips
 from factloom.llm.decontaminate import contaminated, decontaminated, distance_within
 from factloom.llm.langid import held_out, identify
 from factloom.llm.quality import score_quality
@@ -33,9 +33,24 @@ def test_bpe_matches_the_library(documents, words):
         ids = t.encode(text or "", add_special_tokens=False).ids
         decoded = t.decode(ids, skip_special_tokens=False)
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    got = [tuple(r) for r in encode_documents(documents(rows), path, lexicon_words=words).collect()]
+    got = [tuple(r) for r in round_trips(documents(rows), path, lexicon_words=words).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert encode_documents(documents([]), path).count() == 0
+    assert round_trips(documents([]), path).count() == 0
+
+
+def test_ids_decode_to_the_texts(spark, documents):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = list(enumerate(ODD)) + [(1, "an id again"), (None, "no id"), (None, "no id")]
+    ids = encode_documents(documents(rows), path)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids) for r in ids.collect()), key=repr) == sorted(((i, len(e), e) for i, x in rows for e in [t.encode(x or "", add_special_tokens=False).ids]), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in decode_documents(ids, path).collect()), key=repr) == sorted(((i, x or "") for i, x in rows), key=repr)
+    odd = [[], None, [0], t.encode("é", add_special_tokens=False).ids[:1], list(range(600))]
+    got = decode_documents(spark.createDataFrame(list(enumerate(odd)), "doc_id long, ids array<int>"), path).collect()
+    assert {r.doc_id: r.text for r in got} == {k: None if o is None else t.decode(o, skip_special_tokens=False) for k, o in enumerate(odd)}
+    assert decode_documents(encode_documents(documents([]), path), path).count() == 0
 
 
 def test_lexicon_shares_endings_and_knows_places():

@@ -1,35 +1,69 @@
-import hashlib
 import os
 import re
 
 import corpus_pipeline
 from factloom.llm.queries import SQL, queries, tokenizer
-from tests.llm.test_dedup import fold, plain_fingerprint, reachable
+from tests.llm.test_dedup import fold, reachable
+from tests.llm.test_similar_dedup import similar
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 FOLDER = "/root/testdata/sf0.001"
 
 
-def test_run_matches_a_plain_version(spark):
-    """Languages of the tables aren't in doubt, so the first stage keeps each text that has a letter."""
-    from tokenizers import Tokenizer
+def plain(text):
+    return " ".join(re.sub("[^0-9a-z\x80-\U0010ffff]", " ", text.lower()).split())
+
 
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
-    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
-    left = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+def plain_pipeline(rows, items):
+    """Rows (doc_id, text) that are left. Languages of the tables aren't in doubt, so the first stage keeps each text that has a letter."""
+    rows = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    order = lambda k: (rows[k][0] is not None, rows[k][0] or 0, -k)
     last = {}
-    for i, t in left.items():
-        last[fold(t)] = max(i, last.get(fold(t), i))
-    left = {i: left[i] for i in last.values()}
-    fps = {i: plain_fingerprint(t) for i, t in left.items()}
-    roots = reachable([(a, b) for a in fps for b in fps if b < a and bin(fps[a] ^ fps[b]).count("1") <= 3], fps)
-    left = {i: t for i, t in left.items() if roots[i] == i}
-    plain = lambda t: " ".join(re.sub("[^0-9a-z\x80-\U0010ffff]", " ", t.lower()).split())
-    known = [plain(t) for t in items]
-    left = {i: t for i, t in left.items() if not any(k in plain(t) for k in known)}
+    for k, (_, t) in enumerate(rows):
+        last[fold(t)] = max(k, last.get(fold(t), k), key=order)
+    rows = [rows[k] for k in last.values()]
+    texts = {k: t for k, (_, t) in enumerate(rows)}
+    roots, first = reachable(similar(texts), texts), {}
+    for k, (i, _) in enumerate(rows):
+        own = (i is None, i or 0, k)
+        first[roots[k]] = min(own, first.get(roots[k], own))
+    rows = [rows[k] for *_, k in first.values()]
+    return [r for r in rows if not any(x in plain(r[1]) for x in items)]
+
+
+def encoded(rows):
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    want = {i: hashlib.sha256(",".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest() for i, x in left.items()}
-    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, FOLDER).collect()} == want
+    return sorted(((i, t.encode(x, add_special_tokens=False).ids) for i, x in rows), key=repr)
+
+
+def test_run_matches_a_plain_version(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    items = [plain(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    got = sorted(((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, FOLDER).collect()), key=repr)
+    assert got == encoded(plain_pipeline(docs, items))
+
+
+def test_rows_are_judged_apart_from_their_ids(spark, documents, tmp_path):
+    """Nulls, repeated ids with one and with several texts, repeated rows, empty and odd texts, extra columns; and an empty table."""
+    said = lambda k, n=40: " ".join(f"{'lorem ipsum dolor'.split()[j % 3]}{k * j % 97}" for j in range(n))
+    long = said(5, 300).split()
+    rows = [
+        (1, "same text here"), (2, "Same text here"), (1, "another text there"), (3, "dup dup"), (3, "dup dup"), (None, "null id"), (None, "null id"), (None, "dup dup"),
+        (4, None), (5, ""), (6, " 12 "), (7, " ".join(long)), (11, " ".join([*long[:150], "edited", *long[151:]])), (None, " ".join([*long[:9], "edited", *long[10:]])),
+        (8, f"in front {said(7)} behind"), (8, "a clean text of that id"), (9, said(3, 60_000)), (None, said(7)),
+    ]
+    items = [said(7), "12"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+    want = plain_pipeline(rows, [plain(x) for x in items])
+    assert got == encoded(want) and {i for i, _ in want} == {1, 2, 3, 7, 8, 9, None} and len(want) == 8
+    docs = documents([])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
 
 
 def test_stages_keep_the_columns(spark):
