@@ -28,7 +28,8 @@ def plain_pipeline(rows, items):
         own = (i is None, i or 0, k)
         first[roots[k]] = min(own, first.get(roots[k], own))
     rows = [rows[k] for *_, k in first.values()]
-    return [r for r in rows if not any(x in plain(r[1]) for x in items)]
+    held = lambda x, text: f" {x} " in f" {text} " if len(x.encode()) < 20 else x in text  # noqa: E731  too short for an edit: whole words
+    return [r for r in rows if not any(held(x, plain(r[1])) for x in items)]
 
 
 def encoded(rows):
@@ -59,7 +60,7 @@ def test_rows_are_judged_apart_from_their_ids(spark, documents, tmp_path):
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
     want = plain_pipeline(rows, [plain(x) for x in items])
-    assert got == encoded(want) and {i for i, _ in want} == {1, 2, 3, 7, 8, 9, None} and len(want) == 8
+    assert got == encoded(want) and {i for i, _ in want} == {1, 2, 3, 7, 8, 9, None} and len(want) == 7
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
