@@ -21,7 +21,6 @@ SALTS = 64
 BLOCK = 4096
 #: Spans of one source that one row of the check holds, about.
 CHECKED_TOGETHER = 4096
-EDGE = ["left", "right"]
 
 
 class Windows:
@@ -58,6 +57,10 @@ class Windows:
         first = self.first[which]
         return self.hash(first, first + self.k - 2), self.hash(first + 1, first + self.k - 1)
 
+    def edges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The names of edges, by their nodes."""
+        return mix(left * np.uint64(3) + right) & self.mask
+
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
@@ -70,7 +73,7 @@ def _lists(column: pa.Array, begin: int, end: int) -> tuple[pa.Array, np.ndarray
 
 
 def _compacted(edges: DataFrame, tables: Tables) -> DataFrame:
-    """``edges`` (left, right, source, source_place, n) with ``path``: a number of the nonbranching path that each lies on.
+    """``edges`` (edge, left, right, source, source_place, n) with ``path``: a number of the nonbranching path that each lies on.
 
     A node with one edge in and one edge out joins these two. Edges whose source
     places follow one another chain in the order of their source, BLOCK places in
@@ -80,7 +83,7 @@ def _compacted(edges: DataFrame, tables: Tables) -> DataFrame:
     """
     ways = edges.select(F.col("left").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("right").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     branching = ways.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or in > 1").select(F.col("node").alias("right"), F.lit(True).alias("branches"))
-    w = W.partitionBy("source", "block").orderBy("source_place", *EDGE)
+    w = W.partitionBy("source", "block").orderBy("source_place", "edge")
     before = lambda c: F.lag(c).over(w)
     follows = (before("source_place") == F.col("source_place") - 1) & (before("right") == F.col("left")) & ~before("branches")
     marked = edges.join(branching, "right", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).withColumn("block", F.floor(F.col("source_place") / BLOCK))
@@ -115,7 +118,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        or more can belong to repeated edges.
     2. Edges. The windows of such runs become edges, named by the hashes of their
        two nodes; an edge in two documents or more is repeated. Its source is its
-       first place in the document with the smallest id.
+       first place in the document with the smallest id, where its nodes are read.
     3. Compaction. Nonbranching paths of repeated edges compact, see ``_compacted``.
     4. Spans. In a document, neighbouring windows of one path whose source places
        follow one another too are a span.
@@ -187,17 +190,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 flat, owner = _lists(batch.column(3), base, end)
                 chosen = np.isin(w.first[w.runs], flat.to_numpy(zero_copy_only=False).astype(np.int64) + words.first[owner])
                 keep = np.flatnonzero(np.repeat(chosen, np.diff(np.append(w.runs, len(w.first)))))
-                left, right = w.nodes(keep)
                 to = pa.array(w.row[keep] + base)
-                yield pa.RecordBatch.from_arrays([_signed(left), _signed(right), batch.column(0).take(to), batch.column(1).take(to), pa.array((w.first[keep] - words.first[w.row[keep]]).astype(np.int32))], [*EDGE, "doc_id", "copy", "place"])
+                yield pa.RecordBatch.from_arrays([_signed(w.edges(*w.nodes(keep))), batch.column(0).take(to), batch.column(1).take(to), pa.array((w.first[keep] - words.first[w.row[keep]]).astype(np.int32))], ["edge", "doc_id", "copy", "place"])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges with the nodes that stand at their source's places; of texts with one id, each gives those that it has."""
+        for batch in batches:
+            for base, end, data, offsets in chunks(batch.column(1)):
+                w = Windows(words := Words(data, offsets), window, hash_bits)
+                flat, owner = _lists(batch.column(2), base, end)
+                edge, place, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                at = np.searchsorted(w.first, words.first[owner] + place)
+                there = np.flatnonzero((at < len(w.first)) & (place < words.first[owner + 1] - words.first[owner]))
+                there = there[w.row[at[there]] == owner[there]]
+                left, right = w.nodes(at[there])
+                same = w.edges(left, right).view(np.int64) == edge[there]
+                there, to = there[same], pa.array(owner[there[same]] + base)
+                yield pa.RecordBatch.from_arrays([pa.array(edge[there]), _signed(left[same]), _signed(right[same]), batch.column(0).take(to), pa.array(place[there]), pa.array(n[there])], ["edge", "left", "right", "source", "source_place", "n"])
 
     listed = real.join(candidates, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places")
-    found = listed.mapInArrow(windows, "left long, right long, doc_id long, copy long, place int")
+    found = listed.mapInArrow(windows, "edge long, doc_id long, copy long, place int")
 
     def sourced(occurrences: DataFrame, *more: str) -> DataFrame:
         """Repeated edges, told apart by ``more`` as well, with their sources."""
-        grouped = occurrences.groupBy(*EDGE, *more).agg(F.min(at).alias("at"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-        return grouped.select(*EDGE, *more, source.alias("source"), source_place, "high", "n").where("source < high").drop("high")
+        grouped = occurrences.groupBy("edge", *more).agg(F.min(at).alias("at"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+        return grouped.select("edge", *more, source.alias("source"), source_place, "high", "n").where("source < high").drop("high")
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,9 +235,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     occurrences = tables.write(found)
     repeated = tables.write(sourced(occurrences))
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    edges = tables.write(_compacted(repeated, tables))
+    parts = 64 if repeated_ids else 1  # the texts of one id may have any number of edges, one text only as many as words
+    places = repeated.groupBy(F.col("source").alias("doc_id"), F.pmod(F.xxhash64("edge"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("edge", "source_place", "n")).alias("places"))
+    joined = tables.write(real.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(nodes, "edge long, left long, right long, source long, source_place int, n long"))
     tables.drop(repeated)
-    spans = spans_of(attach(occurrences, edges, EDGE, "n", total))
+    edges = tables.write(_compacted(joined.dropDuplicates(["edge"]) if repeated_ids else joined, tables).drop("left", "right"))
+    tables.drop(joined)
+    spans = spans_of(attach(occurrences, edges, "edge", "n", total))
     tables.drop(occurrences)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,24 +316,24 @@ def _told_apart(edges: DataFrame, failed: DataFrame, occurrences: DataFrame, rea
             for base, end, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets)
                 flat, owner = _lists(batch.column(3), base, end)
-                place = flat.field(2).to_numpy(zero_copy_only=False)
+                place = flat.field(1).to_numpy(zero_copy_only=False)
                 first = words.first[owner] + place
                 found = [hashlib.sha256(words.text[p:q]).digest() for p, q in zip(words.start[first].tolist() if len(first) else [], words.end[first + window - 1].tolist() if len(first) else [], strict=True)]
                 to = pa.array(owner + base)
-                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), batch.column(0).take(to), batch.column(1).take(to), pa.array(place), pa.array(found, pa.binary())], [*EDGE, "doc_id", "copy", "place", "digest"])
+                yield pa.RecordBatch.from_arrays([flat.field(0), batch.column(0).take(to), batch.column(1).take(to), pa.array(place), pa.array(found, pa.binary())], ["edge", "doc_id", "copy", "place", "digest"])
 
     near = F.floor(F.col("source_place") / BLOCK)
     last = F.col("source_place") + F.col("n") - window
     ranges = failed.select("source", F.col("source_place").alias("from"), last.alias("to"), F.explode(F.sequence(near, F.floor(last / BLOCK))).alias("block"))
-    doubtful = edges.withColumn("block", near).join(ranges, ["source", "block"]).where(F.col("source_place").between(F.col("from"), F.col("to"))).select(*EDGE).distinct()
+    doubtful = edges.withColumn("block", near).join(ranges, ["source", "block"]).where(F.col("source_place").between(F.col("from"), F.col("to"))).select("edge").distinct()
     doubtful = tables.write(doubtful)
-    mine = occurrences.join(doubtful, EDGE, "left_semi").groupBy("doc_id", "copy").agg(F.collect_list(F.struct(*EDGE, "place")).alias("places"))
+    mine = occurrences.join(doubtful, "edge", "left_semi").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("edge", "place")).alias("places"))
     texts = real.join(mine, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places")
-    apart = tables.write(texts.mapInArrow(digests, "left long, right long, doc_id long, copy long, place int, digest binary"))
-    key = [*EDGE, "digest"]
+    apart = tables.write(texts.mapInArrow(digests, "edge long, doc_id long, copy long, place int, digest binary"))
+    key = ["edge", "digest"]
     exact = tables.write(sourced(apart, "digest"))
-    sure = edges.join(doubtful, EDGE, "left_anti")
+    sure = edges.join(doubtful, "edge", "left_anti")
     columns = ["doc_id", "copy", "place", "source", "source_place", "path"]
     total = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = attach(apart, exact.withColumn("path", F.xxhash64(*key)), key, "n", total(exact)).select(*columns)
-    return attach(occurrences, sure, EDGE, "n", total(sure)).select(*columns).unionByName(again)
+    return attach(occurrences, sure, "edge", "n", total(sure)).select(*columns).unionByName(again)

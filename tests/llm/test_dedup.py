@@ -197,18 +197,18 @@ def test_clashing_windows_are_told_apart(documents, rows_of):
 def test_paths_end_where_the_graph_branches(spark):
     """a-b-c-d and x-b-c-y share b-c: the nodes around it branch, and the long tail compacts over blocks and sources."""
     def edge(left, right, source, place):
-        return (left, right, source, place, 2)
+        return (left * 10_000 + right, left, right, source, place, 2)
 
     chain = [edge(100 + k, 101 + k, 1 if k < 30 else 2, k if k < 30 else 5000 + k) for k in range(60)]
     ring = [edge(900, 901, 7, 0), edge(901, 902, 8, 0), edge(902, 900, 9, 0)]
     fork = [edge(1, 2, 3, 0), edge(2, 3, 3, 1), edge(3, 4, 3, 2), edge(10, 2, 4, 0), edge(3, 11, 4, 2)]
     far = [edge(300 + k, 301 + k, 5, 4090 + k) for k in range(12)]
-    edges = spark.createDataFrame([*chain, *ring, *fork, *far], "left long, right long, source long, source_place int, n long")
+    edges = spark.createDataFrame([*chain, *ring, *fork, *far], "edge long, left long, right long, source long, source_place int, n long")
     path = {(r.left, r.right): r.path for r in _compacted(edges, Tables(spark)).collect()}
     assert len(path) == len(edges.collect())
     for one in (chain, far):
-        assert len({path[e[:2]] for e in one}) == 1
-    assert len({path[e[:2]] for e in fork}) == 5
+        assert len({path[e[1:3]] for e in one}) == 1
+    assert len({path[e[1:3]] for e in fork}) == 5
 
 
 def test_hot_anchors_are_salted_by_document(spark):
