@@ -72,14 +72,16 @@ def _lists(column: pa.Array, begin: int, end: int) -> tuple[pa.Array, np.ndarray
     return own.flatten(), np.repeat(np.arange(end - begin), np.asarray(own.value_lengths().fill_null(0)))
 
 
-def _compacted(edges: DataFrame, tables: Tables) -> DataFrame:
+def _compacted(edges: DataFrame, tables: Tables, low: int | None = None) -> DataFrame:
     """``edges`` (edge, left, right, source, source_place, n) with ``path``: a number of the nonbranching path that each lies on.
 
     A node with one edge in and one edge out joins these two. Edges whose source
     places follow one another chain in the order of their source, BLOCK places in
     a task; the pieces then chain over their end nodes by joins in which every
     piece's pointer to the piece before it doubles its reach each round, until all
-    point to the head of their path. A ring has no head: its pieces get numbers of some of them.
+    point to the head of their path. Where ``low``, the smallest source, is given
+    and places are single, a piece's number is its first place, as small numbers
+    compress in a shuffle; else it is a hash of that place and edge. A ring has no head: its pieces get numbers of some of them.
     """
     ways = edges.select(F.col("left").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("right").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
     branching = ways.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or in > 1").select(F.col("node").alias("right"), F.lit(True).alias("branches"))
@@ -87,8 +89,9 @@ def _compacted(edges: DataFrame, tables: Tables) -> DataFrame:
     before = lambda c: F.lag(c).over(w)
     follows = (before("source_place") == F.col("source_place") - 1) & (before("right") == F.col("left")) & ~before("branches")
     marked = edges.join(branching, "right", "left").withColumn("branches", F.coalesce("branches", F.lit(False))).withColumn("block", F.floor(F.col("source_place") / BLOCK))
-    marked = marked.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("piece", F.sum("new").over(w))
-    named = tables.write(marked.select(*edges.columns, "branches", F.xxhash64("source", "block", "piece").alias("piece")))
+    number = F.xxhash64("source", "source_place", "edge") if low is None else F.shiftleft(F.col("source") - low, 31).bitwiseOR(F.col("source_place").cast("long"))
+    marked = marked.withColumn("head", F.when(~F.coalesce(follows, F.lit(False)), number))
+    named = tables.write(marked.select(*edges.columns, "branches", F.last("head", ignorenulls=True).over(w).alias("piece")))
     ends = named.groupBy("piece").agg(F.min_by("left", "source_place").alias("begin"), F.max_by("right", "source_place").alias("end"), F.max_by("branches", "source_place").alias("branches"))
     ends = tables.write(ends)
     before_it = ends.where("not branches").select(F.col("end").alias("begin"), F.col("piece").alias("up"))
@@ -183,12 +186,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tables.drop(shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges of the runs whose first places are listed."""
+        """Edges of the runs whose first places are listed, or of all where there is no list."""
         for batch in batches:
             for base, end, data, offsets in chunks(batch.column(2)):
                 w = Windows(words := Words(data, offsets), window, hash_bits)
                 flat, owner = _lists(batch.column(3), base, end)
-                chosen = np.isin(w.first[w.runs], flat.to_numpy(zero_copy_only=False).astype(np.int64) + words.first[owner])
+                chosen = np.isin(w.first[w.runs], flat.to_numpy(zero_copy_only=False).astype(np.int64) + words.first[owner]) | batch.column(3).is_null().to_numpy(zero_copy_only=False)[base + w.row[w.runs]]
                 keep = np.flatnonzero(np.repeat(chosen, np.diff(np.append(w.runs, len(w.first)))))
                 to = pa.array(w.row[keep] + base)
                 yield pa.RecordBatch.from_arrays([_signed(w.edges(*w.nodes(keep))), batch.column(0).take(to), batch.column(1).take(to), pa.array((w.first[keep] - words.first[w.row[keep]]).astype(np.int32))], ["edge", "doc_id", "copy", "place"])
@@ -208,8 +211,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 there, to = there[same], pa.array(owner[there[same]] + base)
                 yield pa.RecordBatch.from_arrays([pa.array(edge[there]), _signed(left[same]), _signed(right[same]), batch.column(0).take(to), pa.array(place[there]), pa.array(n[there])], ["edge", "left", "right", "source", "source_place", "n"])
 
-    listed = real.join(candidates, ["doc_id", "copy"]).select("doc_id", "copy", "text", "places")
-    found = listed.mapInArrow(windows, "edge long, doc_id long, copy long, place int")
+    edges_of = lambda listed: listed.select("doc_id", "copy", "text", "places").mapInArrow(windows, "edge long, doc_id long, copy long, place int")
 
     def sourced(occurrences: DataFrame, *more: str) -> DataFrame:
         """Repeated edges, told apart by ``more`` as well, with their sources."""
@@ -232,14 +234,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             .mapInArrow(paths, "doc_id long, copy long, source long, source_place int, path long, begin int, last int")
         )
 
-    occurrences = tables.write(found)
+    occurrences = tables.write(edges_of(real.join(candidates, ["doc_id", "copy"])))
+    tables.drop(candidates)
     repeated = tables.write(sourced(occurrences))
     total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = 64 if repeated_ids else 1  # the texts of one id may have any number of edges, one text only as many as words
     places = repeated.groupBy(F.col("source").alias("doc_id"), F.pmod(F.xxhash64("edge"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("edge", "source_place", "n")).alias("places"))
     joined = tables.write(real.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(nodes, "edge long, left long, right long, source long, source_place int, n long"))
     tables.drop(repeated)
-    edges = tables.write(_compacted(joined.dropDuplicates(["edge"]) if repeated_ids else joined, tables).drop("left", "right"))
+    edges = tables.write(_compacted(joined.dropDuplicates(["edge"]) if repeated_ids else joined, tables, None if repeated_ids or kind != "long" else low or 0).drop("left", "right"))
     tables.drop(joined)
     spans = spans_of(attach(occurrences, edges, "edge", "n", total))
     tables.drop(occurrences)
@@ -304,7 +307,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tables.drop(requests)
     if failed.take(1):
         tables.drop(made)
-        spans = spans_of(_told_apart(edges, failed, tables.write(found), real, sourced, window, tables))
+        every = tables.write(edges_of(real.withColumn("places", F.lit(None).cast("array<int>"))))
+        spans = spans_of(_told_apart(edges, failed, every, real, sourced, window, tables))
         made = made_of(spans)
     return made.where("not request").select("doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", *(["kept"] if keep_text else []))
 
