@@ -20,7 +20,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
-    return dedup_substrings(_table(spark, sf_dir, "documents"))
+    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("n_paths")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,27 +103,30 @@ SQL = {
         SELECT doc_id, n_words, n_removed, sha256(body) AS kept_sha256 FROM kept""",
     "op9_url_filter": r"""
         WITH RECURSIVE tags AS (
-            SELECT url AS src, unnest(list_concat(
-                regexp_extract_all(html, '(?i)<link[^>]*rel=["'']?canonical[^>]*>'),
-                regexp_extract_all(html, '(?i)<meta[^>]*http-equiv=["'']?refresh[^>]*>'))) AS tag
+            SELECT url AS src, unnest(list_filter(regexp_extract_all(html, '(?is)<(?:link|meta)\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'),
+                lambda t: regexp_matches(t, '(?is)^<link\s(?:.*\s)?rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s>])')
+                       OR regexp_matches(t, '(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*["'']?refresh["''\s>]'))) AS tag
             FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-        targets AS (SELECT src, regexp_extract(tag, '(?i)(?:href=["'']?|url=["'']?)([^"''>\s]+)', 1) AS dst FROM tags),
+        held AS (SELECT src, regexp_matches(tag, '(?is)^<link') AS canonical,
+                        coalesce(nullif(regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(tag, '(?is)\shref\s*=\s*([^\s"''>]+)', 1), ''), '') AS href,
+                        coalesce(nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*([^\s"''>]+)', 1), ''), '') AS content FROM tags),
+        targets AS (SELECT src, trim(CASE WHEN canonical THEN href ELSE regexp_extract(content, '(?is)url\s*=\s*["'']?([^"'']*)', 1) END) AS dst FROM held),
         urls AS (SELECT url FROM pages UNION SELECT dst FROM targets WHERE instr(dst, '://') > 0),
         rest AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
         parts AS (SELECT url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
-        ends AS (SELECT a.host || ' ' || a.path AS a, CASE WHEN dst LIKE '/%' THEN a.host || ' ' || regexp_extract(dst, '^[^?#]*') ELSE b.host || ' ' || b.path END AS b
+        ends AS (SELECT a.host || a.path AS a, CASE WHEN dst LIKE '/%' THEN a.host || regexp_extract(dst, '^[^?#]*') ELSE b.host || b.path END AS b
                  FROM targets JOIN parts a ON a.url = src LEFT JOIN parts b ON b.url = dst WHERE instr(src, '://') > 0 AND (dst LIKE '/%' OR instr(dst, '://') > 0)),
         link AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
         reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
-        nodes AS (SELECT host || ' ' || path AS node, host, path FROM parts UNION
-                  SELECT b, split_part(b, ' ', 1), substr(b, instr(b, ' ') + 1) FROM ends),
+        nodes AS (SELECT host || path AS node, host, path FROM parts UNION
+                  SELECT b, split_part(b, '/', 1), substr(b, length(split_part(b, '/', 1)) + 1) FROM ends),
         ruled AS (SELECT node, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
                   FROM nodes JOIN (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, h, p)
                   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY node),
         spread AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach JOIN ruled ON node = b GROUP BY a)
         SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, spread.verdict, 'allow') AS verdict
-        FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || ' ' || path LEFT JOIN spread ON spread.node = host || ' ' || path""",
+        FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || path LEFT JOIN spread ON spread.node = host || path""",
 }
 
 

@@ -13,6 +13,11 @@ Rule = tuple[str, str, str]
 # The rules of the query.
 RULES: tuple[Rule, ...] = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+# Tags with their quoted attributes, and which of them are links: canonical among the tokens of rel, and refreshes.
+TAG = r"(?is)<(?:link|meta)\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+CANONICAL = r"(?is)^<link\s(?:.*\s)?rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s>])"
+REFRESH = r"(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*[\"']?refresh[\"'\s>]"
+
 #: Up to so many rules go into the plan as literals; more are joined by host.
 LITERAL_RULES = 200
 
@@ -37,11 +42,11 @@ def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     out. Other schemes without ``://`` (mailto:) are no links, nor are ``#`` and ``?``.
     """
     html = F.col(html_col)
-    tags = F.concat(
-        F.regexp_extract_all(html, F.lit(r"(?i)<link[^>]*rel=[\"']?canonical[^>]*>"), 0),
-        F.regexp_extract_all(html, F.lit(r"(?i)<meta[^>]*http-equiv=[\"']?refresh[^>]*>"), 0),
-    )
-    target = F.regexp_extract("tag", r"(?i)(?:href=[\"']?|url=[\"']?)([^\"'>\s]+)", 1)
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), 0), lambda tag: tag.rlike(CANONICAL) | tag.rlike(REFRESH))
+    quoted = (r"\"([^\"]*)\"", "'([^']*)'", r"([^\s\"'>]+)")
+    value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in quoted], F.lit(""))
+    refresh = F.regexp_extract(value("content"), r"(?is)url\s*=\s*[\"']?([^\"']*)", 1)
+    target = F.trim(F.when(F.col("tag").rlike(r"(?i)^<link"), value("href")).otherwise(refresh))
     found = pages.where(html.isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(tags).alias("tag")).select("src", target.alias("to"))
     to, src = F.col("to"), F.col("src")
     own = F.concat(F.lit("x://"), host_of(src))
@@ -99,13 +104,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = list(RULES), links: DataFra
     said = F.coalesce(F.col("ruled"), F.lit(default))
     if links is not None:
         tables = Tables(pages.sparkSession)
-        node = lambda c: F.concat(host_of(F.col(c)), F.lit(" "), path_of(F.col(c)))
+        node = lambda c: F.concat(host_of(F.col(c)), path_of(F.col(c)))  # noqa: E731  a host has no /, and a path that isn't empty begins with one
         edges = tables.write(links.where("instr(src, '://') > 0 and instr(dst, '://') > 0").select(node("src").alias("a"), node("dst").alias("b")).where("a <> b").distinct())
         if edges.take(1):
             classes = components(edges, tables)
-            nodes = _ruled(classes.withColumn("host", F.substring_index("node", " ", 1)).withColumn("path", F.expr("substring(node, length(host) + 2)")), rules)
+            nodes = _ruled(classes.withColumn("host", F.substring_index("node", "/", 1)).withColumn("path", F.expr("substring(node, length(host) + 1)")), rules)
             spread = nodes.groupBy("component").agg(F.max(F.when(F.col("ruled") == "allow", 2).when(F.col("ruled") == "block", 1)).alias("level"))
             taken = tables.write(classes.join(spread.where("level is not null"), "component").select("node", F.when(F.col("level") == 2, "allow").otherwise("block").alias("spread")))
-            rows = rows.withColumn("node", F.concat("host", F.lit(" "), "path")).join(taken, "node", "left")
+            loose = rows.where("ruled is not null or host = ''").withColumn("spread", F.lit(None).cast("string"))  # an own rule, or no host: no alias decides
+            rows = rows.where("ruled is null and host <> ''").withColumn("node", F.concat("host", "path")).join(taken, "node", "left").drop("node").unionByName(loose)
             said = F.coalesce(F.col("ruled"), F.col("spread"), F.lit(default))
     return rows.select("page_id", "host", "path", "rule", said.alias("verdict"))

@@ -88,6 +88,68 @@ def test_token_counts_add_up(documents):
     assert token_counts(documents([]), path).count() == 0
 
 
+def test_sections_get_what_a_plain_count_gives(documents):
+    """Each token is laid over the bytes of the text, one byte after another, and asks the section of the byte that the rule names."""
+    import tiktoken
+
+    from factloom.llm.bpe import PATTERN
+    from factloom.llm.token_counts import read_ranks
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    rng = random.Random(5)
+    texts = ["one line\n\n  and another\nlast", "", "\n", "\n\n\n\n x \n\n", "é漢字\n🙂x\n", "z" * 300, *("".join(rng.choices("ab \n\né.", k=rng.randrange(90))) for _ in range(25))]
+    rows = list(enumerate(texts))
+    for rule in ("start", "end", "majority"):
+        want = []
+        for i, text in rows:
+            raw, section_of, k = text.encode(), [], 0
+            for j, byte in enumerate(raw):
+                section_of.append(k)
+                k += byte == 10 and j + 1 < len(raw)
+            tokens, crossing, at = [0] * (k + 1), [0] * (k + 1), 0
+            for t in encoding.encode_ordinary(text):
+                own = section_of[at : at + len(encoding.decode_single_token_bytes(t))]
+                at += len(own)
+                s = {"start": own[0], "end": own[-1], "majority": max(sorted(set(own)), key=own.count)}[rule]
+                tokens[s] += 1
+                crossing[s] += own[0] != own[-1]
+            want += [(i, s, section_of.index(s) if raw else 0, section_of.count(s), tokens[s], crossing[s], sum(tokens)) for s in range(k + 1)]
+        assert sorted(tuple(r) for r in token_counts(documents(rows), path, rule=rule).collect()) == want
+
+
+def test_kernel_scores_match_a_dense_version():
+    """Presence of every n-gram as a set, kernel and Nystroem features by their formulas, ridge regression by least squares."""
+    from factloom.llm import langid as L
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdeé xyz" if k % 2 else "ghijkl mnö", k=rng.randrange(3, 60))) + " " + rng.choice("pq") for k in range(40)]
+    langs = ["one" if k % 2 else "two" for k in range(40)]
+    model = L.fit(texts, langs, landmarks=10, ridge=1e-2)
+    clean = lambda t: bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in t.lower().encode())
+    sets = lambda t: {clean(t)[k : k + n] for n in (1, 2, 3) for k in range(len(clean(t)) - n + 1)}
+    kernel = lambda p, q: np.array([[len(sets(a) & sets(b)) / (len(sets(a)) * len(sets(b))) ** 0.5 for b in q] for a in p])
+    draw = np.random.default_rng(0)
+    marks = [texts[k] for k in np.sort(np.concatenate([draw.permutation([k for k in range(40) if langs[k] == x])[:5] for x in ("one", "two")]))]
+    new = ["abc xyz", "ghi", "Q!", "é"]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors / np.sqrt(values)
+    phi, y = kernel(texts, marks) @ root, np.array([[1 if x == a else -1 for a in ("one", "two")] for x in langs])
+    a = np.vstack([np.hstack([phi, np.ones((40, 1))]) / 40**0.5, np.hstack([np.eye(len(marks)) * 1e-2**0.5, np.zeros((len(marks), 1))])])
+    beta = np.linalg.lstsq(a, np.vstack([y / 40**0.5, np.zeros((len(marks), 2))]), rcond=None)[0]
+    want = kernel(new, marks) @ root @ beta[:-1] + beta[-1]
+    for _, _, data, offsets in L._blocks(pa.array(new)):
+        assert np.allclose(model.scores(model.kernel(data, offsets, L.Distinct())), want, atol=2e-3)
+
+
+def test_repeated_rows_are_learned_once(documents):
+    train = documents([(1, "der die das", "de")] * 50 + [(2, "the and of", "en")] * 3)
+    from factloom.llm.langid import sample
+
+    assert sorted(tuple(r) for r in sample(train.select("doc_id", "lang"), "lang", 10).collect()) == [(1, "de"), (2, "en")]
+    assert {r.doc_id: r.lang_pred for r in identify(documents([(7, "das die"), (8, "of the")]), train).collect()} == {7: "de", 8: "en"}
+
+
 def test_attribution_rules():
     ends, bounds = np.array([2, 5, 9]), np.array([0, 3, 8, 9])
     assert attribute(ends, bounds, "start")[0].tolist() == [2, 1, 0]

@@ -18,3 +18,22 @@ def test_targets_are_resolved_against_the_page(spark):
 def test_a_block_reaches_a_protocol_relative_alias(spark):
     pages = spark.createDataFrame([(1, "http://h.org/p", '<link rel="canonical" href="//a.net/x">')], "page_id long, url string, html string")
     assert judge_urls(pages, [("block", "net", "/")], links_of(pages)).first().verdict == "block"
+
+
+def test_tags_are_read_as_attributes(spark):
+    want = {
+        '<link rel = "canonical" href="http://a b.net/x y">': "http://a b.net/x y", "<LINK REL='nofollow canonical' data-href='http://no.net/' HREF='http://a.net/x'>": "http://a.net/x",
+        '<link href=http://a.net/q rel=canonical>': "http://a.net/q", '<link rel="canonicals" href="http://no.net/">': None,
+        "<meta http-equiv=Refresh content='3; URL=http://a.net/r'>": "http://a.net/r", '<meta name="x" http-equiv="refresh" content="0;url=q.html">': "x://h.org/d/q.html", "<meta http-equiv='refresh' content='5'>": None,
+    }
+    rows = [(k, f"http://h.org/d/p?{k}", f"<p>{tag}</p>") for k, tag in enumerate(want)]
+    got = {int(r.src.split("?")[1]): r.dst for r in links_of(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: to for k, to in enumerate(want.values()) if to}
+
+
+def test_hosts_with_spaces_nulls_and_long_pages(spark):
+    link = '<link rel="canonical" href="http://x y.net/p">'
+    rows = [(1, "http://ok.org/a", link), (2, "http://x y.net/p", None), (None, "http://ok.org/b", "x" * 300_000 + link), (3, None, link), (4, "none", link)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("block", "x y.net", "/")]
+    assert {(r.page_id, r.host, r.verdict) for r in judge_urls(pages, rules, links_of(pages)).collect()} == {(1, "ok.org", "block"), (2, "x y.net", "block"), (None, "ok.org", "block"), (3, "", "allow"), (4, "", "allow")}
