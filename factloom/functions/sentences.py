@@ -21,7 +21,42 @@ def is_bullet(line: str) -> bool:
 _BLANKS = re.compile(r"[ \t\n\r]*")
 
 
-def _ends_sentence(s: str, i: int) -> bool:
+class _Word:
+    """The word in front of a mark, without quotes and brackets at its ends; marks come in order, and each character is looked at a few times in all."""
+
+    QUOTES = "\"'([{"
+
+    def __init__(self, s: str):
+        self.s, self.spaces = s, re.finditer(r"\s+", s)
+        self.begin = self.scanned = self.plain = 0
+        self.next = next(self.spaces, None)
+
+    def before(self, i: int) -> tuple[str, str]:
+        """(the word in lower case without dots at its ends, if it is short, the word if it is one character); else ""."""
+        s = self.s
+        while self.next and self.next.end() <= i:
+            self.begin = self.scanned = self.plain = self.next.end()
+            self.next = next(self.spaces, None)
+        while self.begin < i and s[self.begin] in self.QUOTES:
+            self.begin += 1
+        while self.scanned < i:  # plain: behind the last character that is no dot
+            self.scanned += 1
+            if s[self.scanned - 1] != ".":
+                self.plain = self.scanned
+        end = i
+        while end > self.begin and s[end - 1] in self.QUOTES:
+            end -= 1
+        stop = self.plain if end == i else end
+        while stop > self.begin and s[stop - 1] == ".":
+            stop -= 1
+        start = self.begin
+        while start < stop and s[start] == ".":
+            start += 1
+        short = s[start:stop].lower() if 0 < stop - start <= 8 else ""
+        return short, s[self.begin : end] if end - self.begin == 1 else ""
+
+
+def _ends_sentence(s: str, i: int, word: _Word) -> bool:
     if 0 < i < len(s) - 1 and s[i - 1].isascii() and s[i - 1].isdigit() and s[i + 1].isascii() and s[i + 1].isdigit():
         return False
     following = _BLANKS.match(s, i + 1).end()
@@ -29,17 +64,15 @@ def _ends_sentence(s: str, i: int) -> bool:
         return True
     if not s[following].isupper():
         return False
-    begin = i
-    while begin and not s[begin - 1].isspace():
-        begin -= 1
-    before = s[begin:i].strip("\"'([{")
-    return before.strip(".").lower() not in ABBREVIATIONS and not (len(before.encode()) == 1 and before != "I")
+    short, single = word.before(i)
+    return short not in ABBREVIATIONS and not (single.isascii() and single not in ("", "I"))
 
 
 def _paragraph(s: str) -> list[str]:
     out, start, s = [], 0, s.strip()
+    word = _Word(s)
     for m in re.finditer(r"[.!?]", s):
-        if m.start() >= start and _ends_sentence(s, m.start()):
+        if m.start() >= start and _ends_sentence(s, m.start(), word):
             out.append(s[start : m.end()].strip())
             start = _BLANKS.match(s, m.end()).end()
     return [x for x in [*out, s[start:].strip()] if x]

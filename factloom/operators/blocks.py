@@ -99,18 +99,20 @@ class _Tables(HTMLParser):
 
 
 def html_tables(text: str) -> list[Block]:
-    """Tables get the places of successive "<table"; one that isn't found so has the place -1."""
+    """Tables get the places, in bytes, of successive "<table"; one that isn't found so has the place -1."""
     if "<table" not in text:
         return []
-    parser, out, at = _Tables(), [], 0
+    parser, out, at, seen, passed = _Tables(), [], 0, 0, 0
     parser.feed(text)
     parser.close()
     for rows in parser.tables:
         rows = [r for r in rows if r]
         if rows:
             start = text.find("<table", at)
-            at = start + 6 if start >= 0 else at
-            out.append(Block(1, f"Table {len(out) + 1}", table(rows), 1.0, start))
+            if start >= 0:
+                passed += len(text[seen:start].encode())
+                at, seen = start + 6, start
+            out.append(Block(1, f"Table {len(out) + 1}", table(rows), 1.0, passed if start >= 0 else -1))
     return out
 
 

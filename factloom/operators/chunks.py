@@ -17,6 +17,12 @@ FENCE = r"^[\t ]*(```|~~~)"
 CHARS_PER_TOKEN = 4
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files have fewer splits, for what is slow by row; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, line, fenced): whether a line is inside a code fence or one of its marks."""
     rows = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))

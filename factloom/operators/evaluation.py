@@ -7,20 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from .completion import Completer, complete
 from .matching import _prepared
-from .tournament import DEGRADATIONS, degrade
+from .tournament import DEGRADATIONS, degrade_udf
 
 HEAD_CHARS = 400
 
 
 def planted_pairs(digests: DataFrame, kinds: tuple[str, ...] = DEGRADATIONS) -> DataFrame:
     """(name, kind, good_first, prompt): each digest (name, text) against each planted worse version, in both slots."""
-    worse = F.udf(lambda kind, text: degrade(kind, text or ""), T.StringType())  # a handful of digests
-    rows = digests.select("name", "text", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).withColumn("bad", worse("kind", "text"))
+    rows = digests.select("name", "text", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).withColumn("bad", degrade_udf("kind", "text"))
     rows = rows.where("bad <> text").select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("good_first"))
     slot = lambda a, b: F.when(F.col("good_first"), F.col(a)).otherwise(F.col(b))
     return rows.select("name", "kind", "good_first", F.concat(F.lit("A:\n"), slot("text", "bad"), F.lit("\n\nB:\n"), slot("bad", "text")).alias("prompt"))

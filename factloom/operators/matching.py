@@ -2,13 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .chunks import spread
+
+#: Facts that one broadcast holds; a longer list is taken in blocks, each a pass over the texts.
+FACT_BLOCK = 100_000
+
+
+class Anchors:
+    """Facts of a block behind one automaton of all their anchors: a text is read once, whatever the number of facts."""
+
+    def __init__(self, facts: list[tuple[list[str], list[list[str]]]]):
+        import ahocorasick
 
-#: A fact list up to this long goes to every task; each longer list is taken in blocks of it.
-FACT_BLOCK = 2000
+        self.facts = facts
+        self.automaton = ahocorasick.Automaton()
+        for anchor in {a for need, groups in facts for a in [*need, *(x for g in groups for x in g)] if a}:
+            self.automaton.add_word(anchor, anchor)
+        self.automaton.make_automaton()
+        self.by_anchor: dict[str, list[int]] = {}
+        self.free = []  # facts that need no anchor
+        for k, (need, _) in enumerate(facts):
+            self.by_anchor.setdefault(need[0], []).append(k) if need else self.free.append(k)
+
+    @staticmethod
+    def bounded(text: str, a: int, b: int) -> bool:
+        """Whether text[a:b] stands at token boundaries, see ``functions.text.token_pattern``."""
+        digit, first, last = "0123456789".__contains__, text[a], text[b - 1]
+        if digit(first):
+            if a and (digit(text[a - 1]) or text[a - 1] == "." and a > 1 and digit(text[a - 2])):
+                return False
+        elif "a" <= first <= "z" and a and "a" <= text[a - 1] <= "z":
+            return False
+        after = text[b : b + 2]
+        if digit(last):
+            return not after or not (digit(after[0]) or after[0] == "." and len(after) > 1 and digit(after[1]))
+        return not ("a" <= last <= "z" and after and "a" <= after[0] <= "z")
+
+    def covered(self, text: str) -> int:
+        found: set[str] = set()
+        if len(self.automaton):
+            for end, anchor in self.automaton.iter(text):
+                if anchor not in found and self.bounded(text, end + 1 - len(anchor), end + 1):
+                    found.add(anchor)
+        count = 0
+        for k in [*self.free, *(k for a in found for k in self.by_anchor.get(a, ()))]:
+            need, groups = self.facts[k]
+            count += found.issuperset(need) and (not groups or any(found.issuperset(g) for g in groups))
+        return count
 
 
 def score_facts(texts: DataFrame, golden: DataFrame, by: list[str]) -> DataFrame:
@@ -16,26 +66,30 @@ def score_facts(texts: DataFrame, golden: DataFrame, by: list[str]) -> DataFrame
 
     A fact is covered if the text has all its anchors and, where it has
     alternatives, all of one of them; anchors match at token boundaries of the
-    normalized text. Facts without either are always covered. The facts of a
-    block become one array that each text is held against: no row per text and
-    fact is ever made, and a text is normalized once.
+    normalized text. Facts without either are always covered. Facts come to the
+    driver a block at a time; no row per text and fact is ever made, and a text is
+    normalized once a block.
     """
-    rows = golden.select("anchors", "any").collect() if golden.limit(FACT_BLOCK + 1).count() <= FACT_BLOCK else None
-    if rows is None:
-        numbered = golden.withColumn("block", F.floor(F.monotonically_increasing_id() % 1_000_003 / FACT_BLOCK))
-        parts = [score_facts(texts, numbered.where(F.col("block") == b.block).drop("block"), by) for b in numbered.select("block").distinct().collect()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy(*by).agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
-    spark = texts.sparkSession
-    pairs = [([_prepared(a) for a in r.anchors], [[_prepared(a) for a in g] for g in r.any or []]) for r in rows]
-    schema = "facts array<struct<anchors: array<struct<norm: string, pattern: string>>, any: array<array<struct<norm: string, pattern: string>>>>>"
-    block = spark.createDataFrame([(pairs,)], schema)
-    has = lambda a: F.when(F.contains(F.col("norm"), a["norm"]), F.regexp_like(F.col("norm"), a["pattern"])).otherwise(False)  # noqa: E731  the cheap test first
-    covered = F.filter("facts", lambda f: F.forall(f["anchors"], has) & ((F.size(f["any"]) == 0) | F.exists(f["any"], lambda g: F.forall(g, has))))
-    joined = texts.select(*by, X.normalize(F.coalesce("text", F.lit(""))).alias("norm")).crossJoin(F.broadcast(block))  # one row
-    return joined.select(*by, F.size("facts").cast("long").alias("total"), F.size(covered).cast("long").alias("covered"))
+    spark, facts = texts.sparkSession, golden.select("anchors", "any").toLocalIterator()
+    rows = spread(texts.select(*by, X.normalize(F.coalesce("text", F.lit(""))).alias("norm")))
+    parts = []
+    while block := [([_prepared(a)[0] for a in r.anchors or []], [[_prepared(a)[0] for a in g] for g in r.any or []]) for r in islice(facts, FACT_BLOCK)]:
+        parts.append(rows.select(*by, F.lit(len(block)).cast("long").alias("total"), _covered(spark.sparkContext.broadcast(block))("norm").alias("covered")))
+    if not parts:
+        return rows.select(*by, F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("covered"))
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
+
+
+def _covered(sent: Broadcast):
+    @F.pandas_udf("long")
+    def covered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        anchors = Anchors(sent.value)
+        for norm in batches:
+            yield norm.map(anchors.covered)
+
+    return covered
 
 
 def _prepared(anchor: str) -> tuple[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -134,27 +135,40 @@ def recognition_accuracy(trials: DataFrame) -> DataFrame:
     return trials.groupBy("judge").agg(F.count("*").alias("trials"), F.sum(hit).alias("hits"), F.avg(hit.cast("double")).alias("accuracy"), F.avg(1 / F.col("size")).alias("chance"))
 
 
-# The phrase that fills and the order of the degradations.
-FILLER = "It is important to note that this is a topic of great interest."
+# The openings that fill, in turn, and the order of the degradations.
+FILLERS = ("It is important to note that, at the end of the day, ", "In today's fast-paced world, one simply cannot deny that ", "Needless to say, when all is said and done, ")
 DEGRADATIONS = ("shuffle", "truncate", "filler", "listify", "drop_ends", "reverse_sentences")
 
+_GAP = re.compile(r"\n[\t\n\f\r ]*\n")
+_STOP = re.compile(r"[.?!](?:[\"')]*)(?=[ \n\t]|$)")
+
+
+def plain_sentences(text: str) -> list[str]:
+    """Sentences of a degradation: they end at . ? ! with quotes and brackets behind, before a blank or the end."""
+    ends = [m.end() for m in _STOP.finditer(text)]
+    return [s for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if (s := text[a:b].strip())]
+
 
 def degrade(kind: str, text: str) -> str:
     """A planted worse version of a text."""
-    from ..functions.sentences import simple_sentences
-
-    paragraphs = text.split("\n\n")
+    paragraphs = _GAP.split(text.strip())
     if kind == "shuffle":
         return "\n\n".join(reversed(paragraphs))
     if kind == "truncate":
         words = text.split()
-        return " ".join(words[: len(words) * 45 // 100])
+        return " ".join(words[: len(words) * 45 // 100 or len(words)])
     if kind == "filler":
-        return "\n\n".join(f"{FILLER} {p}" if p.strip() else p for p in paragraphs)
+        return "\n\n".join(FILLERS[k % len(FILLERS)] + p[:1].lower() + p[1:] for k, p in enumerate(map(str.strip, paragraphs)))
     if kind == "listify":
-        return "\n".join(f"- {s}" if s.strip() else s for s in text.split("\n"))
+        return "".join(f"- {s}\n" for s in plain_sentences(text))
     if kind == "drop_ends":
-        return " ".join(simple_sentences(text)[1:-1])
+        sentences = plain_sentences(text)
+        return " ".join(sentences[1:-1]) if len(sentences) > 2 else text
     if kind == "reverse_sentences":
-        return "\n\n".join(" ".join(reversed(simple_sentences(p))) for p in paragraphs)
+        return "\n\n".join(" ".join(reversed(plain_sentences(p))) for p in paragraphs)
     raise ValueError(f"no degradation {kind!r}")
+
+
+@F.pandas_udf(T.StringType())
+def degrade_udf(kind: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([degrade(k, t or "") for k, t in zip(kind, text, strict=True)])

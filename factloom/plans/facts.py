@@ -384,8 +384,8 @@ _PAGE_TABLE = '<p>x</p><table><tr><th>Name</th><th>N | M</th></tr><tr><td>a <b>b
 def html_blocks(t: Read):
     """The pages, with a small table at the end of each."""
     text = F.concat(F.coalesce("html", F.lit("")), F.lit(_PAGE_TABLE))
-    found = t.pages.select("page_id", F.octet_length(text).alias("bytes"), F.length(text).alias("chars"), F.explode(B.extract_udf(text)).alias("b"))
-    return found.where("b.kind = 1").select("page_id", "b.title", "b.markdown", (F.col("b.start") + F.col("bytes") - F.col("chars")).alias("start"))
+    found = t.pages.select("page_id", F.explode(B.extract_udf(text)).alias("b"))
+    return found.where("b.kind = 1").select("page_id", "b.title", "b.markdown", "b.start")
 
 
 _TABLED = "'| h' || doc_id || ' | x |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || '```' || chr(10) || '| no | t |' || chr(10) || '|---|---|' || chr(10) || '```' || chr(10) || text"

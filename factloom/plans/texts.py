@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
+from ..functions.shingles import shingle_digests_udf, shingle_range_udf
+from ..operators.chunks import spread
+from ..operators.tournament import degrade_udf
 from .registry import Read, query
 
 _WS = "[\\t\\n\\f\\r ]"
@@ -54,21 +57,23 @@ _SHINGLES = """w AS (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9]+') A
 @query(f"WITH {_SHINGLES.format(id='doc_id', table='documents')} SELECT doc_id, count(*) AS shingles, min(shingle) AS first_shingle, max(shingle) AS last_shingle FROM s GROUP BY doc_id")
 def word_shingles_8(t: Read):
     """W05"""
-    rows = _docs(t).select("doc_id", X.shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
-    return rows.select("doc_id", F.size("s").cast("long").alias("shingles"), F.array_min("s").alias("first_shingle"), F.array_max("s").alias("last_shingle"))
+    rows = spread(_docs(t)).select("doc_id", shingle_range_udf(F.lower("text")).alias("s")).where("s.shingles > 0")
+    return rows.select("doc_id", "s.shingles", "s.first_shingle", "s.last_shingle")
 
 
 def overlap(docs, source, id_col: str, most: float):
     """Share of a text's distinct shingles that the source has, and whether the copy gate takes it out.
 
-    The source's shingles are a table of any size: both sides meet by a hash
-    join on the shingle, after a text's own repeats are gone.
+    Shingles are made once, as 128-bit digests, and each text's repeats are gone
+    before they meet the source's, a table of any size: one outer join and one
+    aggregate of the texts' rows, which stay where they are if Spark broadcasts
+    the source.
     """
-    known = source.select(F.explode(X.shingles(F.col("text"))).alias("shingle")).distinct()
-    own = docs.select(id_col, X.shingles(F.col("text")).alias("s"))
-    hits = own.select(id_col, F.explode("s").alias("shingle")).join(known, "shingle", "left_semi").groupBy(id_col).agg(F.count("*").alias("hits"))
-    share = X.ratio(F.coalesce("hits", F.lit(0)), F.col("total"))
-    return own.select(id_col, F.size("s").alias("total")).join(hits, id_col, "left").select(id_col, F.col("total").cast("long").alias("shingles"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.round(share, 6).alias("overlap"), (share > most).alias("copier"))
+    known = source.select(F.explode(shingle_digests_udf(F.lower("text"))).alias("shingle")).distinct().withColumn("hit", F.lit(1))
+    own = spread(docs).select(id_col, F.explode_outer(shingle_digests_udf(F.lower("text"))).alias("shingle"))
+    counts = own.join(known, "shingle", "left").groupBy(id_col).agg(F.count("shingle").alias("shingles"), F.count("hit").alias("hits"))
+    share = X.ratio(F.col("hits"), F.col("shingles"))
+    return counts.select(id_col, "shingles", "hits", F.round(share, 6).alias("overlap"), (share > most).alias("copier"))
 
 
 @query(f"""WITH {_SHINGLES.format(id='doc_id', table='documents')},
@@ -157,18 +162,21 @@ def canonicalize_md(t: Read):
     return _docs(t).select("doc_id", X.canonicalize(raw).alias("canonical"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, CASE WHEN {_SQUEEZE.format('text')} = '' THEN [] ELSE string_split({_SQUEEZE.format('text')}, ' ') END AS words FROM documents)
-  SELECT doc_id, md5(array_to_string(list_reverse(string_split(text, chr(10) || chr(10))), chr(10) || chr(10))) AS shuffled,
-         md5(array_to_string(words[1:len(words) * 45 // 100], ' ')) AS truncated, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda s: CASE WHEN trim(s) = '' THEN s ELSE '- ' || s END), chr(10))) AS listified FROM w""")
+_STOPS = r"""regexp_extract_all(regexp_replace(text, '([.?!]["'')]*)([ \n\t]|$)', '\1' || chr(1) || '\2', 'g'), '[^\x01]+')"""
+_ENDS = "trim({}, chr(9) || chr(10) || chr(12) || chr(13) || ' ')"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\t\n\f\r ]+') AS words, string_split(regexp_replace({_ENDS.format('text')}, '\n[\t\n\f\r ]*\n', chr(2), 'g'), chr(2)) AS p,
+               list_filter(list_transform({_STOPS}, lambda x: {_ENDS.format('x')}), lambda x: x <> '') AS s FROM d)
+  SELECT doc_id, md5(array_to_string(list_reverse(p), chr(10) || chr(10))) AS shuffled,
+         md5(array_to_string(CASE WHEN len(words) * 45 // 100 < 1 THEN words ELSE words[1:len(words) * 45 // 100] END, ' ')) AS truncated,
+         md5(coalesce(array_to_string(list_transform(s, lambda x: '- ' || x || chr(10)), ''), '')) AS listified,
+         md5(CASE WHEN len(s) <= 2 THEN text ELSE array_to_string(s[2:len(s) - 1], ' ') END) AS without_ends FROM w""")
 def degradations(t: Read):
-    """Paragraphs in reverse, the first 45 % of words, every line a bullet."""
-    text = F.col("text")
-    words = F.when(X.squeeze(text) == "", F.array().cast("array<string>")).otherwise(F.split(X.squeeze(text), " "))
-    return _docs(t).select(
-        "doc_id", F.md5(F.array_join(F.reverse(F.split(text, "\n\n")), "\n\n")).alias("shuffled"),
-        F.md5(F.array_join(F.slice(words, F.lit(1), F.floor(F.size(words) * 45 / 100).cast("int")), " ")).alias("truncated"),
-        F.md5(F.array_join(F.transform(F.split(text, "\n"), lambda s: F.when(F.trim(s) == "", s).otherwise(F.concat(F.lit("- "), s))), "\n")).alias("listified"),
-    )
+    """Paragraphs in reverse, the first 45 % of words, every sentence a bullet, no first and last sentence."""
+    worse = lambda kind: F.md5(degrade_udf(F.lit(kind), F.col("text")))
+    return _docs(t).select("doc_id", worse("shuffle").alias("shuffled"), worse("truncate").alias("truncated"), worse("listify").alias("listified"), worse("drop_ends").alias("without_ends"))
 
 
 @query("""WITH l AS (SELECT doc_id, i AS line_no, list_transform(string_split(trim(lines[i]), '|'), lambda c: trim(c)) AS c0 FROM (SELECT doc_id, string_split(text || chr(10) || '| Model | Score |' || chr(10) || '|---|:-:|' || chr(10) || '| m' || doc_id || ' | 1,' || doc_id || '.5 pts |', chr(10)) AS lines FROM documents), range(1, len(lines) + 1) r(i) WHERE contains(lines[i], '|')),

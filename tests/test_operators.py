@@ -164,6 +164,9 @@ def test_trials_and_degradations():
     for _, slots, own in T.recognition_trials("j", ["j", "k", "l", "m", "n"]):
         assert slots[own] == "j" and len(set(slots)) == 4
     assert T.degrade("truncate", "a b c d") == "a" and T.degrade("shuffle", "a\n\nb") == "b\n\na"
+    assert T.degrade("shuffle", " a\n \t\nb\n\n\nc ") == "c\n\nb\n\na" and T.degrade("truncate", "one two") == "one two" and T.degrade("truncate", "") == ""
+    assert T.degrade("listify", 'He said "no." Then 5.4 (why?) left') == '- He said "no."\n- Then 5.4 (why?)\n- left\n' and T.degrade("drop_ends", "A is. B is.") == "A is. B is."
+    assert T.degrade("filler", "Ab.\n\n Cd.") == "It is important to note that, at the end of the day, ab.\n\nIn today's fast-paced world, one simply cannot deny that cd."
     assert T.degrade("drop_ends", "A is. B is. C is.") == "B is." and T.degrade("reverse_sentences", "A is. B is.") == "B is. A is."
     assert len(T.draw_triples(list("abcd"), 12)) == 12 and T.draw_triples(list("ab"), 3) == []
 
@@ -241,3 +244,37 @@ def test_repair_and_prior(spark):
     assert sorted(r.text for r in P.repaired(before, after, "doc_id", strict=False).collect()) == ["A", "B", "c"]
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "z")], "doc_id int, section int, body string")
     assert [r.prior for r in P.prior_sections(rows).orderBy("section").collect()] == ["", "x", "x\n\ny"]
+
+
+def test_places_of_blocks_are_in_bytes():
+    """A table in front of which, and in which, characters take several bytes; both kinds of table stay."""
+    front = "é" * 31 + "\n"
+    text = f"{front}| ä | b |\n|---|---|\n| 1 | 2 |\n<table><tr><td>ü</td></tr></table> é <table><tr><td>y</td></tr></table>"
+    found = [(b.kind, b.start) for b in B.extract(text)]
+    assert found == [(0, 63), *((1, len(text[:k].encode())) for k in (text.index("<table"), text.rindex("<table")))]
+
+
+def test_facts_match_a_plain_version(spark):
+    """Anchors by the regular expression of their boundaries, facts by their definition, in one block and in several."""
+    import random
+    import re
+
+    from factloom.functions.text import token_pattern
+    from factloom.operators import matching as MA
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["a", "ab", "3", "3.5", "1,234", "35", "é", "-", "b.", "x y", "", "B"])
+    facts = [(k, [word() for _ in range(rng.randrange(3))], [[word() for _ in range(rng.randrange(1, 3))] for _ in range(rng.randrange(3))]) for k in range(40)]
+    texts = [(k, " ".join(rng.choices(["a", "ab", "abc", "3", "3.5", "35.1", "1,234", "é", "b.", "X  y", ".3", "a3"], k=rng.randrange(9))) if k else None) for k in range(30)]
+    norm = lambda t: MA._prepared(t or "")[0]
+    has = lambda text, a: bool(norm(a)) and re.search(token_pattern(norm(a)), norm(text)) is not None
+    want = [(k, 40, sum(all(has(t, a) for a in need) and (not groups or any(all(has(t, a) for a in g) for g in groups)) for _, need, groups in facts)) for k, t in texts]
+    golden = spark.createDataFrame(facts, "fact_id int, anchors array<string>, any array<array<string>>")
+    df = spark.createDataFrame(texts, "id int, text string")
+    assert sorted(tuple(r) for r in MA.score_facts(df, golden, ["id"]).collect()) == want
+    most, MA.FACT_BLOCK = MA.FACT_BLOCK, 7
+    try:
+        assert sorted(tuple(r) for r in MA.score_facts(df, golden, ["id"]).collect()) == want
+    finally:
+        MA.FACT_BLOCK = most
+    assert {r.total for r in MA.score_facts(df, golden.limit(0), ["id"]).collect()} == {0}
