@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, held
 from .spans import chunks
 
 #: What byte-level BPE splits texts by before merging; a fixed value.
@@ -30,7 +30,7 @@ _NARROW = re.compile(PATTERN.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMB
 _WIDE = re.compile("[^\x00-\u024f]")
 
 #: A worker keeps so many words' encodings at most.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -395,9 +395,6 @@ class Decoder:
         return b"".join(map(self.token, ids.tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, tuple[Encoder, Decoder]] = {}
-
-
 def _lists(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32), np.frombuffer(b"".join(ids), np.int32))
 
@@ -412,10 +409,7 @@ def _encoded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str,
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = Encoder(*sent.value), Decoder(sent.value[0])
-        encoder, decoder = _encoders[name]
+        encoder, decoder = held(name, lambda: (Encoder(*sent.value), Decoder(sent.value[0])))
         made_by = {
             "n_tokens": lambda made: pa.array([len(i) // 4 for _, i in made], pa.int64()),
             "ids": lambda made: _lists([i for _, i in made]),

@@ -21,9 +21,10 @@ _PLAIN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(
 
 def plain(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
     """Lower-cased texts in which all but letters and digits is one space: case, punctuation and line breaks aren't edits."""
-    lower = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    for first, end, data, offsets in chunks(lower):
-        yield first, end, Words(_PLAIN[data], offsets)
+    for begin, stop, _, _ in chunks(texts):  # a part at a time, as lower-casing copies
+        lower = pc.utf8_lower(texts.slice(begin, stop - begin).cast(pa.large_string()).fill_null(""))
+        for first, end, data, offsets in chunks(lower):
+            yield begin + first, begin + end, Words(_PLAIN[data], offsets)
 
 
 def distance_within(pattern_masks: dict[int, int], length: int, text: bytes, most: int) -> int | None:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import HOT_SHARE
+from .shared import HOT_SHARE, held
 from .spans import chunks
 
 LONGEST = 3
@@ -35,9 +35,10 @@ _FIRST = np.cumsum([0, *(BYTES**n for n in range(1, LONGEST + 1))]).astype(np.in
 
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of texts, lower-cased; all but letters is a space."""
-    lower = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    for first, end, data, offsets in chunks(lower, rows=BLOCK_ROWS):
-        yield first, end, _CLEAN[data], offsets
+    for begin, stop, _, _ in chunks(texts):  # a part at a time, as lower-casing copies
+        lower = pc.utf8_lower(texts.slice(begin, stop - begin).cast(pa.large_string()).fill_null(""))
+        for first, end, data, offsets in chunks(lower, rows=BLOCK_ROWS):
+            yield begin + first, begin + end, _CLEAN[data], offsets
 
 
 def grams(data: np.ndarray) -> list[np.ndarray]:
@@ -167,7 +168,7 @@ def labelled(rows: DataFrame, train: DataFrame, text_col: str, per_language: int
     own = [c for c in rows.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, distinct = sent.value, Distinct()
+        model, distinct = sent.value, held("distinct n-grams", Distinct)
         for batch in batches:
             for first, end, data, offsets in _blocks(batch.column(len(own))):
                 kept = [batch.column(k).slice(first, end - first) for k in range(len(own))]

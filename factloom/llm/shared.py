@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,17 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under a name: one thing at a time, as workers serve every stage in turn."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def folded(text: Column) -> Column:
     """A null counts as empty; A-Z only are lower-cased."""
     return F.translate(F.coalesce(text, F.lit("")), A_TO_Z, A_TO_Z.lower())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN
+from .shared import held
 from .spans import chunks
 
 RULES = ("start", "end", "majority")
@@ -42,9 +43,6 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarr
     return np.bincount(owner, minlength=sections)[:sections], np.bincount(owner[crossing], minlength=sections)[:sections]
 
 
-_encodings: dict[str, tuple] = {}
-
-
 def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", rule: str = "start", separator: str = "\n") -> DataFrame:
     """Tokens of every section of every document, from one encoding of the whole text.
 
@@ -71,14 +69,14 @@ def token_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        if ranks_path not in _encodings:
+        def made() -> tuple[tiktoken.Encoding, np.ndarray]:
             ranks = sent.value
             lengths = np.zeros(max(ranks.values()) + 1, np.int64)
             for token, rank in ranks.items():
                 lengths[rank] = len(token)
-            _encodings.clear()
-            _encodings[ranks_path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
-        encoding, lengths = _encodings[ranks_path]
+            return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+
+        encoding, lengths = held(ranks_path, made)
         for batch in batches:
             for row, end, data, offsets in chunks(batch.column(1)):
                 out: list[list[np.ndarray]] = []
