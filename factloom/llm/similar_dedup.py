@@ -148,7 +148,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _near("p", "q", similarity))
     rest = tables.write(rest.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct())
     more = tables.write(_verified(rest, sets, similarity))
-    found = (components(near.unionByName(more), tables) if more.take(1) else placed).withColumnRenamed("node", "doc_id")
+    found = placed.withColumnRenamed("node", "doc_id")
+    if more.take(1):  # these join components: a graph of components alone is settled anew
+        home = lambda side: placed.select(F.col("node").alias(side), F.col("component").alias(f"{side}_home"))
+        links = more.join(home("a"), "a", "left").join(home("b"), "b", "left").select(F.coalesce("a_home", "a").alias("a"), F.coalesce("b_home", "b").alias("b"))
+        joined = components(tables.write(links), tables)
+        every = found.unionByName(joined.select(F.col("node").alias("doc_id"), F.col("node").alias("component")).join(found.select("doc_id"), "doc_id", "left_anti"))
+        found = every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
     for spent in (sets, stars, at, rest):
         tables.drop(spent)
     return named.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
