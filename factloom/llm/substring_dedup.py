@@ -123,8 +123,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        two nodes; an edge in two documents or more is repeated. Its source is its
        first place in the document with the smallest id, where its nodes are read.
     3. Compaction. Nonbranching paths of repeated edges compact, see ``_compacted``.
-    4. Spans. In a document, neighbouring windows of one path whose source places
-       follow one another too are a span.
+    4. Spans. In a document, neighbouring windows whose source places follow one
+       another too are a span, of one path or of several that meet end to end.
     5. Verification. Each distinct span is held against its source, word for word
        by SHA-256, at its place there. Where two different windows have one name, a
        span fails; all edges in its range of the source are then told apart by the
@@ -222,16 +222,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             doc, copy, place, source, there, path = (batch.column(k).to_numpy() for k in range(6))
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (source[1:] != source[:-1]) | (path[1:] != path[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
+            new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc))[: len(first)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], copy[first], source[first], there[first], path[first], place[first], place[last])], ["doc_id", "copy", "source", "source_place", "path", "begin", "last"])
+            new[1:] |= path[1:] != path[:-1]
+            passed = path[new]
+            lists = pa.ListArray.from_arrays(np.append(np.cumsum(new) - 1, len(passed))[np.append(first, len(doc))].astype(np.int32), pa.array(passed))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[first], copy[first], source[first], there[first], place[first], place[last])), lists], ["doc_id", "copy", "source", "source_place", "begin", "last", "paths"])
 
     def spans_of(located: DataFrame) -> DataFrame:
         return tables.write(
             located.where("doc_id > source").select("doc_id", "copy", "place", "source", "source_place", "path")
             .repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place")
-            .mapInArrow(paths, "doc_id long, copy long, source long, source_place int, path long, begin int, last int")
+            .mapInArrow(paths, "doc_id long, copy long, source long, source_place int, begin int, last int, paths array<long>")
         )
 
     occurrences = tables.write(edges_of(real.join(candidates, ["doc_id", "copy"])))
@@ -253,7 +256,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for base, end, data, offsets in chunks(batch.column(2)):
                 words = Words(data, offsets)
                 flat, owner = _lists(batch.column(3), base, end)
-                source, there, path, begin, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                source, there, begin, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                path, passes = flat.field(4).flatten().to_numpy(), np.repeat(owner, np.asarray(flat.field(4).value_lengths()))
                 a, b = words.first[owner] + begin, words.first[owner] + last + window
                 change = np.bincount(a, minlength=words.count + 1) - np.bincount(b, minlength=words.count + 1)
                 gone = np.cumsum(change)[: words.count] > 0
@@ -262,10 +266,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 bounds = np.concatenate([[0], np.cumsum(np.where(gone, 0, sizes))])[words.first]
                 kept = [text[p : max(p, q - 1)].tobytes() for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 sums = np.concatenate([[0], np.cumsum(gone)])[words.first]
-                order = np.lexsort((path, owner))
-                fresh = np.append(True, (np.diff(owner[order]) != 0) | (np.diff(path[order]) != 0))[: len(order)]
+                order = np.lexsort((path, passes))
+                fresh = np.append(True, (np.diff(passes[order]) != 0) | (np.diff(path[order]) != 0))[: len(order)]
                 n, none = end - base, pa.nulls
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), pa.array(np.diff(words.first)), pa.array(np.diff(sums)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(np.bincount(owner[order][fresh], minlength=n)[:n]), pa.array([k.decode() for k in kept] if keep_text else [None] * n, pa.string()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), pa.array(np.diff(words.first)), pa.array(np.diff(sums)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(np.bincount(passes[order][fresh], minlength=n)[:n]), pa.array([k.decode() for k in kept] if keep_text else [None] * n, pa.string()), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary())], names)
                 wanted = {}
                 for s, t, length, p, q in zip(source.tolist(), there.tolist(), (b - a).tolist(), words.start[a].tolist() if len(a) else [], words.end[b - 1].tolist() if len(b) else [], strict=True):
                     wanted[s, t, length, hashlib.sha256(words.text[p:q]).digest()] = None
@@ -287,8 +291,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_paths", "kept", "source", "source_place", "n", "digest"]
 
     def made_of(spans: DataFrame) -> DataFrame:
-        by_row = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("source", "source_place", "path", "begin", "last")).alias("spans"))
-        none = F.expr("cast(array() as array<struct<source: long, source_place: int, path: long, begin: int, last: int>>)")
+        by_row = spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("source", "source_place", "begin", "last", "paths")).alias("spans"))
+        none = F.expr("cast(array() as array<struct<source: long, source_place: int, begin: int, last: int, paths: array<long>>>)")
         return tables.write(
             rows.join(by_row, ["doc_id", "copy"], "left").select("doc_id", "copy", "text", F.coalesce("spans", none).alias("spans"))
             .mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_paths long, kept string, source long, source_place int, n int, digest binary")
