@@ -220,7 +220,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, copy, place, source, there, path = (batch.column(k).to_numpy() for k in range(6))
+            columns = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+            if single:
+                (doc, place), (source, there), path = *((base + (c >> 31), (c & (1 << 31) - 1).astype(np.int32)) for c in columns[:2]), columns[2]
+                copy = np.zeros(len(doc), np.int64)
+            else:
+                doc, copy, place, source, there, path = columns
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
             first = np.flatnonzero(new)
@@ -230,12 +235,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(np.append(np.cumsum(new) - 1, len(passed))[np.append(first, len(doc))].astype(np.int32), pa.array(passed))
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc[first], copy[first], source[first], there[first], place[first], place[last])), lists], ["doc_id", "copy", "source", "source_place", "begin", "last", "paths"])
 
+    # Where one number is a place, it is all that is shuffled of it, and sorts by radix.
+    single, base = kind == "long" and not repeated_ids, low or 0
+    numbered = lambda df: df.select("edge", at.alias("at")) if single else df
+
     def spans_of(located: DataFrame) -> DataFrame:
-        return tables.write(
-            located.where("doc_id > source").select("doc_id", "copy", "place", "source", "source_place", "path")
-            .repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place")
-            .mapInArrow(paths, "doc_id long, copy long, source long, source_place int, begin int, last int, paths array<long>")
-        )
+        if single:
+            own = located if "at" in located.columns else located.withColumn("at", at)
+            from_source = F.shiftleft(F.col("source") - F.lit(base), 31).bitwiseOR(F.col("source_place").cast("long")).alias("from")
+            dealt = own.where(F.shiftright("at", 31) + F.lit(base) > F.col("source")).select("at", from_source, "path").repartition(F.shiftright("at", 31)).sortWithinPartitions("at")
+        else:
+            own = located.where("doc_id > source").select("doc_id", "copy", "place", "source", "source_place", "path")
+            dealt = own.repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "place")
+        return tables.write(dealt.mapInArrow(paths, "doc_id long, copy long, source long, source_place int, begin int, last int, paths array<long>"))
 
     occurrences = tables.write(edges_of(real.join(candidates, ["doc_id", "copy"])))
     tables.drop(candidates)
@@ -247,7 +259,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tables.drop(repeated)
     edges = tables.write(_compacted(joined.dropDuplicates(["edge"]) if repeated_ids else joined, tables, None if repeated_ids or kind != "long" else low or 0).drop("left", "right"))
     tables.drop(joined)
-    spans = spans_of(attach(occurrences, edges, "edge", "n", total))
+    spans = spans_of(attach(numbered(occurrences), edges, "edge", "n", total))
     tables.drop(occurrences)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
