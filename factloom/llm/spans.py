@@ -53,23 +53,19 @@ class Words:
         rows = len(offsets) - 1
         if lower:
             data = LOWER[data]
-        inside = ~SPACE[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        cuts = offsets[:-1][(offsets[:-1] < len(data))]
-        begins[cuts] = inside[cuts]
-        at = np.flatnonzero(begins)
-        count = len(at)
-        kept = data[inside]
-        before = np.cumsum(inside, dtype=np.int64)
-        start = before[at] - 1 if count else np.zeros(0, np.int64)
-        lengths = np.diff(np.append(start, len(kept)))
-        self.start = start + np.arange(count)
-        self.end = self.start + lengths
-        self.text = np.full(len(kept) + count + 8, 0x20, np.uint8)  # eight more, so that eight bytes can be read anywhere
-        self.text[np.arange(len(kept)) + np.repeat(np.arange(count), lengths)] = kept
-        self.first = np.searchsorted(at, offsets)
-        self.count = count
+        data = np.insert(data, offsets[1:], 0x20)  # a space behind each row, so that every word has one separator behind it
+        kept = ~SPACE[data]
+        edge = np.flatnonzero(np.diff(kept, prepend=False))
+        begin, behind = edge[::2], edge[1::2]
+        kept[behind] = True
+        text = data[kept]
+        sizes = behind - begin + 1
+        after = np.cumsum(sizes)
+        text[after - 1] = 0x20
+        self.text = np.append(text, np.full(8, 0x20, np.uint8))  # eight more, so that eight bytes can be read anywhere
+        self.start, self.end = after - sizes, after - 1
+        self.first = np.searchsorted(begin, offsets + np.arange(rows + 1))
+        self.count = len(begin)
         self.rows = rows
 
     def row_of(self) -> np.ndarray:
