@@ -84,6 +84,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_votes
+
+    return quality_votes(_table(spark, sf_dir, "documents")).drop("posterior")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fill_in_middle import fill_in_middle, restored
+
+    moved = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": restored(F.col("output"), F.col("form"))}
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(c, 256).alias(name) for name, c in digests.items()))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -127,6 +143,48 @@ SQL = {
         spread AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach JOIN ruled ON node = b GROUP BY a)
         SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, spread.verdict, 'allow') AS verdict
         FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || path LEFT JOIN spread ON spread.node = host || path""",
+    "op12_quality_rules": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                                    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+        windows AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS times FROM d, range(1, len(words) - 1) r(i) WHERE len(words) > 3),
+        covered AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM windows, range(0, 3) r(j) WHERE times > 1 GROUP BY row),
+        m AS (SELECT row, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                     len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     length(regexp_replace(body, '\P{Lu}+', '', 'g')) AS n_capitals,
+                     len(list_filter(words, lambda w: list_contains(string_split('the and of to in is that for was on der die und den das von ist nicht le la les de et des un une el los que y en', ' '), w))) AS n_common
+              FROM d LEFT JOIN covered USING (row)),
+        voted AS (SELECT *, [CASE WHEN n_words = 0 THEN 0 WHEN n_symbols / n_words <= 0.02 THEN 1 WHEN n_symbols / n_words >= 0.25 THEN -1 ELSE 0 END,
+                             CASE WHEN n_words = 0 THEN 0 WHEN n_repeat_words / n_words <= 0.1 THEN 1 WHEN n_repeat_words / n_words >= 0.3 THEN -1 ELSE 0 END,
+                             CASE WHEN n_lines = 0 THEN 0 WHEN n_dup_lines / n_lines <= 0.05 THEN 1 WHEN n_dup_lines / n_lines >= 0.4 THEN -1 ELSE 0 END,
+                             CASE WHEN word_chars = 0 THEN 0 WHEN n_capitals / word_chars <= 0.1 THEN 1 WHEN n_capitals / word_chars >= 0.4 THEN -1 ELSE 0 END,
+                             CASE WHEN n_words = 0 THEN 0 WHEN n_common / n_words >= 0.04 THEN 1 WHEN n_common / n_words <= 0.005 THEN -1 ELSE 0 END,
+                             CASE WHEN n_words = 0 THEN 0 WHEN abs(word_chars / n_words - 5.5) <= 2.5 THEN 1 WHEN abs(word_chars / n_words - 5.5) >= 4 THEN -1 ELSE 0 END] AS votes FROM m),
+        patterns AS (SELECT votes, count(*)::DOUBLE AS n, sum(count(*)) OVER ()::DOUBLE AS total FROM voted GROUP BY votes),
+        em AS (SELECT 0 AS k, 0.8::DOUBLE AS share, [0.95::DOUBLE for x in range(6)] AS a, [0.4::DOUBLE for x in range(6)] AS b
+            UNION ALL
+            SELECT k + 1, (sum(n * p) + 0.8 * 0.01 * any_value(total)) / (1.01 * any_value(total)),
+                   [""" + ", ".join(f"(coalesce(sum(n * p) FILTER (votes[{j}] > 0), 0) + 0.95 * 0.01 * any_value(total)) / (coalesce(sum(n * p) FILTER (votes[{j}] <> 0), 0) + 0.01 * any_value(total))" for j in range(1, 7)) + r"""],
+                   [""" + ", ".join(f"(coalesce(sum(n * (1 - p)) FILTER (votes[{j}] < 0), 0) + 0.4 * 0.01 * any_value(total)) / (coalesce(sum(n * (1 - p)) FILTER (votes[{j}] <> 0), 0) + 0.01 * any_value(total))" for j in range(1, 7)) + r"""]
+            FROM (SELECT k, votes, n, total, good / (good + bad) AS p FROM (SELECT *,
+                share * list_product([CASE sign(votes[j]) WHEN 1 THEN a[j] WHEN -1 THEN 1 - a[j] ELSE 1 END for j in range(1, 7)]) AS good,
+                (1 - share) * list_product([CASE sign(votes[j]) WHEN 1 THEN 1 - b[j] WHEN -1 THEN b[j] ELSE 1 END for j in range(1, 7)]) AS bad
+                FROM em, patterns)) WHERE k < 30 GROUP BY k),
+        judged AS (SELECT votes, share * list_product([CASE sign(votes[j]) WHEN 1 THEN a[j] WHEN -1 THEN 1 - a[j] ELSE 1 END for j in range(1, 7)]) AS good,
+                          (1 - share) * list_product([CASE sign(votes[j]) WHEN 1 THEN 1 - b[j] WHEN -1 THEN b[j] ELSE 1 END for j in range(1, 7)]) AS bad
+                   FROM em, patterns WHERE k = 30),
+        failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good / (good + bad) >= 0.5 AS kept
+        FROM failed JOIN judged USING (votes)""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        drawn AS (SELECT *, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS draw FROM d),
+        formed AS (SELECT *, CASE WHEN n = 0 OR regexp_matches(body, '<[PSM]>') OR draw[3] % 100 >= 90 THEN 'plain' WHEN draw[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                          least(draw[1] % (n + 1), draw[2] % (n + 1)) AS a, greatest(draw[1] % (n + 1), draw[2] % (n + 1)) AS b FROM drawn),
+        parts AS (SELECT *, substr(body, 1, a) AS prefix, substr(body, a + 1, b - a) AS middle, substr(body, b + 1) AS suffix FROM formed)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM parts""",
 }
 
 
