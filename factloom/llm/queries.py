@@ -84,6 +84,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .merkle import folded, leaf_of, manifest
+    from .shared import A_TO_Z
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", A_TO_Z, A_TO_Z.lower())
+    other = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
+    leaf = F.when(other, leaf_of([lower if f == "text" else F.col(f) for f in fields])).otherwise(leaf_of([F.col(f) for f in fields]))
+    proved = manifest(_table(spark, sf_dir, "documents"), fields, carried={"given": leaf})
+    proved = proved.withColumn("folded_root", folded(F.col("given"), F.col("proof")))
+    siblings = F.sha2(F.array_join(F.col("proof.siblings"), ""), 256)
+    return proved.select("doc_id", "leaf", F.col("top").alias("subroot"), "root", siblings.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_votes
 
@@ -102,6 +118,28 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, [ord(c) for c in string_split({}, '') if c <> '']), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _walk(name: str, start: str, runs: str) -> str:
+    """A recursive CTE that climbs a tree of eights: the digest that follows, and the siblings met."""
+    return f"""{name} AS ({start} UNION ALL
+            SELECT row, g, w.level + 1, idx // 8, (n + 7) // 8, sha256(array_to_string(run[1:idx % 8] || [h] || run[idx % 8 + 2:], '')),
+                   siblings || array_to_string(run[1:idx % 8] || run[idx % 8 + 2:], '')
+            FROM {name} w JOIN {runs} r USING (g) WHERE n > 1 AND r.level = w.level AND r.parent = w.idx // 8)"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    return f"""{name} AS (SELECT g, 0 AS level, idx, n, leaf AS digest FROM {leaves} UNION ALL
+            SELECT g, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY g, level, idx // 8, n),
+        {name}_runs AS (SELECT g, level, idx // 8 AS parent, list(digest ORDER BY idx) AS run FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
 SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLDED} AS body FROM documents)
@@ -143,6 +181,18 @@ SQL = {
         spread AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach JOIN ruled ON node = b GROUP BY a)
         SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, spread.verdict, 'allow') AS verdict
         FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || path LEFT JOIN spread ON spread.node = host || path""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('+' || lang, '') AS g, {_leaf("text")} AS leaf,
+                                    CASE WHEN {_CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 3 = 0
+                                    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS given FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+        {_levels("nodes", "leaves")},
+        tops AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n, digest AS leaf FROM nodes WHERE n = 1),
+        {_levels("upper", "tops")},
+        {_walk("low", "SELECT row, g, 0 AS level, idx, n, given AS h, '' AS siblings FROM leaves", "nodes_runs")},
+        {_walk("high", "SELECT row, '' AS g, 0 AS level, tops.idx, tops.n, h, siblings FROM low JOIN tops ON name = low.g WHERE low.n = 1", "upper_runs")}
+        SELECT doc_id, d.leaf, tops.leaf AS subroot, digest AS root, sha256(siblings) AS proof_sha256, h AS folded_root, h = digest AS verified
+        FROM d JOIN high USING (row) JOIN tops ON name = d.g, (SELECT digest FROM upper WHERE n = 1) WHERE high.n = 1""",
     "op12_quality_rules": r"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
                                     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),

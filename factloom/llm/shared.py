@@ -49,14 +49,15 @@ class Tables:
         self.folder = f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, settle: bool = True) -> DataFrame:
+        """``df`` as a table, ``settled`` unless its partitions matter."""
         path = f"{self.folder}/{self.count}"
         self.count += 1
         before = self.spark.conf.get(CLEANUP, None)
         with contextlib.suppress(Exception):  # older sessions don't have the setting
             self.spark.conf.set(CLEANUP, "true")
         try:
-            settled(df).write.parquet(path)
+            (settled(df) if settle else df).write.parquet(path)
         finally:
             with contextlib.suppress(Exception):
                 self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
