@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentences import split_sentences
+from .numbering import sums_before
 
 HEADING = r"^#{1,6}[\t ]+[^\t\n\f\r ]"
 FENCE = r"^[\t ]*(```|~~~)"
@@ -53,6 +54,97 @@ def bounded_fragments(text: Column, size: int) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(cuts, lambda k: F.substring(text, k * size + 1, F.lit(size))))
 
 
+def _dense(text: str, size: int) -> list[str]:
+    """Lines, cut where longer than ``size``, joined greedily up to it."""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    return pack([line[k : k + size] for line in lines for k in range(0, len(line), size)], size)
+
+
+def heading_pieces(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece_no, level, heading, text, characters): sections of at most ``size`` characters, as large as they can be.
+
+    Headings outside code fences make a tree: the parent of one is the nearest
+    before it of a lower level, and its section ends where the next of its level
+    or a lower one begins. A section that fits is a piece. Of one that doesn't,
+    what stands before its first child is a piece, and its children are judged
+    by themselves; so are the children of a title, the only heading without a
+    parent. As a section is never larger than its parent's, a heading begins a
+    piece just if it has no parent or its parent doesn't fit: one look, no
+    recursion. A piece that is still too large is packed densely, by lines, or
+    characters within a line that is too long. Pieces join to the text.
+
+    Ids are unique. Null and empty texts have no piece. Texts are shuffled once, by id.
+    """
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?md)(?=^#{1,6}[\t ]+[^\t\n\f\r ])")
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(parts).alias("pos", "part")).where("part <> ''")
+    asc = W.partitionBy("id").orderBy("pos")
+    before, desc, whole = asc.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("id")
+    marked = rows.repartition("id").select("*", F.length("part").alias("chars"), F.length(F.regexp_extract("part", r"^(#{1,6})[\t ]+[^\t\n\f\r ]", 1)).alias("marks"), F.regexp_count("part", F.lit(r"(?md)^[\t ]*(?:```|~~~)")).alias("fences"))
+    inside = F.coalesce(F.sum("fences").over(before), F.lit(0)) % 2 == 1
+    marked = marked.select("id", "pos", "part", "chars", F.when((F.col("marks") > 0) & ~inside, F.col("marks")).alias("level"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start"), F.sum("chars").over(whole).alias("total"))
+    level, levels = F.col("level"), range(1, 7)
+    pick = lambda of: F.coalesce(*(F.when(level == k, of(k)) for k in levels))
+    ended = marked.withColumn("stop", F.coalesce(pick(lambda k: F.min(F.when(level <= k, F.col("start"))).over(desc)), F.col("total")))
+    own = F.struct("start", (F.col("stop") - F.col("start")).alias("chars"))
+    tree = ended.withColumn("parent", pick(lambda k: F.max(F.when(level < k, own)).over(before)))
+    top = level.isNotNull() & F.col("parent").isNull()
+    tree = tree.withColumn("title", F.when(F.count_if(top).over(whole) == 1, F.min(F.when(top, F.col("start"))).over(whole)))
+    begins = F.coalesce(top | (F.col("parent.chars") > size) | (F.col("parent.start") == F.col("title")), F.lit(False)) | (F.row_number().over(asc) == 1)
+    numbered = tree.withColumn("section", F.sum(begins.cast("int")).over(asc))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda s: s["part"]), "")
+    sections = numbered.groupBy("id", "section").agg(F.min_by("level", "pos").alias("level"), text.alias("text"))
+
+    @F.pandas_udf("array<string>")
+    def dense(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else _dense(t, size))
+
+    fits = F.length("text") <= size
+    found = sections.select("id", "section", "level", F.posexplode(F.when(fits, F.array("text")).otherwise(dense(F.when(~fits, F.col("text"))))).alias("n", "text"))
+    heading = F.when(F.col("n") == 0, F.when(F.col("level").isNotNull(), F.substring_index("text", "\n", 1)))
+    number = F.row_number().over(W.partitionBy("id").orderBy("section", "n"))
+    return found.select(F.col("id").alias(id_col), number.alias("piece_no"), "level", heading.alias("heading"), "text", F.length("text").alias("characters"))
+
+
+def pack_sources(docs: DataFrame, size: int, write: Callable[[DataFrame], DataFrame], most_tokens: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The chunks of all sources as one run: (source, id, number, chunk_id, text, characters, tokens, sha256).
+
+    Heading pieces of a source join greedily; one that would exceed ``size``
+    characters or ``most_tokens`` begins the next chunk, and no chunk holds two
+    sources. Sources stand in the order of their ids, and chunks are numbered over
+    all of them: numbers within a source come from its own pieces, those before it
+    from sums over ranges of sources (``sums_before``). A source without text has
+    a place, but no chunk. Chunks join to the text (``covers``).
+    """
+    limit = min(size, CHARS_PER_TOKEN * most_tokens) if most_tokens else size  # tokens are estimated by characters
+
+    @F.pandas_udf("array<int>")
+    def chunk_numbers(lengths: pd.Series) -> pd.Series:
+        def one(sizes: list[int]) -> list[int]:
+            out, number, filled = [], 0, 0
+            for n in sizes:
+                if not number or filled + n > limit:
+                    number, filled = number + 1, 0
+                filled += n
+                out.append(number)
+            return out
+
+        return lengths.map(one)
+
+    pieces = write(heading_pieces(docs, limit, id_col, text_col))
+    lengths = F.array_sort(F.collect_list(F.struct("piece_no", "characters")))
+    placed = pieces.groupBy(id_col).agg(lengths.alias("pieces")).withColumn("numbers", chunk_numbers(F.col("pieces.characters")))
+    counts = docs.select(id_col).join(placed.select(id_col, F.array_max("numbers").alias("chunks")), id_col, "left").na.fill(0, ["chunks"])
+    first = sums_before(counts, [id_col], {"sources_before": F.lit(1), "chunks_before": F.col("chunks")}, write)
+    chunk_of = placed.select(id_col, F.explode(F.arrays_zip(F.col("pieces.piece_no").alias("piece_no"), F.col("numbers").alias("chunk_no"))).alias("z")).select(id_col, "z.*")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "text"))), lambda s: s["text"]), "")
+    chunks = pieces.join(chunk_of, [id_col, "piece_no"]).groupBy(id_col, "chunk_no").agg(text.alias("text"))
+    number = F.col("chunks_before") + F.col("chunk_no")
+    return chunks.join(first, id_col).select(
+        (F.col("sources_before") + 1).alias("source"), id_col, "chunk_no", number.alias("number"), F.format_string("chunk-%03d", number).alias("chunk_id"), "text",
+        F.length("text").alias("characters"), F.ceil(F.length("text") / CHARS_PER_TOKEN).alias("tokens"), F.sha2("text", 256).alias("sha256"),
+    )
+
+
 def pack(fragments: Iterable[str], size: int, most_tokens: int = 0, count: Callable[[str], int] | None = None) -> list[str]:
     """Fragments join greedily; one that would exceed characters or tokens begins the next chunk."""
     out: list[str] = []
@@ -75,16 +167,39 @@ def pack_documents(docs: DataFrame, size: int = 6000, id_col: str = "doc_id", te
     """
     @F.pandas_udf("array<string>")
     def packed(text: pd.Series) -> pd.Series:
-        def one(t: str) -> list[str]:
-            lines = re.findall(r"[^\n]*\n|[^\n]+", t)
-            return pack([line[k : k + size] for line in lines for k in range(0, len(line), size)], size)
-
-        return text.fillna("").map(one)
+        return text.fillna("").map(lambda t: _dense(t, size))
 
     rows = docs.select(id_col, F.posexplode(packed(F.col(text_col))).alias("pos", "text"))
     return rows.select(id_col, (F.col("pos") + 1).alias("chunk_no"), F.format_string("chunk-%03d", F.col("pos") + 1).alias("chunk_id"), "text", F.length("text").alias("characters"), F.sha2("text", 256).alias("sha256"))
 
 
+def line_spans(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``chunks`` (id, chunk_no, text) with start_line and end_line in their source, from 1; 0 and 0 if it doesn't hold them.
+
+    Each chunk of a source is looked for from just behind the start of the last
+    one found, so that chunks may overlap, and equal ones don't share a place.
+    """
+    @F.pandas_udf("array<struct<start_line: int, end_line: int>>")
+    def spans(text: pd.Series, parts: pd.Series) -> pd.Series:
+        def one(source: str, pieces: list[str]) -> list[tuple[int, int]]:
+            out, cursor, at, line = [], 0, 0, 1  # ``line`` is that of the character at ``at``
+            for piece in pieces:
+                found = source.find(piece, cursor) if piece else -1
+                if found < 0:
+                    out.append((0, 0))
+                    continue
+                line, at, cursor = line + source.count("\n", at, found), found, found + 1
+                out.append((line, line + piece.count("\n", 0, len(piece) - 1)))
+            return out
+
+        return pd.Series([one(t or "", list(p)) for t, p in zip(text, parts, strict=True)])
+
+    ordered = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("chunk_no", F.coalesce("text", F.lit("")).alias("text")))).alias("c"))
+    rows = ordered.join(docs.select(id_col, F.col(text_col).alias("source_text")), id_col).withColumn("s", spans("source_text", F.col("c.text")))
+    zipped = rows.select(id_col, F.explode(F.arrays_zip("c", "s")).alias("z"))
+    return zipped.select(id_col, F.col("z.c.chunk_no").alias("chunk_no"), F.col("z.c.text").alias("text"), F.col("z.s.start_line").alias("start_line"), F.col("z.s.end_line").alias("end_line"))
+
+
 def covers(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose chunks don't join to their text; empty if all do."""
     joined = chunks.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))), lambda s: s["text"]), "").alias("joined"))

@@ -9,14 +9,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a table in the folder of spark.checkpoint.dir and reads it again; where that is unset, a temporary one on a local master only."""
+def stage_folder(spark: SparkSession) -> str:
+    """A new place in the folder of spark.checkpoint.dir; where that is unset, in a temporary one on a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stages-")
-    base, made = f"{folder.rstrip('/')}/stages-{uuid.uuid4().hex}", []
+    return f"{folder.rstrip('/')}/stages-{uuid.uuid4().hex}"
+
+
+def writer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a table in a ``stage_folder`` and reads it again."""
+    base, made = stage_folder(spark), []
 
     def write(df: DataFrame) -> DataFrame:
         path = f"{base}/{len(made)}"
