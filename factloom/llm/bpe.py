@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, held
+from .shared import Tables, held, lean
 from .spans import chunks
 
 #: What byte-level BPE splits texts by before merging; a fixed value.
@@ -327,7 +327,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = 65_536)
     only these come to the driver. No task sorts or sends candidates of its own.
     """
     tables = Tables(docs.sparkSession)
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_word_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 64).cast("int")
     words = tables.write(counted.where("n > 1 and length(word) <= 64").select("word", level.alias("level")))
     least, taken = None, 0
@@ -423,7 +423,7 @@ def _encoded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(made_by[c](made) for c in columns)], ["doc_id", *columns])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in {"doc_id": "long", **columns}.items()))
+    return rows.mapInArrow(lean(run), ", ".join(f"{k} {v}" for k, v in {"doc_id": "long", **columns}.items()))
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 65_536) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, lean
 from .spans import RangeHash, Words, chunks
 
 _PLAIN = np.full(256, 0x20, np.uint8)
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 found = [(first + row, i, d) for first, _, words in plain(batch.column(1)) for row, k, d in items.hits(words) for i in items.ids[items.texts[k]]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], ["doc_id", "item_id", "distance"])
 
-        return rows.mapInArrow(run, "doc_id long, item_id long, distance int")
+        return rows.mapInArrow(lean(run), "doc_id long, item_id long, distance int")
 
     waiting = None
     for block in _blocks(benchmark, item_col, item_text_col, error_rate, block_bytes):
@@ -233,5 +233,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     stays[[first + row for row, _, _ in items.hits(words)]] = False
                 yield batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

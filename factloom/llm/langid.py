@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import HOT_SHARE, held
+from .shared import HOT_SHARE, held, lean
 from .spans import chunks
 
 LONGEST = 3
@@ -185,7 +185,7 @@ def labelled(rows: DataFrame, train: DataFrame, text_col: str, per_language: int
 
     text = F.col(text_col).cast("string")
     schema = StructType([*rows.select(own).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.select(*own, text.alias("text_of_row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters_of_row")).mapInArrow(run, schema)
+    return rows.select(*own, text.alias("text_of_row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters_of_row")).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_language: int = 400) -> DataFrame:

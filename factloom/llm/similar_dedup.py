@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, attach, components
+from .shared import Tables, attach, components, lean
 from .spans import RangeHash, Words, chunks, mix
 
 #: Minima in a band: texts that share a twentieth of their shingles meet in one of 3e6 bands.
@@ -123,14 +123,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(places, hashes.view(np.int64)), pa.array(np.diff(places)), lists], ["doc_id", "shingles", "size", "sketch"])
 
     with_id = named.where("doc_id is not null")
-    keys = tables.write(with_id.mapInArrow(keys_of, "doc_id long, key long"))
+    keys = tables.write(with_id.mapInArrow(lean(keys_of), "doc_id long, key long"))
     shared = tables.write(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     met = tables.write(attach(keys, shared, "key", "n", total).select("key", "doc_id", "n"))
     tables.drop(keys)
     tables.drop(shared)
     meets = met.groupBy("doc_id").agg(F.sum("n").alias("meets"))
-    sets = tables.write(with_id.join(meets, "doc_id").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles array<long>, size int, sketch array<long>"))
+    sets = tables.write(with_id.join(meets, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "doc_id long, shingles array<long>, size int, sketch array<long>"))
     slim = sets.drop("shingles")
     hubs = met.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", "doc_id")).alias("hub"), F.max("n").alias("n")).select("key", F.col("hub.doc_id").alias("hub"), "n")
     pairs = attach(met.select("key", "doc_id"), hubs, "key", "n", total).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
