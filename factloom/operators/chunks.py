@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentences import split_sentences
+from ..functions.text import cosine
+from .completion import embed
 from .numbering import sums_before
 
 HEADING = r"^#{1,6}[\t ]+[^\t\n\f\r ]"
@@ -19,9 +21,15 @@ CHARS_PER_TOKEN = 4
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where their files have fewer splits, for what is slow by row; a large table stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """``rows`` over all cores where their files are too few and too small for that, for what is slow by row; a large table stays as it is."""
+    spark = rows.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not 0 < len(files) < cores:
+        return rows
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return rows.repartition(cores) if size < cores * split else rows
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,6 +257,74 @@ def semantic_breaks(rows: DataFrame, by: str, order: str, similarity: Column, wi
     return out.withColumn("breaks", (F.col("similarity").isNull() | (F.col("smooth") < threshold)).cast("int")).withColumn("part", F.sum("breaks").over(w))
 
 
+def constrained(chars: list[int], near: list[float], breaks: list[int], least: int, most: int, gap: int = 1) -> list[int]:
+    """The segment of each paragraph, from 0, where ``breaks`` begin segments and ``near`` is each one's similarity to the one before.
+
+    A segment of under ``least`` characters, ``gap`` between paragraphs counted,
+    joins the neighbour to which its border is more similar (the one before, if
+    they are as similar), from the first on, until none is left or all are one. Then
+    a segment of over ``most`` is cut at its least similar border, the first of
+    several, until it fits or is one paragraph: the upper limit has the last word.
+    """
+    before = [0]
+    for n in chars:
+        before.append(before[-1] + n + gap)
+    size = lambda a, b: before[b] - before[a] - gap
+    starts = [k for k in range(len(chars)) if k == 0 or breaks[k]] + [len(chars)]
+    k = 0
+    while k < len(starts) - 1:
+        if size(starts[k], starts[k + 1]) >= least or len(starts) == 2:
+            k += 1
+            continue
+        left = near[starts[k]] if k else -2.0
+        right = near[starts[k + 1]] if k + 2 < len(starts) else -2.0
+        if left >= right:
+            del starts[k]
+            k -= 1
+        else:
+            del starts[k + 1]
+    out, open_ = [0] * len(chars), [(a, b) for a, b in zip(starts, starts[1:], strict=False)]
+    cuts = set()
+    while open_:
+        a, b = open_.pop()
+        cuts.add(a)
+        if size(a, b) > most and b - a > 1:
+            at = min(range(a + 1, b), key=lambda i: (near[i], i))
+            open_ += [(a, at), (at, b)]
+    number = -1
+    for i in range(len(chars)):
+        number += i in cuts
+        out[i] = number
+    return out
+
+
+def semantic_chunks(
+    docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], least: int = 200, most: int = 4000, width: int = 1, threshold: float = 0.3, separator: str = "\n", id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, chunk_no, text, characters, paragraphs): paragraphs that belong together, ``least`` to ``most`` characters where they can be.
+
+    Paragraphs are embedded; a chunk ends where the smoothed similarity of
+    neighbours is under ``threshold`` (``semantic_breaks``), and its size is then put
+    right (``constrained``). An embedder that fails is an error: no other
+    strategy stands in for it. Chunks join by ``separator`` to the text.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), re.escape(separator))).alias("pos", "text"))
+    vectors = embed(rows, embedder)
+    lag = F.lag("embedding").over(W.partitionBy("id").orderBy("pos"))
+    found = semantic_breaks(vectors, "id", "pos", F.when(lag.isNotNull(), cosine(F.col("embedding"), lag)), width, threshold)
+
+    @F.pandas_udf("array<int>")
+    def segments(chars: pd.Series, near: pd.Series, breaks: pd.Series) -> pd.Series:
+        return pd.Series([constrained(list(c), [-1.0 if x is None else float(x) for x in n], list(b), least, most, len(separator)) for c, n, b in zip(chars, near, breaks, strict=True)])
+
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text", F.length("text").alias("chars"), F.coalesce("smooth", F.lit(-1.0)).alias("near"), "breaks")))
+    whole = found.groupBy("id").agg(ordered.alias("p")).withColumn("segment", segments("p.chars", "p.near", "p.breaks"))
+    each = whole.select("id", F.explode(F.arrays_zip(F.col("p.pos").alias("pos"), F.col("p.text").alias("text"), "segment")).alias("z")).select("id", "z.*")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), separator)
+    chunks = each.groupBy("id", "segment").agg(text.alias("text"), F.count("*").alias("paragraphs"))
+    return chunks.select(F.col("id").alias(id_col), (F.col("segment") + 1).alias("chunk_no"), "text", F.length("text").alias("characters"), "paragraphs")
+
+
 def count_windows(rows: DataFrame, by: list[str], order: list[str], size: int = 80) -> DataFrame:
     """Batches of ``size`` rows, numbered over the whole group."""
     n = F.row_number().over(W.partitionBy(*by).orderBy(*order))

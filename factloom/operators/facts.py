@@ -91,16 +91,18 @@ def flag_near_duplicates(facts: DataFrame, by: str, order: str) -> DataFrame:
 
     Near: five tokens each, overlap of 0.72 and 10 bits at most between
     fingerprints. Tokens and fingerprints are made once per fact, on the JVM and
-    in batches; the comparison folds one group, as a group is a document.
+    in batches. A group is a document: its facts come together as one row, and
+    batches of such rows are compared, so that small groups cost no call each.
     """
-    kind = dict(facts.dtypes)
-    rows = facts.select(by, order, fact_tokens(F.col("fact_key")).alias("tokens")).withColumn("bits", simhash("tokens"))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        return f[[by, order]].assign(near_dup=near_earlier([list(t) for t in f["tokens"]], f["bits"].to_numpy().view(np.uint64)))
+    @F.pandas_udf("array<boolean>")
+    def near(tokens: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series([near_earlier([t.split() for t in ts], np.asarray(bs, np.int64).view(np.uint64)).tolist() for ts, bs in zip(tokens, bits, strict=True)])
 
-    return rows.groupBy(by).applyInPandas(fold, f"{by} {kind[by]}, {order} {kind[order]}, near_dup boolean")
+    rows = facts.select(by, order, fact_tokens(F.col("fact_key")).alias("tokens")).withColumn("bits", simhash("tokens"))
+    grouped = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, F.array_join("tokens", " ").alias("tokens"), "bits"))).alias("facts"))
+    flagged = grouped.withColumn("near", near("facts.tokens", "facts.bits"))
+    zipped = flagged.select(by, F.explode(F.arrays_zip(F.col(f"facts.{order}").alias("n"), F.col("near"))).alias("z"))
+    return zipped.select(by, F.col("z.n").alias(order), F.col("z.near").alias("near_dup"))
 
 
 def route_facts(sections: DataFrame, by: str) -> DataFrame:

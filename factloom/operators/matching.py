@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .chunks import spread
@@ -61,6 +62,18 @@ class Anchors:
         return count
 
 
+@F.pandas_udf(T.LongType())
+def tokens_held(text: pd.Series, anchors: pd.Series) -> pd.Series:
+    """How many of its normalized anchors a normalized text has at token boundaries."""
+    def held(t: str, anchor: str) -> bool:
+        at = t.find(anchor)
+        while at >= 0 and not Anchors.bounded(t, at, at + len(anchor)):
+            at = t.find(anchor, at + 1)
+        return at >= 0
+
+    return pd.Series([sum(held(t, a) for a in names if a) for t, names in zip(text, anchors, strict=True)], dtype="int64")
+
+
 def score_facts(texts: DataFrame, golden: DataFrame, by: list[str]) -> DataFrame:
     """(by, total, covered): how many golden facts (fact_id, anchors, any) each text has.
 

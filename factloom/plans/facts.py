@@ -16,6 +16,7 @@ from ..operators import pipeline as P
 from ..operators import structured as S
 from ..operators import transcripts as TR
 from ..operators import vectors as V
+from .articles import sentences_sql
 from .registry import Read, query
 
 
@@ -155,7 +156,11 @@ def headings_chunk(t: Read):
     return C.heading_chunks(_fenced(t)).select("doc_id", "chunk_no", F.md5("text").alias("md5"), "heading", "start_line", "end_line")
 
 
-@query()
+@query(f"""WITH {sentences_sql("SELECT doc_id, text FROM documents")},
+  n AS (SELECT doc_id, count(*) AS careful FROM sent GROUP BY doc_id),
+  e AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)(.*?[.?!]+["''”’)\\]]*)(?:[\\s\x0B]|$)', 1) AS parts FROM documents)
+  SELECT e.doc_id, coalesce(careful, 0)::INT AS careful, cast(len(list_filter(parts, lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13)) <> ''))
+         + (trim(regexp_replace(text, '(?s)^.*[.?!]+["''”’)\\]]*([\\s\x0B]|$)', ''), ' ' || chr(10) || chr(9) || chr(13)) <> '')::INT AS INT) AS simple FROM e LEFT JOIN n USING (doc_id)""")
 def sentence_split(t: Read):
     """Sentences by either splitter."""
     return _docs(t).select("doc_id", F.size(sentences_udf("text")).alias("careful"), F.size(simple_sentences_udf("text")).alias("simple"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks as C
+from ..operators import recognition as RE
 from ..operators import rounds as R
 from ..operators.resume import Stages
 from ..sources.storage import Versions
@@ -158,3 +159,27 @@ def published_chunks(t: Read):
     folder.publish({"chunks": rows}, {"manifest.json": '{"mode": "windows"}'})
     folder.clear()
     return t.spark.read.parquet(f"{folder.current()}/chunks").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
+
+
+def longest_completer(name: str):
+    """A deterministic stand-in for a judge of its own texts: it names the longest one that it is shown, the first of several."""
+    def reply(prompt: str) -> str:
+        texts = [p.partition("]\n")[2].rstrip("\n") for p in prompt.split("\n[")[1:]]
+        return f"I wrote number {max(range(len(texts)), key=lambda k: (len(texts[k]), -k))}."
+
+    return reply
+
+
+@query("""WITH s AS (SELECT s_suppkey // 8 AS g, s_name AS name, length(s_name || ' ' || repeat('x', cast(((cast(floor(s_acctbal / 500) AS BIGINT) % 9) + 9) % 9 + 1 AS INT))) AS len FROM supplier),
+  x AS (SELECT g, name AS judge, len AS own, trial, ('0x' || substr(md5('1:' || g || ':' || name || ':' || trial), 1, 8))::BIGINT % 4 AS slot FROM s, range(0, 8) r(trial)),
+  o AS (SELECT x.g, judge, own, trial, slot, len, row_number() OVER (PARTITION BY x.g, judge, trial ORDER BY md5('1:' || x.g || ':' || judge || ':' || trial || ':' || name), name) AS n FROM x JOIN s ON s.g = x.g AND name <> judge),
+  p AS (SELECT g, judge, trial, own, slot, count(*) AS others, max(len) FILTER (n <= slot) AS before, max(len) FILTER (n > slot) AS after FROM o WHERE n < 4 GROUP BY ALL)
+  SELECT cast(x.g AS VARCHAR) AS field, x.judge, count(*) AS trials, count(*) FILTER (others = 3 AND x.own > coalesce(before, 0) AND x.own >= coalesce(after, 0)) AS hits,
+         count(*) FILTER (others = 3 AND x.own > coalesce(before, 0) AND x.own >= coalesce(after, 0)) / count(*) AS accuracy, 0.25::DOUBLE AS chance,
+         count(*) FILTER (others = 3 AND x.own > coalesce(before, 0) AND x.own >= coalesce(after, 0)) / count(*) > 0.25 AS above_chance
+  FROM x LEFT JOIN p ON p.g = x.g AND p.judge = x.judge AND p.trial = x.trial GROUP BY x.g, x.judge""")
+def recognition_probe(t: Read):
+    """Every supplier of a field of eight looks for its own text among three others, eight times, by the longest one."""
+    text = F.concat(F.lit("# Headline\n"), F.col("s_name"), F.lit(" "), F.repeat(F.lit("x"), (F.pmod(F.floor(F.col("s_acctbal") / 500), F.lit(9)) + 1).cast("int")))
+    entries = t.supplier.select(F.floor(F.col("s_suppkey") / 8).cast("string").alias("field"), F.col("s_name").alias("name"), text.alias("text"))
+    return RE.recognition(entries, entries.select("field", F.col("name").alias("judge")), longest_completer)

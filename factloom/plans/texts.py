@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..functions.shingles import shingle_digests_udf, shingle_range_udf
 from ..operators.chunks import spread
+from ..operators.matching import tokens_held
 from ..operators.tournament import degrade_udf
 from .registry import Read, query
 
@@ -101,7 +102,7 @@ _SPECIFICS = f"""raw AS (SELECT doc_id, {_FACTS} AS text, text AS body FROM docu
 
 def _facts(t: Read):
     text = F.concat(F.lit("## chunk-001\n- The Voyager Probe cost $"), F.col("doc_id").cast("string"), F.lit(",250 and 9"), (F.col("doc_id") % 7).cast("string"), F.lit("% of NASA staff, LYQM-85P, in New York City\n- step 3 of 1234-567 for NATO\n"), F.col("text"))
-    return _docs(t).select("doc_id", F.col("text").alias("body"), X.specifics(X.strip_id_codes(X.drop_heading_lines(text))).alias("found"))
+    return spread(_docs(t)).select("doc_id", F.col("text").alias("body"), X.specifics(X.strip_id_codes(X.drop_heading_lines(text))).alias("found"))
 
 
 @query(f"WITH {_SPECIFICS} SELECT doc_id, count(*) AS found, count(DISTINCT s) AS distinct_found, min(s) AS first_found, max(s) AS last_found FROM ok GROUP BY doc_id")
@@ -123,9 +124,9 @@ def _boundary_sql(norm: str, anchor: str) -> str:
   SELECT doc_id, count(*) AS total, count(*) FILTER (strpos(body, norm) > 0 AND {_boundary_sql('body', 'norm')}) AS covered FROM n JOIN article USING (doc_id) WHERE norm <> '' GROUP BY doc_id""")
 def specifics_coverage(t: Read):
     """Distinct normalized specifics of the facts, and how many the article has."""
-    rows = _facts(t).select("doc_id", X.normalize(F.col("body")).alias("body"), F.filter(F.array_distinct(F.transform("found", X.normalize)), lambda s: s != "").alias("norms"))
-    has = lambda n: F.contains(F.col("body"), n) & F.col("body").rlike(X.token_pattern_of(n))  # noqa: E731  the cheap test first
-    return rows.where(F.size("norms") > 0).select("doc_id", F.size("norms").cast("long").alias("total"), F.size(F.filter("norms", lambda n: F.when(F.contains(F.col("body"), n), F.regexp_like(F.col("body"), X.token_pattern_of(n))).otherwise(False))).cast("long").alias("covered"))
+    norms = F.filter(F.array_distinct(F.transform("found", X.normalize)), lambda s: s != "")
+    rows = _facts(t).select("doc_id", X.normalize(F.col("body")).alias("body"), norms.alias("norms")).where(F.size("norms") > 0)
+    return rows.select("doc_id", F.size("norms").cast("long").alias("total"), tokens_held("body", "norms").alias("covered"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, i, lines[i] AS line, regexp_replace({_SQUEEZE.format('lower(lines[i])')}, '^[[:punct:]\\p{{P}}]+|[[:punct:]\\p{{P}}]+$', '', 'g') AS k

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from factloom.plans import facts, runs, scores, texts  # noqa: F401
+from factloom.plans import articles, facts, runs, scores, streams, texts  # noqa: F401
 from factloom.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
