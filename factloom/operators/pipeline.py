@@ -14,6 +14,7 @@ from . import facts as FA
 from .completion import Completer, complete
 from .matching import citation_coverage
 from .metrics import run_gate
+from .resume import Stages
 
 EXTRACT, OUTLINE, SECTION = "Extract the facts of:\n", "Outline with fact ids:\n", "Write a section from:\n"
 
@@ -97,25 +98,29 @@ def merge_facts(facts: DataFrame, completer: Completer, by: str = "doc_id") -> D
     return rows.where(F.col("merged").isNull() | (F.col("fact_id") == F.col("home"))).select(by, "fact_id", F.coalesce("merged", "bullet").alias("bullet"))
 
 
-def digest(docs: DataFrame, completer: Completer, write: Callable[[DataFrame], DataFrame], size: int = 6000, by: str = "doc_id") -> DataFrame:
+def digest(
+    docs: DataFrame, completer: Completer, write: Callable[[DataFrame], DataFrame], size: int = 6000, by: str = "doc_id", stages: Stages | None = None,
+) -> DataFrame:
     """Sources to gated articles: (by, article, facts, sections, cited, words, gate).
 
     Calls are at three places, each behind a filter and followed by ``write`` (a
     table), so that none is made twice; everything between is one plan over all
-    documents.
+    documents. With ``stages``, replies are kept from run to run: a later run
+    calls only for chunks, outlines and sections whose prompts have changed.
     """
+    ask = (lambda stage, prompts: stages.run(stage, prompts, completer)) if stages else (lambda stage, prompts: complete(prompts, completer))
     packed = C.pack_documents(docs, size, by)
-    found = write(complete(packed.select(by, "chunk_no", F.concat(F.lit(EXTRACT), "text").alias("prompt")), completer))
+    found = write(ask("research", packed.select(by, "chunk_no", F.concat(F.lit(EXTRACT), "text").alias("prompt"))))
     entries = FA.bullet_entries(compile_facts(found, by), by, "facts_text")
     numbered = FA.dedup_facts(entries, by, ["fact_no"]).withColumn("fact_id", F.row_number().over(W.partitionBy(by).orderBy("fact_no")))
     units = write(numbered.select(by, "fact_id", "bullet"))
     listing = units.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_id", "bullet"))), lambda s: F.concat(F.lit("[F"), s["fact_id"].cast("string"), F.lit("] "), s["bullet"])), "\n").alias("listing"))
-    outline = write(complete(listing.select(by, F.concat(F.lit(OUTLINE), "listing").alias("prompt")), completer))
+    outline = write(ask("outline", listing.select(by, F.concat(F.lit(OUTLINE), "listing").alias("prompt"))))
     sections = parse_outlines(outline, by)
     placed = assign(units, FA.merge_titles(sections, by), by)
     chosen = placed.select(by, "section", "title", F.posexplode("fact_ids").alias("pos", "fact_id")).join(units, [by, "fact_id"])
     facts_of = chosen.groupBy(by, "section", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fact_id", "bullet"))), lambda s: F.concat(s["bullet"], F.lit(" [F"), s["fact_id"].cast("string"), F.lit("]"))), "\n").alias("facts"))
-    bodies = write(complete(facts_of.select(by, "section", "title", F.concat(F.lit(SECTION), "facts").alias("prompt")), completer))
+    bodies = write(ask("section", facts_of.select(by, "section", "title", F.concat(F.lit(SECTION), "facts").alias("prompt"))))
     article = assemble(sections.groupBy(by).agg(F.first("headline").alias("headline")), bodies.withColumn("body", F.coalesce("reply", F.lit(""))), by)
     cited = citation_coverage(article.select(by, F.col("article").alias("text")), units.select(by, "fact_id"), by)
     rows = article.join(cited, by).join(placed.groupBy(by).agg(F.count("*").alias("sections")), by)

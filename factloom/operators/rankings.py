@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import family
+from .numbering import sums_before
 
 #: Aliases are broadcast up to so many; a longer list takes a sort of the cells' distinct values first.
 MOST_ALIASES = 10_000
@@ -49,3 +52,24 @@ def picks(ranked: DataFrame) -> DataFrame:
     other = F.col("taken").isNull() | (family(F.col("slug")) != F.col("taken"))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.col("role")), F.lit(0)), F.lit(len(ROLE_ORDER) + 1))
     return rows.groupBy("role").agg(F.coalesce(F.min_by(F.when(other, F.col("slug")), F.when(other, F.col("rank"))), F.min_by("slug", "rank")).alias("slug")).withColumn("place", place)
+
+
+#: Columns by which results are ranked, best first; - is from the largest down. Names break ties.
+COMPARATORS = {
+    "candidates": ("-f1", "name"),  # O01
+    "recall": ("-recall", "name"),  # O02
+    "digests": ("-composite", "-tensions", "name"),  # O03
+    "structured": ("-passed", "-item_score", "-field_score", "name"),  # O05
+    "labels": ("-macro_f1", "-accuracy", "name"),  # O06
+    "code": ("-pass_rate", "-solved", "name"),  # O07
+    "trace": ("-accuracy", "-correct", "name"),  # O08
+}
+
+
+def ranked(results: DataFrame, comparator: str, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``results`` with their rank under a comparator, from 1, numbered over ranges of the order, so that no task sorts all of them."""
+    keys = COMPARATORS[comparator]
+    signed = results.select("*", *((-F.col(k[1:])).alias(f"down_{k[1:]}") for k in keys if k.startswith("-")))
+    order = [f"down_{k[1:]}" if k.startswith("-") else k for k in keys]
+    placed = sums_before(signed, order, {"rank": F.lit(1).cast("long")}, write)
+    return placed.select(*results.columns, (F.col("rank") + 1).alias("rank"))

@@ -7,7 +7,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import chunks as C
+from ..operators import evaluation as EV
+from ..operators import pipeline as P
 from ..operators import precision as PR
 from ..operators.completion import complete
 from .registry import Read, query
@@ -81,3 +84,70 @@ def semantic_budget(t: Read):
     """Documents in chunks of lines that are alike, of 300 to 1500 characters where they can be."""
     found = C.semantic_chunks(t.documents.select("doc_id", "text"), letter_embedder, least=300, most=1500, threshold=0.93)
     return found.select("doc_id", "chunk_no", "characters", "paragraphs", F.md5("text").alias("md5"))
+
+
+_WORDS_OF = "CASE WHEN len(ws) = 0 THEN 'none' ELSE ws[1 + ({} * 7) % len(ws)] END"
+
+
+def _w(k: int):
+    return F.when(F.size("ws") == 0, "none").otherwise(F.get("ws", (F.lit(k * 7) % F.greatest(F.size("ws"), F.lit(1))).cast("int")))
+
+
+def _mixed_sql() -> str:
+    w = _WORDS_OF.format
+    nl = " || chr(10) || "
+    page = f"'<table><tr><th>' || {w(1)} || '</th><th>' || {w(2)} || '</th></tr>' || chr(10) || '<tr><td> ' || {w(3)} || '</td><td><b>' || {w(4)} || '</b></td></tr></table>'"
+    series = f"'Entry #1'{nl}'Name: ' || {w(5)}{nl}'Size: ' || {w(6)}{nl}'Entry #2'{nl}'Name: ' || {w(7)}{nl}'Entry #3'{nl}'Size: ' || {w(8)}{nl}'Name: ' || {w(9)}"
+    rows = f"'| ' || {w(10)} || ' | ' || {w(11)} || ' |'{nl}'|:--|---|'{nl}'| ' || {w(12)} || ' |  |'"
+    again = f"'| ' || {w(1)} || ' | ' || {w(2)} || ' |'{nl}'| --- | --- |'{nl}'| ' || {w(3)} || ' | ' || {w(4)} || ' |'"
+    told = f"'| # | Name | Size |'{nl}'| --- | --- | --- |'{nl}'| 1 | ' || {w(5)} || ' | ' || {w(6)} || ' |'{nl}'| 2 | ' || {w(7)} || ' |  |'{nl}'| 3 | ' || {w(9)} || ' | ' || {w(8)} || ' |'"
+    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
+  p AS (SELECT doc_id, strlen(text) + 1 AS base, {page} AS page, {series} AS series, {rows} AS rows, {again} AS again, {told} AS told FROM d)
+  SELECT doc_id, 1 AS kind, 'Table 1' AS title, again AS markdown, 1.0::DOUBLE AS confidence, cast(base AS INT) AS start FROM p UNION ALL
+  SELECT doc_id, 2, 'Entry', told, 0.67, cast(base + strlen(page) + 1 AS INT) FROM p UNION ALL
+  SELECT doc_id, 0, 'Table 1', rows, 1.0, cast(base + strlen(page) + strlen(series) + 2 AS INT) FROM p"""
+
+
+@query(_mixed_sql())
+def mixed_blocks(t: Read):
+    """Documents that go on with an HTML table, a record series and two tables of their own words; the last says what the first says."""
+    nl = F.lit("\n")
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    page = F.concat(F.lit("<table><tr><th>"), _w(1), F.lit("</th><th>"), _w(2), F.lit("</th></tr>\n<tr><td> "), _w(3), F.lit("</td><td><b>"), _w(4), F.lit("</b></td></tr></table>"))
+    series = F.concat(F.lit("Entry #1\nName: "), _w(5), F.lit("\nSize: "), _w(6), F.lit("\nEntry #2\nName: "), _w(7), F.lit("\nEntry #3\nSize: "), _w(8), F.lit("\nName: "), _w(9))
+    first = F.concat(row(_w(10), _w(11)), F.lit("\n|:--|---|\n| "), _w(12), F.lit(" |  |"))
+    again = F.concat(row(_w(1), _w(2)), F.lit("\n| --- | --- |\n"), row(_w(3), _w(4)))
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    mixed = docs.select("doc_id", F.concat("text", nl, page, nl, series, nl, first, F.lit("\n\n"), again).alias("text"))
+    found = mixed.select("doc_id", F.explode(B.extract_udf("text")).alias("b")).select("doc_id", "b.*")
+    return found.where("confidence >= 0.6").select("doc_id", "kind", "title", "markdown", "confidence", "start")
+
+
+def _kept_sql(*groups: str) -> str:
+    return " AND ".join(f"regexp_matches(norm, '(?:^|[^a-z])(?:{g})(?:$|[^a-z])')" for g in groups)
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '([0-9]),([0-9])', '\\1\\2', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g')) AS norm FROM documents),
+  c AS (SELECT doc_id, norm, list_filter([CASE WHEN {_kept_sql("the", "and")} THEN 'english' END, CASE WHEN {_kept_sql("der|die", "und|nicht")} THEN 'german' END, CASE WHEN {_kept_sql("le|la", "de", "que|et")} THEN 'romance' END], lambda x: x IS NOT NULL) AS tensions,
+        list_filter([CASE WHEN contains(substr(norm, 1, 400), 'it is') THEN 'It is' END, CASE WHEN contains(substr(norm, 1, 400), 'is the') THEN 'is the' END], lambda x: x IS NOT NULL) AS preamble,
+        list_filter([CASE WHEN contains(norm, '###') THEN '###' END, CASE WHEN contains(norm, ' | ') THEN '|' WHEN contains(norm, '|') THEN '|' END], lambda x: x IS NOT NULL) AS artifacts,
+        list_filter([CASE WHEN contains(norm, 'license') THEN 'License' END], lambda x: x IS NOT NULL) AS fabricated,
+        CASE WHEN norm = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\\t\\n\\f\\r ]+', ' ', 'g')), ' ')) END AS words FROM d)
+  SELECT doc_id, array_to_string(tensions, ',') AS tensions, array_to_string(preamble, ',') AS preamble, array_to_string(artifacts, ',') AS artifacts, array_to_string(fabricated, ',') AS fabricated,
+         cast(words AS INT) AS words, words BETWEEN 50 AND 2000 AS word_band_ok, len(preamble) + len(artifacts) > 0 AS unclean FROM c""")
+def digest_checks(t: Read):
+    """Tensions, hygiene, fabrications and the word band of every document, read as a digest."""
+    tensions = [("english", [["the"], ["and"]]), ("german", [["der", "die"], ["und", "nicht"]]), ("romance", [["le", "la"], ["de"], ["que", "et"]])]
+    rows = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = EV.check_digests(rows, tensions, ["It is", "is the"], ["###", "|"], ["License"], (50, 2000))
+    return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("tensions", "preamble", "artifacts", "fabricated")), F.col("words").cast("int").alias("words"), "word_band_ok", "unclean")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS title, text AS body, coalesce(string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM conversations)
+  SELECT conv_id, md5('# Talk ' || conv_id || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY turn)) AS article, md5(string_agg(md5(prior), ',' ORDER BY turn)) AS prefixes, count(*) AS sections FROM s GROUP BY conv_id""")
+def assembled_articles(t: Read):
+    """Conversations as articles of their turns, and what each turn would be shown of those before it."""
+    sections = t.conversations.select("conv_id", F.col("turn").alias("section"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("title"), F.col("text").alias("body"))
+    titles = sections.select("conv_id").distinct().withColumn("headline", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")))
+    prior = P.prior_sections(sections, "conv_id").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.md5("prior").alias("p")))), lambda s: s["p"]), ",")).alias("prefixes"), F.count("*").alias("sections"))
+    return P.assemble(titles, sections, "conv_id").select("conv_id", F.md5("article").alias("article")).join(prior, "conv_id")

@@ -16,8 +16,10 @@ from ..operators import pipeline as P
 from ..operators import structured as S
 from ..operators import transcripts as TR
 from ..operators import vectors as V
+from ..operators.numbering import sums_before
 from .articles import sentences_sql
 from .registry import Read, query
+from .tables import writer
 
 
 def _docs(t: Read):
@@ -104,7 +106,7 @@ _MERGE_LINES = "CASE event_id % 4 WHEN 0 THEN 'KEEP: [F' || event_id || '] as is
   SELECT event_id, CASE WHEN regexp_matches(line, '^(KEEP|MERGED|CONTRADICTION):') THEN lower(regexp_extract(line, '^(KEEP|MERGED|CONTRADICTION):', 1)) WHEN regexp_matches(line, '^C[0-9]+:') THEN 'label' ELSE 'none' END AS kind,
          trim(regexp_extract(line, '^[A-Z0-9]+:(.*)$', 1)) AS body, len(list_filter([1, cast(event_id % 3 AS INT)], lambda x: NOT list_contains(list_transform(regexp_extract_all(line, 'F([0-9]+)', 1), lambda y: cast(y AS INT)), x))) = 0 AS preserves FROM l""")
 def merge_output_parse(t: Read):
-    """Lines of a merge reply, and whether they keep the ids that they must."""
+    """Lines of a merge reply, and whether they keep the ids that they must."""
     e = F.col("event_id")
     line = F.when(e % 4 == 0, F.concat(F.lit("KEEP: [F"), e.cast("string"), F.lit("] as is"))).when(e % 4 == 1, F.concat(F.lit(" MERGED: both [F1] and [F"), (e % 3).cast("string"), F.lit("]"))).when(e % 4 == 2, F.lit("CONTRADICTION: 3 against 4")).otherwise(F.concat(F.lit("C"), e.cast("string"), F.lit(": label")))
     rows = t.events.select("event_id", F.trim(line).alias("line"))
@@ -303,7 +305,7 @@ def set_validation(t: Read):
 @query("""WITH k AS (SELECT doc_id, sha256('model-v1' || chr(10) || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
   SELECT doc_id, k.key, c.key IS NOT NULL AS hit FROM k LEFT JOIN c ON c.key = k.key""")
 def cache_hit_miss(t: Read):
-    """Embeddings found by the hash of model and text; misses are computed once per text."""
+    """Which texts an embedding cache holds, by the hash of model and text."""
     k = _docs(t).select("doc_id", X.hash_key(F.lit("model-v1"), F.col("text"), separator="\n").alias("key"))
     stored = k.where("doc_id % 3 = 0").select("key").distinct()
     return k.join(stored.withColumn("hit", F.lit(True)), "key", "left").select("doc_id", "key", F.coalesce("hit", F.lit(False)).alias("hit"))
@@ -312,7 +314,7 @@ def cache_hit_miss(t: Read):
 @query("""WITH c AS (SELECT conv_id, turn, '## chunk-' || lpad(cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), 3, '0') || chr(10) || chr(10) || text AS part, text FROM conversations)
   SELECT conv_id, sha256(string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS sha256, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM c GROUP BY conv_id""")
 def compiled_prefix(t: Read):
-    """W02 W07 W08 A27 A28"""
+    """A27"""
     c = t.conversations.select("conv_id", F.col("turn").alias("chunk_no"), F.col("text").alias("reply"))
     sizes = c.groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.length("reply")).alias("characters"))
     return P.compile_facts(c, "conv_id").select("conv_id", F.sha2("facts_text", 256).alias("sha256")).join(sizes, "conv_id")
@@ -320,11 +322,13 @@ def compiled_prefix(t: Read):
 
 @query("""SELECT item_id // 10 || '/' || item_id AS fact, row_number() OVER (ORDER BY item_id // 10, item_id) AS pos, sha256('# Source ' || lpad(cast(item_id % 100 AS VARCHAR), 2, '0') || chr(10) || chr(10) || text) AS sha256 FROM (SELECT item_id, min(text) AS text FROM (SELECT * FROM benchmark UNION ALL SELECT * FROM benchmark) GROUP BY item_id)""")
 def golden_union(t: Read):
-    """Facts named by chunk, each once, in order."""
+    """Facts named by chunk, each once, in order, numbered over ranges of them."""
     b = t.benchmark.unionByName(t.benchmark).groupBy("item_id").agg(F.min("text").alias("text"))
     chunk = F.floor(F.col("item_id") / 10).cast("long")
     head = F.concat(F.lit("# Source "), F.lpad((F.col("item_id") % 100).cast("string"), 2, "0"), F.lit("\n\n"), F.col("text"))
-    return b.select(F.concat_ws("/", chunk.cast("string"), F.col("item_id").cast("string")).alias("fact"), F.row_number().over(W.orderBy(chunk, "item_id")).cast("long").alias("pos"), F.sha2(head, 256).alias("sha256"))
+    facts = b.select(chunk.alias("chunk"), "item_id", F.sha2(head, 256).alias("sha256"))
+    placed = sums_before(facts, ["chunk", "item_id"], {"before": F.lit(1).cast("long")}, writer(t.spark))
+    return placed.select(F.concat_ws("/", F.col("chunk").cast("string"), F.col("item_id").cast("string")).alias("fact"), (F.col("before") + 1).alias("pos"), "sha256")
 
 
 @query("""WITH g AS (SELECT user_id, event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL), p AS (SELECT user_id, event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY ALL)
@@ -358,7 +362,7 @@ def judge_inputs(t: Read):
 @query("""WITH u AS (SELECT lang AS stage, doc_id AS unit, sha256(text) AS c FROM documents), s AS (SELECT stage, unit, CASE WHEN unit % 5 = 0 THEN 'old' ELSE c END AS c FROM u WHERE unit % 7 <> 0)
   SELECT u.stage, count(*) AS units, count(s.unit) AS reused FROM u LEFT JOIN s ON s.stage = u.stage AND s.unit = u.unit AND s.c = u.c GROUP BY u.stage""")
 def reuse_counts(t: Read):
-    """J16 J17 A30 P22 X43"""
+    """Stored responses that agree in all their hashes."""
     u = t.documents.select(F.col("lang").alias("stage"), F.col("doc_id").alias("unit"), F.sha2("text", 256).alias("content_sha"), F.lit("p1").alias("prompt_sha"), F.lit("u1").alias("upstream_sha"))
     stored = u.where("unit % 7 <> 0").withColumn("content_sha", F.when(F.col("unit") % 5 == 0, "old").otherwise(F.col("content_sha")))
     return CO.reuse_counts(u, stored)
@@ -402,7 +406,7 @@ _TABLED = "'| h' || doc_id || ' | x |' || chr(10) || '|---|---|' || chr(10) || '
   f AS (SELECT *, min(n) FILTER (heads) OVER (PARTITION BY doc_id, run) AS first_line FROM h)
   SELECT doc_id, cast(first_line AS INT) AS first_line, count(*) AS rows, string_agg(trim(line), chr(10) ORDER BY n) AS markdown, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS table_no FROM f WHERE n >= first_line GROUP BY doc_id, first_line""")
 def block_union_dedup(t: Read):
-    """Markdown tables of documents with one in front and one in a fence."""
+    """Markdown tables of documents with one in front and one in a fence."""
     text = F.concat(F.lit("| h"), F.col("doc_id").cast("string"), F.lit(" | x |\n|---|---|\n| 1 | 2 |\n```\n| no | t |\n|---|---|\n```\n"), F.col("text"))
     return B.markdown_tables(_docs(t).select("doc_id", text.alias("text"))).withColumn("table_no", F.col("table_no").cast("long"))
 
@@ -423,7 +427,5 @@ def transcript_clean(t: Read):
 
 @query()
 def digest_pipeline(t: Read):
-    """K01 K08 K09 A27 A28 and the stages between, with a stand-in for the model: every document becomes a gated article."""
-    from .tables import writer
-
+    """A27 A28 X25 K11 K12 P17 and the stages between, with a stand-in for the model: every document becomes a gated article."""
     return P.digest(_docs(t), P.first_line_completer, writer(t.spark)).select("doc_id", F.sha2("article", 256).alias("sha256"), "facts", "sections", "cited", "words", "gate")

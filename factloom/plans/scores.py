@@ -9,7 +9,9 @@ from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import rankings as R
 from ..operators import tournament as T
+from ..operators.numbering import sums_before
 from .registry import Read, query
+from .tables import writer
 
 _PRF = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
           round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
@@ -167,13 +169,32 @@ _TOKENS = """WITH e AS (SELECT event_id, event_type AS stage, cast(sum(1 + event
 @query(f"""{_TOKENS}, d AS (SELECT stage, event_id, counter - lag(counter, 1, 0) OVER (PARTITION BY stage ORDER BY event_id) AS delta FROM e)
   SELECT stage, count(*) AS calls, sum(delta)::BIGINT AS tokens, max(delta) AS most FROM d GROUP BY stage""")
 def ledger_deltas(t: Read):
-    """Usage by stage from snapshots of running counters."""
-    by = W.partitionBy("stage").orderBy("event_id")
-    e = t.events.select("event_id", F.col("event_type").alias("stage")).withColumn("counter", F.sum(1 + F.col("event_id") % 50).over(by))
-    d = e.withColumn("delta", F.col("counter") - F.lag("counter", 1, 0).over(by))
+    """Usage by stage from running counters: what one shows behind a call, less what it showed before."""
+    calls = t.events.select("event_id", F.col("event_type").alias("stage"), (1 + F.col("event_id") % 50).alias("used"))
+    counters = sums_before(calls, ["event_id"], {"before": F.col("used")}, writer(t.spark), by=["stage"]).withColumn("after", F.col("before") + F.col("used"))
+    d = counters.withColumn("delta", F.col("after") - F.col("before"))
     return d.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("delta").alias("tokens"), F.max("delta").alias("most"))
 
 
+_RESULTS = """r AS (SELECT user_id, 'model ' || user_id AS name, count(*) FILTER (event_id % 3 = 0) AS hits, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id),
+  m AS (SELECT *, hits / n AS recall, kinds AS passed, n % 5 / 5 AS item_score, n % 3 / 3 AS field_score, hits / n AS f1, hits / n - 2.0 * (n % 4) / 10 AS composite, n % 6 AS tensions FROM r)"""
+
+
+@query(f"""WITH {_RESULTS} SELECT name, row_number() OVER (ORDER BY recall DESC, name) AS by_recall, row_number() OVER (ORDER BY passed DESC, item_score DESC, field_score DESC, name) AS by_structure,
+  row_number() OVER (ORDER BY f1 DESC, name) AS by_f1, row_number() OVER (ORDER BY composite DESC, tensions DESC, name) AS by_composite FROM m""")
+def comparators(t: Read):
+    """Users as models, ranked under four comparators."""
+    n, hits = F.col("n"), F.col("hits")
+    r = t.events.groupBy("user_id").agg(F.count_if(F.col("event_id") % 3 == 0).alias("hits"), F.count("*").alias("n"), F.count_distinct("event_type").alias("passed"))
+    m = r.select(F.concat(F.lit("model "), F.col("user_id").cast("string")).alias("name"), (hits / n).alias("recall"), "passed", (n % 5 / 5).alias("item_score"), (n % 3 / 3).alias("field_score"), (hits / n).alias("f1"), (hits / n - F.lit(2.0) * (n % 4) / 10).alias("composite"), (n % 6).alias("tensions"))
+    write = writer(t.spark)
+    results, out = write(m), None
+    for name, column in (("recall", "by_recall"), ("structured", "by_structure"), ("candidates", "by_f1"), ("digests", "by_composite")):
+        one = R.ranked(results, name, write).select("name", F.col("rank").alias(column))
+        out = one if out is None else out.join(one, "name")
+    return out
+
+
 @query("""WITH c AS (SELECT doc_id, greatest(1, cast(ceil(length(text) / 6000.0) AS BIGINT)) AS chunks FROM documents),
   p AS (SELECT doc_id, chunks, greatest(3, chunks) AS cap FROM c)
   SELECT doc_id, chunks, cap AS section_cap, chunks + 1 + 2 * cap AS mandatory, 3 * (chunks + 1 + 2 * cap) AS worst_case, least(2, greatest(0, 36 - (chunks + 1 + 2 * cap))) AS headroom, chunks + 1 + 2 * cap > 36 AS rejected, CASE WHEN chunks < 2 THEN 0 ELSE chunks * cast(ceil(log2(chunks)) AS BIGINT) END AS comparisons FROM p""")
@@ -251,7 +272,7 @@ def digest_score_gate(t: Read):
 @query("""SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, toxic, n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)
           QUALIFY rank <= 5""")
 def structured_rank(t: Read):
-    """The five best of each language under four comparators."""
+    """The five best of each language."""
     w = W.partitionBy("lang").orderBy(F.desc("quality"), "toxic", F.desc("n_chars"), "doc_id")
     rows = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id").withColumn("rank", F.row_number().over(w))
     return rows.where("rank <= 5").select("doc_id", "quality", "toxic", F.col("rank").cast("long").alias("rank"))

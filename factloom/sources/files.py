@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_input
+from ..operators.numbering import sums_before
+from ..plans.tables import writer
 
 # Caps on inputs.
 MOST_BYTES, MOST_MANIFEST_BYTES = 100 << 20, 8 << 20
@@ -33,7 +35,8 @@ def read_documents(spark: SparkSession, paths: list[str], glob: str = "*.md") ->
     big = F.when(F.col("length") > MOST_BYTES, F.raise_error(F.concat(F.lit("over 100 MiB: "), "path")).cast("binary")).otherwise(F.col("content"))
     once = parts.groupBy("path").agg(F.min("spec").alias("spec"), F.first("length").alias("length"), F.first("content").alias("content"))
     text = normalize_input(F.decode(big, "UTF-8"))
-    return once.select((F.row_number().over(W.orderBy("spec", "path")) - 1).cast("long").alias("doc_id"), "path", text.alias("text"))
+    numbers = sums_before(once.select("spec", "path"), ["spec", "path"], {"doc_id": F.lit(1).cast("long")}, writer(spark))  # names alone are sorted
+    return once.select("path", text.alias("text")).join(numbers.select("path", "doc_id"), "path").select("doc_id", "path", "text")
 
 
 def concat_sources(docs: DataFrame, order: str = "doc_id") -> DataFrame:

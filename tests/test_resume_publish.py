@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import chunks as C
+from factloom.operators.pipeline import digest, first_line_completer
 from factloom.operators.resume import Bound, Stages, digest_of
+from factloom.plans.tables import writer
 from factloom.sources.storage import Generation, Store, Versions, publish_both
 
 
@@ -62,6 +64,27 @@ def test_failed_calls_are_missing_and_others_are_kept(spark, docs, tmp_path):
     assert calls(f"{tmp_path}/c1") == ["b"]
 
 
+def test_a_digest_resumes_chunk_by_chunk(spark, tmp_path):
+    texts = [(1, "The probe left in 1977. It is far now."), (2, "Comets have two tails. One is dust."), (3, "A third text. It stays.")]
+    changed = [texts[0], (2, "Comets have two tails. Both are long."), texts[2]]
+    articles = []
+    for k, now in enumerate((texts, texts, changed)):
+        path = f"{tmp_path}/calls{k}"
+
+        def noted(prompt, path=path):
+            with open(path, "a") as f:
+                f.write(prompt.replace("\n", " ") + "\n")
+            return first_line_completer(prompt)
+
+        docs = spark.createDataFrame(now, "doc_id int, text string")
+        out = digest(docs, noted, writer(spark), stages=Stages(spark, f"{tmp_path}/run", {"size": "6000"}))
+        articles.append({r.doc_id: r.article for r in out.collect()})
+    assert len(calls(f"{tmp_path}/calls0")) == 3 + 3 + 6 and calls(f"{tmp_path}/calls1") == [] and articles[1] == articles[0]
+    third = calls(f"{tmp_path}/calls2")
+    assert 0 < len(third) <= 4 and all("omet" in c or "long" in c for c in third)
+    assert articles[2][1] == articles[0][1] and articles[2][3] == articles[0][3] and "long" in articles[2][2]
+
+
 def test_a_damaged_reply_and_a_torn_stage_count_as_missing(spark, docs, tmp_path):
     folder = f"{tmp_path}/run"
     stages = Stages(spark, folder, {})
