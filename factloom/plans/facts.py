@@ -39,7 +39,19 @@ def bullet_entries(t: Read):
     return FA.bullet_entries(_docs(t).select("doc_id", text.alias("text")))
 
 
-@query()
+_FNV_64 = "list_reduce(list_prepend(14695981039346656037::HUGEINT, [cast('0x' || substr(hex(encode(token)), 2 * i - 1, 2) AS HUGEINT) for i in range(1, strlen(token) + 1)]), lambda f, x: xor(f, x) * 1099511628211 % 18446744073709551616)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(trim(regexp_replace(lower(ls[i]), '[\\t\\n\\f\\r ]+', ' ', 'g')), '^\\p{{P}}+|\\p{{P}}+$', '', 'g'), '') AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, len(ls) + 1) r(i)),
+  kept AS (SELECT doc_id, line_no, list_filter([regexp_replace(x, '^\\p{{P}}+|\\p{{P}}+$', '', 'g') for x in string_split(trim(regexp_replace(k, '[\\t\\n\\f\\r ]+', ' ', 'g')), ' ')], lambda x: x <> '') AS tokens
+           FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY line_no) AS n FROM l) WHERE n = 1 OR k = ''),
+  t AS (SELECT doc_id, line_no, len(tokens) AS size, unnest(tokens) AS token FROM kept WHERE len(tokens) >= 5),
+  h AS (SELECT token, {_FNV_64} AS hash FROM (SELECT DISTINCT token FROM t)),
+  bits AS (SELECT doc_id, line_no, bit, 2 * count(*) FILTER ((hash // (1::HUGEINT << bit)) % 2 = 1) > any_value(size) AS one FROM t JOIN h USING (token), range(0, 64) b(bit) GROUP BY doc_id, line_no, bit),
+  prints AS (SELECT doc_id, line_no, list(one ORDER BY bit) AS print FROM bits GROUP BY doc_id, line_no),
+  near AS (SELECT DISTINCT b.doc_id, b.line_no FROM prints pa JOIN prints pb ON pa.doc_id = pb.doc_id AND pa.line_no < pb.line_no JOIN kept a ON a.doc_id = pa.doc_id AND a.line_no = pa.line_no JOIN kept b ON b.doc_id = pb.doc_id AND b.line_no = pb.line_no
+           WHERE len(list_filter(list_zip(pa.print, pb.print), lambda z: z[1] <> z[2])) <= 10 AND len(list_filter(b.tokens, lambda x: list_contains(a.tokens, x))) >= 0.72 * least(len(a.tokens), len(b.tokens)))
+  SELECT kept.doc_id, cast(kept.line_no AS INT) AS line_no, near.line_no IS NOT NULL AS near_dup FROM kept LEFT JOIN near ON near.doc_id = kept.doc_id AND near.line_no = kept.line_no""")
 def near_dup_pairs(t: Read):
     """Lines of a document that are near to an earlier one; they stay and are flagged."""
     lines = _docs(t).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "bullet"))
@@ -177,7 +189,12 @@ def count_windows(t: Read):
     return b.groupBy("doc_id", "batch").agg(F.count("*").alias("sentences"), F.min("n").cast("long").alias("first_n"), F.max("n").cast("long").alias("last_n"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, ls, i, CASE WHEN i < len(ls) THEN ls[i] || chr(10) ELSE ls[i] END AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), range(1, len(ls) + 1) r(i)),
+  f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS n, substr(line, k * 1000 + 1, 1000) AS part FROM l, range(0, (length(line) + 999) // 1000) r(k)),
+  p AS (SELECT doc_id, n, 1 AS chunk_no, length(part) AS filled FROM f WHERE n = 1 UNION ALL
+        SELECT f.doc_id, f.n, chunk_no + (filled + length(part) > 1000)::INT, CASE WHEN filled + length(part) > 1000 THEN length(part) ELSE filled + length(part) END FROM p JOIN f ON f.doc_id = p.doc_id AND f.n = p.n + 1),
+  c AS (SELECT doc_id, chunk_no, string_agg(part, '' ORDER BY n) AS text FROM p JOIN f USING (doc_id, n) GROUP BY doc_id, chunk_no)
+  SELECT doc_id, cast(chunk_no AS INT) AS chunk_no, format('chunk-{:03d}', chunk_no) AS chunk_id, cast(length(text) AS INT) AS characters, sha256(text) AS sha256 FROM c""")
 def greedy_pack(t: Read):
     """Lossless chunks of 1000 characters at most."""
     return C.pack_documents(_docs(t), 1000).select("doc_id", "chunk_no", "chunk_id", "characters", "sha256")

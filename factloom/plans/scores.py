@@ -118,7 +118,10 @@ def cycle_audit(t: Read):
     return _rounded(T.rates(edges, T.triples(edges)), "flip_rate", "error_rate", "cycle_rate")
 
 
-@query()
+@query(f"""WITH {_EDGES}, k AS (SELECT a, b, list_concat([ord(c) for c in string_split(least(a, b), '')], [0], [ord(c) for c in string_split(greatest(a, b), '')]) AS bytes,
+        list_filter(['ALGERIA', 'BRAZIL', 'CHINA'], lambda j: j <> a AND j <> b) AS pool FROM edges),
+  h AS (SELECT a, b, pool, list_reduce(list_prepend(2166136261::BIGINT, [x::BIGINT for x in bytes]), lambda f, x: xor(f, x) * 16777619 % 4294967296) & 2147483647 AS hash FROM k)
+  SELECT a, b, pool[1 + hash % len(pool)] AS judge FROM h""")
 def judge_assignment(t: Read):
     """The judge of each pair, never one of the two unless no other is left."""
     return T.assign_judges(_edges(t).select("a", "b"), ["ALGERIA", "BRAZIL", "CHINA"])
