@@ -140,6 +140,32 @@ def _levels(name: str, leaves: str) -> str:
         {name}_runs AS (SELECT g, level, idx // 8 AS parent, list(digest ORDER BY idx) AS run FROM {name} WHERE n > 1 GROUP BY ALL)"""
 
 
+def _host(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN translate(regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+
+
+def _path(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN regexp_extract(substr({url}, instr({url}, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+
+
+def _attribute(tag: str, name: str) -> str:
+    values = ", ".join(f"nullif(regexp_extract({tag}, '(?is)\\s{name}\\s*=\\s*{q}', 1), '')" for q in ('"([^"]*)"', "''([^'']*)''", "([^\\s\"''>]+)"))
+    value = f"coalesce({values}, '')"
+    for entity, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', '{sign}')"
+    return f"trim({value})"
+
+
+def _resolved(to: str, src: str) -> str:
+    """A target against an url, by the rule: scheme, host, or folder of the url; dots are walked as a fold over one-step lists."""
+    raw = f"(regexp_replace({_path(src)}, '[^/]*$', '') || regexp_extract({to}, '^[^?#]*'))"
+    steps = f"list_filter(string_split(regexp_replace({raw}, '(/\\.{{1,2}})$', '\\1/'), '/'), lambda x: x <> '.')[2:]"
+    walked = f"list_reduce(list_prepend([]::VARCHAR[], [[y] for y in {steps}]), lambda done, x: CASE WHEN x = ['..'] THEN done[1:greatest(len(done) - 1, 0)] ELSE done || x END)"
+    folder = f"CASE WHEN {raw} LIKE '/%' THEN array_to_string({walked}, '/') ELSE {to} END"
+    return f"""CASE WHEN {to} LIKE '//%' THEN 'x:' || {to} WHEN {to} LIKE '/%' THEN 'x://' || {_host(src)} || {to}
+            WHEN instr({src}, '://') > 0 AND NOT regexp_matches({to}, '^([A-Za-z][A-Za-z0-9+.-]*:|[#?]|$)') THEN 'x://' || {_host(src)} || '/' || {folder} ELSE {to} END"""
+
+
 SQL = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLDED} AS body FROM documents)
@@ -155,32 +181,29 @@ SQL = {
                         coalesce((SELECT string_agg(words[i], ' ' ORDER BY i) FROM range(1, len(words) + 1) r(i) WHERE places IS NULL OR NOT list_contains(places, i)), '') AS body
                  FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, n_words, n_removed, sha256(body) AS kept_sha256 FROM kept""",
-    "op9_url_filter": r"""
-        WITH RECURSIVE tags AS (
-            SELECT url AS src, unnest(list_filter(regexp_extract_all(html, '(?is)<(?:link|meta)\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'),
-                lambda t: regexp_matches(t, '(?is)^<link\s(?:.*\s)?rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s>])')
-                       OR regexp_matches(t, '(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*["'']?refresh["''\s>]'))) AS tag
+    "op9_url_filter": f"""
+        WITH RECURSIVE pieces AS (
+            SELECT url AS src, html, unnest(list_filter(regexp_extract_all(html, '(?is)<(?:link|meta)\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>'),
+                lambda t: regexp_matches(t, '(?is)^<link\\s(?:.*\\s)?rel\\s*=\\s*(?:"(?:[^"]*\\s)?canonical(?:\\s[^"]*)?"|''(?:[^'']*\\s)?canonical(?:\\s[^'']*)?''|canonical[\\s>])')
+                       OR regexp_matches(t, '(?is)^<meta\\s(?:.*\\s)?http-equiv\\s*=\\s*["'']?refresh["''\\s>]'))) AS tag
             FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-        held AS (SELECT src, regexp_matches(tag, '(?is)^<link') AS canonical,
-                        coalesce(nullif(regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(tag, '(?is)\shref\s*=\s*([^\s"''>]+)', 1), ''), '') AS href,
-                        coalesce(nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*''([^'']*)''', 1), ''), nullif(regexp_extract(tag, '(?is)\scontent\s*=\s*([^\s"''>]+)', 1), ''), '') AS content FROM tags),
-        targets AS (SELECT src, trim(CASE WHEN canonical THEN href ELSE regexp_extract(content, '(?is)url\s*=\s*["'']?([^"'']*)', 1) END) AS dst FROM held),
+        aims AS (SELECT src, regexp_extract_all(html, '(?is)<base\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS bases,
+                        CASE WHEN regexp_matches(tag, '(?is)^<link') THEN {_attribute("tag", "href")} ELSE trim(regexp_extract({_attribute("tag", "content")}, '(?is)url\\s*=\\s*["'']?([^"'']*)', 1)) END AS target FROM pieces),
+        based AS (SELECT src, target, list_filter([{_attribute("b", "href")} for b in bases], lambda h: h <> '')[1] AS base FROM aims),
+        homes AS (SELECT DISTINCT src, base, CASE WHEN instr(coalesce({_resolved("base", "src")}, ''), '://') > 0 THEN {_resolved("base", "src")} ELSE src END AS home FROM based),
+        targets AS (SELECT src, {_resolved("target", "home")} AS dst FROM based JOIN homes USING (src) WHERE based.base IS NOT DISTINCT FROM homes.base),
         urls AS (SELECT url FROM pages UNION SELECT dst FROM targets WHERE instr(dst, '://') > 0),
-        rest AS (SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
-        parts AS (SELECT url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-                         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
-        ends AS (SELECT a.host || a.path AS a, CASE WHEN dst LIKE '/%' THEN a.host || regexp_extract(dst, '^[^?#]*') ELSE b.host || b.path END AS b
-                 FROM targets JOIN parts a ON a.url = src LEFT JOIN parts b ON b.url = dst WHERE instr(src, '://') > 0 AND (dst LIKE '/%' OR instr(dst, '://') > 0)),
+        parts AS (SELECT url, {_host("url")} AS host, {_path("url")} AS path FROM urls),
+        ends AS (SELECT a.host || a.path AS a, b.host || b.path AS b FROM targets JOIN parts a ON a.url = src JOIN parts b ON b.url = dst WHERE instr(src, '://') > 0 AND instr(dst, '://') > 0),
         link AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
         reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
-        nodes AS (SELECT host || path AS node, host, path FROM parts UNION
-                  SELECT b, split_part(b, '/', 1), substr(b, length(split_part(b, '/', 1)) + 1) FROM ends),
+        nodes AS (SELECT DISTINCT host || path AS node, host, path FROM parts),
         ruled AS (SELECT node, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
                   FROM nodes JOIN (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, h, p)
                   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY node),
         spread AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM reach JOIN ruled ON node = b GROUP BY a)
         SELECT page_id, host, path, ruled.rule, coalesce(ruled.verdict, spread.verdict, 'allow') AS verdict
-        FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || path LEFT JOIN spread ON spread.node = host || path""",
+        FROM pages p JOIN parts ON parts.url IS NOT DISTINCT FROM p.url LEFT JOIN ruled ON ruled.node = host || path LEFT JOIN spread ON spread.node = host || path AND host <> ''""",
     "op11_merkle_manifest": f"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('+' || lang, '') AS g, {_leaf("text")} AS leaf,
                                     CASE WHEN {_CRC32.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 3 = 0

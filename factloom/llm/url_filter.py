@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import A_TO_Z, Tables, components
+from .shared import A_TO_Z, Tables, attach, components
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -18,6 +18,10 @@ TAG = r"(?is)<(?:link|meta)\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
 CANONICAL = r"(?is)^<link\s(?:.*\s)?rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s>])"
 REFRESH = r"(?is)^<meta\s(?:.*\s)?http-equiv\s*=\s*[\"']?refresh[\"'\s>]"
 
+BASE = r"(?is)<base\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+# Entities that an url may hold; the ampersand is read last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&amp;", "&"))
+
 #: Up to so many rules go into the plan as literals; more are joined by host.
 LITERAL_RULES = 200
 
@@ -34,31 +38,46 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) urls of rel=canonical links and meta refreshes; targets are resolved against the page's own url.
-
-    ``//host/path`` has the page's scheme, ``/path`` its host, and what has no
-    scheme at all is relative to the page's folder, with ``.`` and ``..`` taken
-    out. Other schemes without ``://`` (mailto:) are no links, nor are ``#`` and ``?``.
-    """
-    html = F.col(html_col)
-    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), 0), lambda tag: tag.rlike(CANONICAL) | tag.rlike(REFRESH))
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not, without blanks at its ends and with its entities read; empty if there is none."""
     quoted = (r"\"([^\"]*)\"", "'([^']*)'", r"([^\s\"'>]+)")
-    value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in quoted], F.lit(""))
-    refresh = F.regexp_extract(value("content"), r"(?is)url\s*=\s*[\"']?([^\"']*)", 1)
-    target = F.trim(F.when(F.col("tag").rlike(r"(?i)^<link"), value("href")).otherwise(refresh))
-    found = pages.where(html.isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(tags).alias("tag")).select("src", target.alias("to"))
-    to, src = F.col("to"), F.col("src")
+    value = F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in quoted], F.lit(""))
+    for entity, sign in ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return F.trim(value)
+
+
+def _resolved(to: Column, src: Column) -> Column:
+    """A target against an absolute url; what is no link has no ``://``."""
     own = F.concat(F.lit("x://"), host_of(src))
-    # The page's folder and the target's path, split at /; a last . or .. leaves a folder.
+    # The url's folder and the target's path, split at /; a last . or .. leaves a folder.
     raw = F.concat(F.regexp_replace(path_of(src), "[^/]*$", ""), F.regexp_extract(to, "^[^?#]*", 0))
     steps = F.filter(F.split(F.regexp_replace(raw, r"/\.{1,2}$", "$0/"), "/", -1), lambda x: x != ".")
     root = F.array().cast("array<string>")
     walked = F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))), root, lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
     relative = F.concat(own, F.lit("/"), F.array_join(F.when(F.startswith(raw, F.lit("/")), walked).otherwise(F.split(to, "/", -1)), "/"))
     bare = ~to.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|[#?]|$)") & (F.instr(src, "://") > 0)
-    dst = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(own, to)).when(bare, relative).otherwise(to)
-    return found.select("src", dst.alias("dst")).where("instr(dst, '://') > 0")
+    return F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(own, to)).when(bare, relative).otherwise(to)
+
+
+def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(src, dst) urls of rel=canonical links and meta refreshes; targets are resolved against the page's base.
+
+    That is the href of its first ``<base>`` that has one, itself resolved against
+    the page's url, else that url. ``//host/path`` has the base's scheme, ``/path``
+    its host, and what has no scheme at all is relative to the base's folder, with
+    ``.`` and ``..`` taken out. Entities of attributes are read. Other schemes
+    without ``://`` (mailto:) are no links, nor are ``#`` and ``?``.
+    """
+    html, tag = F.col(html_col), F.col("tag")
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TAG), 0), lambda x: x.rlike(CANONICAL) | x.rlike(REFRESH))
+    bases = F.filter(F.transform(F.regexp_extract_all(html, F.lit(BASE), 0), lambda x: _attribute(x, "href")), lambda x: x != "")
+    refresh = F.trim(F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*[\"']?([^\"']*)", 1))
+    target = F.when(tag.rlike(r"(?i)^<link"), _attribute(tag, "href")).otherwise(refresh)
+    found = pages.where(html.isNotNull() & F.col(url_col).isNotNull()).select(F.col(url_col).alias("src"), F.get(bases, F.lit(0)).alias("base"), F.explode(tags).alias("tag"))
+    found = found.select("src", F.coalesce(_resolved(F.col("base"), F.col("src")), F.col("src")).alias("base"), target.alias("to"))
+    found = found.withColumn("base", F.when(F.instr("base", "://") > 0, F.col("base")).otherwise(F.col("src")))
+    return found.select("src", _resolved(F.col("to"), F.col("base")).alias("dst")).where("instr(dst, '://') > 0")
 
 
 def _ruled(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -109,9 +128,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = list(RULES), links: DataFra
         if edges.take(1):
             classes = components(edges, tables)
             nodes = _ruled(classes.withColumn("host", F.substring_index("node", "/", 1)).withColumn("path", F.expr("substring(node, length(host) + 1)")), rules)
-            spread = nodes.groupBy("component").agg(F.max(F.when(F.col("ruled") == "allow", 2).when(F.col("ruled") == "block", 1)).alias("level"))
-            taken = tables.write(classes.join(spread.where("level is not null"), "component").select("node", F.when(F.col("level") == 2, "allow").otherwise("block").alias("spread")))
+            level = F.max(F.when(F.col("ruled") == "allow", 2).when(F.col("ruled") == "block", 1))
+            spread = tables.write(nodes.groupBy("component").agg(level.alias("level"), F.count("*").alias("nodes")))
+            held = spread.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]  # a component may hold most nodes, and a node most rows
+            taken = tables.write(attach(classes, spread, "component", "nodes", held).where("level is not null").select("node", F.when(F.col("level") == 2, "allow").otherwise("block").alias("spread")))
             loose = rows.where("ruled is not null or host = ''").withColumn("spread", F.lit(None).cast("string"))  # an own rule, or no host: no alias decides
-            rows = rows.where("ruled is null and host <> ''").withColumn("node", F.concat("host", "path")).join(taken, "node", "left").drop("node").unionByName(loose)
+            open_ = rows.where("ruled is null and host <> ''").withColumn("node", F.concat("host", "path"))
+            sizes = tables.write(open_.groupBy("node").agg(F.count("*").alias("rows")).join(taken, "node", "left"))
+            total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            rows = attach(open_, sizes, "node", "rows", total).drop("node", "rows").unionByName(loose)
             said = F.coalesce(F.col("ruled"), F.col("spread"), F.lit(default))
     return rows.select("page_id", "host", "path", "rule", said.alias("verdict"))

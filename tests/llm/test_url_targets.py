@@ -1,3 +1,8 @@
+import random
+
+import duckdb
+
+from factloom.llm import queries
 from factloom.llm.url_filter import judge_urls, links_of
 
 
@@ -37,3 +42,34 @@ def test_hosts_with_spaces_nulls_and_long_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     rules = [("block", "x y.net", "/")]
     assert {(r.page_id, r.host, r.verdict) for r in judge_urls(pages, rules, links_of(pages)).collect()} == {(1, "ok.org", "block"), (2, "x y.net", "block"), (None, "ok.org", "block"), (3, "", "allow"), (4, "", "allow")}
+
+
+def test_base_and_entities(spark):
+    want = {
+        '<base href="http://a.net/d/e"><link rel=canonical href="x.html">': "x://a.net/d/x.html", '<base target=_top><base href="/q/r"><link rel=canonical href="x">': "x://h.org/q/x", '<base href="mailto:a"><link rel=canonical href="x">': "x://h.org/d/x",
+        '<base href=""><link rel=canonical href="/y">': "x://h.org/y", '<link rel=canonical href="http://a.net/p&amp;q">': "http://a.net/p&q", '<link rel=canonical href=" http://a.net/s&#x2F;t ">': "http://a.net/s/t", '<base href="//b.net"><link rel=canonical href="x/y">': "x://b.net/x/y",
+    }
+    rows = [(k, f"http://h.org/d/p?{k}", tag) for k, tag in enumerate(want)]
+    got = {int(r.src.split("?")[1]): r.dst for r in links_of(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
+def test_the_sql_says_the_same_over_planted_links(spark, tmp_path):
+    rng = random.Random(7)
+    hosts = ["h.org", "bad.net", "example.net", "www.example.com", "ok.io", "X.Net"]
+    aims = ["//bad.net/x", "../e/z.html", "z.html", "/fr/a", "http://bad.net/p&amp;q", "http://example.net/en/1", "./a/../b", "#top", "mailto:a@b", "?q=1", "", "https://ok.io/y?z#f", "../../../up", "d/..", "http://www.example.com/de/k"]
+    bases = ["", "", "", '<base href="http://bad.net/in/side">', '<base href="/other/">', "<base target=x>", '<base href="sub/">']
+    rows = [(1, None, None), (2, "no scheme", '<link rel=canonical href="http://bad.net/">'), (3, "http://a.org", None), (None, "http://ok.io/y", None), (4, "http://ok.io/y", None), (4, "http://ok.io/y", None), (5, "http://bad.net/x", "")]
+    for k in range(120):
+        to = rng.choice(aims)
+        tag = f'<link rel="canonical" href="{to}">' if rng.random() < 0.6 else f"<meta http-equiv='refresh' content='0; url={to}'>"
+        rows.append((10 + k, f"http://{rng.choice(hosts)}/{rng.choice(['', 'fr/', 'de/', 'en/', 'd/e/'])}{rng.randrange(60)}", f"<p>{rng.choice(bases)}{tag}</p>"))
+    rows += [(900 + k, f"http://many.io/{k}", '<link rel=canonical href="http://many.io/hub">') for k in range(80)] + [(990, "http://many.io/hub", '<link rel=canonical href="//bad.net/hub">')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = c.sql(f"SELECT {', '.join(names)} FROM ({queries.SQL['op9_url_filter']})").fetchall()
+    got = [tuple(r) for r in queries.op9_url_filter(spark, str(tmp_path)).select(names).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == len(rows)
+    assert all(r[4] == "block" for r in got if r[1] == "many.io") and {r[4] for r in got if r[1] == "ok.io"} == {"allow", "block"}
