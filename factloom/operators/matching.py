@@ -62,16 +62,17 @@ class Anchors:
         return count
 
 
-@F.pandas_udf(T.LongType())
-def tokens_held(text: pd.Series, anchors: pd.Series) -> pd.Series:
-    """How many of its normalized anchors a normalized text has at token boundaries."""
+@F.pandas_udf(T.StructType([T.StructField("total", T.LongType()), T.StructField("covered", T.LongType())]))
+def tokens_held(text: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+    """A text's distinct anchors that aren't empty, and how many of them it has at token boundaries; both are normalized."""
     def held(t: str, anchor: str) -> bool:
         at = t.find(anchor)
         while at >= 0 and not Anchors.bounded(t, at, at + len(anchor)):
             at = t.find(anchor, at + 1)
         return at >= 0
 
-    return pd.Series([sum(held(t, a) for a in names if a) for t, names in zip(text, anchors, strict=True)], dtype="int64")
+    names = [{a for a in each if a} for each in anchors]
+    return pd.DataFrame({"total": [len(n) for n in names], "covered": [sum(held(t, a) for a in n) for t, n in zip(text, names, strict=True)]})
 
 
 def score_facts(texts: DataFrame, golden: DataFrame, by: list[str]) -> DataFrame:

@@ -124,9 +124,8 @@ def _boundary_sql(norm: str, anchor: str) -> str:
   SELECT doc_id, count(*) AS total, count(*) FILTER (strpos(body, norm) > 0 AND {_boundary_sql('body', 'norm')}) AS covered FROM n JOIN article USING (doc_id) WHERE norm <> '' GROUP BY doc_id""")
 def specifics_coverage(t: Read):
     """Distinct normalized specifics of the facts, and how many the article has."""
-    norms = F.filter(F.array_distinct(F.transform("found", X.normalize)), lambda s: s != "")
-    rows = _facts(t).select("doc_id", X.normalize(F.col("body")).alias("body"), norms.alias("norms")).where(F.size("norms") > 0)
-    return rows.select("doc_id", F.size("norms").cast("long").alias("total"), tokens_held("body", "norms").alias("covered"))
+    rows = _facts(t).select("doc_id", X.normalize(F.col("body")).alias("body"), F.array_distinct(F.transform("found", X.normalize)).alias("norms"))
+    return rows.select("doc_id", F.inline(F.array(tokens_held("body", "norms")))).where("total > 0")  # a generator's input is made once, whatever follows
 
 
 @query(f"""WITH l AS (SELECT doc_id, i, lines[i] AS line, regexp_replace({_SQUEEZE.format('lower(lines[i])')}, '^[[:punct:]\\p{{P}}]+|[[:punct:]\\p{{P}}]+$', '', 'g') AS k
