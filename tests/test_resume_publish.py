@@ -177,3 +177,19 @@ def test_line_spans_search_forward(spark):
     chunks = spark.createDataFrame([(1, k, p) for k, p in enumerate(parts)] + [(2, 0, "x"), (1, 9, ""), (1, 10, None)], "doc_id int, chunk_no int, text string")
     got = {(r.doc_id, r.chunk_no): (r.start_line, r.end_line) for r in C.line_spans(docs, chunks).collect()}
     assert got == {(1, 0): (1, 1), (1, 1): (3, 3), (1, 2): (0, 0), (1, 3): (5, 6), (1, 4): (0, 0), (1, 5): (5, 5), (2, 0): (0, 0), (1, 9): (0, 0), (1, 10): (0, 0)}
+
+
+def test_digest_broadcasts_no_table(spark, tmp_path):
+    """Small files of many facts aren't taken to the driver, whatever Spark thinks of their size."""
+    plans = []
+
+    def write(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        df.write.parquet(f"{tmp_path}/{len(plans)}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{len(plans)}")
+
+    docs = spark.createDataFrame([(k, f"Fact {k} is known. It was found early.\n\nNobody doubts fact {k}.") for k in range(6)], "doc_id long, text string")
+    got = digest(docs, first_line_completer, write)
+    rows = got.collect()
+    assert len(rows) == 6 and all(r.facts == 3 and r.sections == 2 and r.cited == 1 for r in rows)
+    assert not any("Broadcast" in plan for plan in [*plans, got._jdf.queryExecution().executedPlan().toString()])
