@@ -85,3 +85,15 @@ def test_sql_says_the_same(spark):
         whole = lambda v: int(v) if isinstance(v, float) and v == int(v) else v  # noqa: E731  integers beside nulls come as floats from one engine only
         key = lambda p: sorted(repr([whole(v) for v in r]) for r in p.astype(object).where(p.notna(), None).values.tolist())
         assert key(got) == key(want), name
+
+
+def test_driver_gives_memory_back_while_an_operator_writes_its_tables(spark, monkeypatch):
+    from factloom.llm import shared
+
+    seen = []
+    whole = shared.relieved
+    monkeypatch.setattr(shared, "relieved", lambda s: seen.append(1) or whole(s))
+    tables = shared.Tables(spark)
+    for k in range(8):
+        tables.write(spark.range(k))
+    assert len(seen) == 2
