@@ -49,6 +49,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of rows whose texts hang together by the similarity of their shingles one stays: that with the smallest id.
 
+    Candidates come from SimHash fingerprints at 3 or fewer differing bits, and
+    from bands of MinHash where fingerprints differ more; sets of shingles decide.
     Rows are told apart by a number of their own, not by their ids: a null id is
     larger than any other, and of equal ids any one is the smallest. Texts without
     words, and null, hang on none and stay. An empty table stays empty.

@@ -123,6 +123,20 @@ def links(classes: DataFrame, tables: Tables, segment_bits: int = 2, dense: int
 MOST_FOR_PAIRS_OF_BITS = 1 << 22
 
 
+def near_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, segment_bits: int | None = None, dense: int = 512) -> DataFrame:
+    """(a, b), a table: each text with the smallest id of its fingerprint, and these ids along ``links``; texts without words, and null ids, have none."""
+    tables = Tables(docs.sparkSession)
+    marked = tables.write(fingerprints(docs, id_col, text_col, words).where("fp <> 0 AND doc_id IS NOT NULL"))
+    classes = tables.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
+    count, total = classes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    between = links(classes.select("fp", "rep"), tables, segment_bits or (2 if count <= MOST_FOR_PAIRS_OF_BITS else 1), dense)
+    within = attach(marked, classes.where("size > 1"), "fp", "size", total).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = tables.write(between.unionByName(within))
+    tables.drop(marked)
+    tables.drop(classes)
+    return found
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None, segment_bits: int | None = None, dense: int = 512) -> DataFrame:
     """Every row of ``docs`` with the smallest doc_id reachable over links between near texts.
 
@@ -134,8 +148,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the plan, not the result.
 
     With ``similarity``, links are pairs of texts whose sets of shingles have at
-    least that Jaccard similarity, see ``similar_groups``: at 0.8, fingerprints
-    differ in some ten bits, more than the grid can search for.
+    least that Jaccard similarity. The same fingerprints and range join give the
+    first candidates, each verified by its sets; pairs whose fingerprints differ
+    in more bits than the grid can search for (some ten, at 0.8) are found by
+    ``similar_groups``.
 
     Returns doc_id, component_id and, without ``similarity``, fingerprint (16
     lowercase hex digits). Null text: no words. Null ids form no representative
@@ -144,7 +160,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in one task's memory, at some 80 bytes a byte.
     """
     if similarity is not None:
-        return similar_groups(docs, id_col, text_col, words, similarity)
+        return similar_groups(docs, id_col, text_col, words, similarity, candidates=near_prints(docs, id_col, text_col, words, segment_bits, dense))
     tables = Tables(docs.sparkSession)
     marked = tables.write(fingerprints(docs, id_col, text_col, words))
     classes = tables.write(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))

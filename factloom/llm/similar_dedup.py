@@ -81,7 +81,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 1e-6) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, miss: float = 1e-6, candidates: DataFrame | None = None) -> DataFrame:
     """Every row of ``docs`` and the smallest doc_id reachable over pairs of texts with a Jaccard similarity of ``similarity``.
 
     Similarity is of the sets of ``words``-word shingles, as 64-bit hashes. Texts
@@ -92,7 +92,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other components is compared in full: nothing is capped, and a large group of
     near copies, which hang on the text they come from, is linear. Pairs are held
     to a lower bound of their difference, the Hamming distance of parity
-    fingerprints, before their sets are read.
+    fingerprints, before their sets are read. ``candidates``, a table (a, b) of
+    ids of texts with words, are pairs found in another way: they are held to the
+    bound and verified along with the first ones.
 
     Returns doc_id, component_id. Texts without words, and null, link to none.
     Null ids: component_id is null. Repeated rows each return. Empty table: no rows.
@@ -130,11 +132,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables.drop(keys)
     tables.drop(shared)
     meets = met.groupBy("doc_id").agg(F.sum("n").alias("meets"))
-    sets = tables.write(with_id.join(meets, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "doc_id long, shingles array<long>, size int, sketch array<long>"))
+    members = meets.select("doc_id")
+    if candidates is not None:
+        members = members.unionByName(candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    sets = tables.write(with_id.join(members, "doc_id").select("doc_id", "text").mapInArrow(lean(sets_of), "doc_id long, shingles array<long>, size int, sketch array<long>"))
     slim = sets.drop("shingles")
     hubs = met.join(meets, "doc_id").groupBy("key").agg(F.max(F.struct("meets", "doc_id")).alias("hub"), F.max("n").alias("n")).select("key", F.col("hub.doc_id").alias("hub"), "n")
-    pairs = attach(met.select("key", "doc_id"), hubs, "key", "n", total).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = tables.write(pairs)
+    pairs = attach(met.select("key", "doc_id"), hubs, "key", "n", total).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    stars = tables.write((pairs if candidates is None else pairs.unionByName(candidates)).distinct())
     degrees = stars.groupBy("b").agg(F.count("*").alias("degree"))
     hung = attach(stars, slim.withColumnRenamed("doc_id", "b").join(degrees, "b").select("b", "degree", F.struct("size", "sketch").alias("q")), "b", "degree", stars.count())
     likely = hung.join(slim.select(F.col("doc_id").alias("a"), F.struct("size", "sketch").alias("p")), "a").where(_near("p", "q", similarity)).select("a", "b")

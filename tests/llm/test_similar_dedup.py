@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+from factloom.llm import simhash_dedup
+from factloom.llm.simhash_dedup import fingerprints, near_prints
 from factloom.llm.similar_dedup import similar_groups
 from tests.llm.test_dedup import WORDS, fold, reachable
 
@@ -53,3 +55,24 @@ def test_stage_drops_near_copies_beyond_three_bits(spark):
     left = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect())
     assert left == sorted(i for i in texts if want[i] == i)
     assert not {145, 177} & set(left)
+
+
+def test_stage_takes_fingerprints_first_and_verifies_them(spark, documents, rows_of, monkeypatch):
+    """Pairs at three bits are candidates whether or not bands meet; a candidate that isn't similar links nothing."""
+    rng = random.Random(9)
+    texts = {}
+    for g in range(6):
+        words = [f"w{rng.randrange(9000)}" for _ in range(500)]
+        texts |= {10 * g + k: " ".join(edited(rng, words, min(k, 1)) if k < 3 else edited(rng, words, 400)) for k in range(4)}
+    texts |= {100: "", 101: None, 102: "  "}
+    marks = {r.doc_id: r.fp & (1 << 64) - 1 for r in fingerprints(documents(texts.items()), words=5).collect()}
+    near = [(a, b) for a in marks for b in marks if b < a < 100 and (marks[a] ^ marks[b]).bit_count() <= 3]
+    pairs = near_prints(documents(texts.items()))
+    assert len(near) >= 6 and reachable([(r.a, r.b) for r in pairs.collect()], texts) == reachable(near, texts)
+    false = spark.createDataFrame([(13, 3)], "a long, b long")
+    got = dict(rows_of(similar_groups(documents(texts.items()), miss=0.99, candidates=pairs.unionByName(false))))
+    assert all(got[a] == got[b] for a, b in near) and got[13] == 13 and got[3] == 3
+    asked = []
+    monkeypatch.setattr(simhash_dedup, "near_prints", lambda *a, **k: asked.append(1) or near_prints(*a, **k))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(texts.items()), FOLDER).collect()}
+    assert asked and left == {i for i in texts if i >= 100 or i % 10 in (0, 3)}
