@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.slices import freed, slices
 from ..functions.text import ratio
 
 
@@ -170,5 +171,21 @@ def degrade(kind: str, text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def degrade_udf(kind: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([degrade(k, t or "") for k, t in zip(kind, text, strict=True)])
+def degrade_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``degrade`` of (kind, text), a slice of a batch at a time."""
+    for kind, text in batches:
+        for part in slices(pd.DataFrame({"kind": kind, "text": text}), text.str.len()):
+            yield pd.Series([degrade(k, t or "") for k, t in zip(part["kind"], part["text"], strict=True)], dtype=object)
+    freed()
+
+
+def degraded_udf(*kinds: str):
+    """A struct of a text's worse versions by kind: the text goes to one worker once, whatever the number of kinds."""
+    @F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in kinds]))
+    def degraded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            for part in slices(text, text.str.len()):
+                yield pd.DataFrame({k: [degrade(k, t or "") for t in part] for k in kinds}, dtype=object)
+        freed()
+
+    return degraded

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions.shingles import shingle_digests_udf, shingle_range_udf
 from ..operators.chunks import spread
 from ..operators.matching import tokens_held
-from ..operators.tournament import degrade_udf
+from ..operators.tournament import degraded_udf
 from .registry import Read, query
 
 _WS = "[\\t\\n\\f\\r ]"
@@ -175,8 +175,8 @@ _ENDS = "trim({}, chr(9) || chr(10) || chr(12) || chr(13) || ' ')"
          md5(CASE WHEN len(s) <= 2 THEN text ELSE array_to_string(s[2:len(s) - 1], ' ') END) AS without_ends FROM w""")
 def degradations(t: Read):
     """Paragraphs in reverse, the first 45 % of words, every sentence a bullet, no first and last sentence."""
-    worse = lambda kind: F.md5(degrade_udf(F.lit(kind), F.col("text")))
-    return _docs(t).select("doc_id", worse("shuffle").alias("shuffled"), worse("truncate").alias("truncated"), worse("listify").alias("listified"), worse("drop_ends").alias("without_ends"))
+    rows = _docs(t).select("doc_id", degraded_udf("shuffle", "truncate", "listify", "drop_ends")("text").alias("worse"))
+    return rows.select("doc_id", F.md5("worse.shuffle").alias("shuffled"), F.md5("worse.truncate").alias("truncated"), F.md5("worse.listify").alias("listified"), F.md5("worse.drop_ends").alias("without_ends"))
 
 
 @query("""WITH l AS (SELECT doc_id, i AS line_no, list_transform(string_split(trim(lines[i]), '|'), lambda c: trim(c)) AS c0 FROM (SELECT doc_id, string_split(text || chr(10) || '| Model | Score |' || chr(10) || '|---|:-:|' || chr(10) || '| m' || doc_id || ' | 1,' || doc_id || '.5 pts |', chr(10)) AS lines FROM documents), range(1, len(lines) + 1) r(i) WHERE contains(lines[i], '|')),

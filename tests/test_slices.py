@@ -22,3 +22,14 @@ def test_shingles_of_a_batch_come_in_slices():
     texts = pd.Series([" ".join(f"w{j}" for j in range(k, k + 60_000)) for k in range(12)] + ["too short", None])
     parts = made(SH.shingle_digests_udf, texts)
     assert len(parts) > 3 and [len(x) for p in parts for x in p] == [59_993] * 12 + [0, 0]
+
+
+def test_degradations_of_a_batch_come_in_slices_from_one_function():
+    from factloom.operators.tournament import degrade, degrade_udf, degraded_udf
+
+    texts = pd.Series([f"First {k}. Second.\n\n" + "More of it. " * 30_000 for k in range(10)] + ["", None])
+    parts = made(degraded_udf("shuffle", "drop_ends"), texts)
+    got = pd.concat(parts)
+    assert len(parts) > 3 and got["drop_ends"].tolist() == [degrade("drop_ends", t or "") for t in texts] and got["shuffle"].tolist() == [degrade("shuffle", t or "") for t in texts]
+    alone = made(degrade_udf, pd.Series(["shuffle"] * len(texts)), texts)
+    assert len(alone) > 3 and pd.concat(alone).tolist() == got["shuffle"].tolist()
