@@ -33,3 +33,12 @@ def test_degradations_of_a_batch_come_in_slices_from_one_function():
     assert len(parts) > 3 and got["drop_ends"].tolist() == [degrade("drop_ends", t or "") for t in texts] and got["shuffle"].tolist() == [degrade("shuffle", t or "") for t in texts]
     alone = made(degrade_udf, pd.Series(["shuffle"] * len(texts)), texts)
     assert len(alone) > 3 and pd.concat(alone).tolist() == got["shuffle"].tolist()
+
+
+def test_sentences_of_a_batch_come_in_slices_and_counts_alone():
+    from factloom.functions import sentences as SE
+
+    texts = pd.Series(["It is so. It was, too. " * 20_000 for _ in range(9)] + ["", None])
+    assert len(made(SE.sentences_udf, texts)) > 3
+    counts = pd.concat(made(SE.sentence_counts_udf, texts))
+    assert counts.values.tolist() == [[len(SE.split_sentences(t)), len(SE.simple_sentences(t))] for t in texts]
