@@ -96,6 +96,18 @@ def test_trials_show_the_own_text_once_among_others(spark):
     assert {(r.judge, r.trial, r.slot, r.prompt) for r in RE.drawn_trials(entries.repartition(3), judges, trials=200).collect()} == {(r.judge, r.trial, r.slot, r.prompt) for r in drawn}
 
 
+def test_tasks_of_recognition_follow_the_pairs(spark):
+    """A field of many pairs has its judges dealt to several tasks, and many small fields are dealt too; the draws stay the same."""
+    rows = [("wide", f"n{k}", f"text {k}") for k in range(60)] + [(f"f{g}", f"n{k}", f"text {g} {k}") for g in range(40) for k in range(5)]
+    entries = spark.createDataFrame(rows, "field string, name string, text string").coalesce(1)
+    judges = entries.select("field", F.col("name").alias("judge"))
+    few, many = RE.drawn_trials(entries, judges), RE.drawn_trials(entries, judges, task_bytes=1 << 16)
+    said = lambda df: sorted(tuple(r) for r in df.collect())
+    assert said(few) == said(many) and many.count() == 8 * 260
+    placed = many.withColumn("task", F.spark_partition_id()).groupBy((F.col("field") == "wide").alias("wide"), "task").count().groupBy("wide").agg(F.count("*").alias("tasks"), F.max("count").alias("most")).collect()
+    assert all(r.tasks > 8 and r.most < (480 if r.wide else 1600) / 4 for r in placed)
+
+
 def test_recognition_is_held_against_chance(spark):
     entries = spark.createDataFrame([("f", f"n{k}", "h\n" + "t" * (k + 1)) for k in range(6)], "field string, name string, text string")
     judges = spark.createDataFrame([("f", "n5"), ("f", "n0"), ("f", "gone")], "field string, judge string")
