@@ -8,6 +8,7 @@ columns of docs as they are.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,25 @@ from factloom.llm.decontaminate import decontaminated
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.langid import accepted
 from factloom.llm.queries import tokenizer
-from factloom.llm.shared import Tables, folded
+from factloom.llm.shared import Tables, folded, relieved, rested
 from factloom.llm.simhash_dedup import near_groups
 
 
+def eased(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage; before and after its own jobs and fits, the driver gives back what was freed, and so do the executors' heaps."""
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        rested(spark)
+        relieved(spark)
+        out = stage(spark, *args, **options)
+        rested(spark)
+        relieved(spark)
+        return out
+
+    return run
+
+
+@eased
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Collection[str] | None = None, least: float = 0.3) -> DataFrame:
     """Rejects texts without a letter, and those the model puts in no language of ``languages`` (any, by default) at ``least``.
 
@@ -31,6 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Co
     return accepted(docs, docs, languages, least)
 
 
+@eased
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one stays: that with the largest id.
 
@@ -46,6 +63,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select("row.*")
 
 
+@eased
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of rows whose texts hang together by the similarity of their shingles one stays: that with the smallest id.
 
@@ -63,6 +81,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5
     return numbered.join(kept, own, "left_semi").select(docs.columns)
 
 
+@eased
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go.
 
@@ -72,6 +91,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@eased
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row that is left, repeated ones too; a null text has none. An empty table stays empty."""
     return encode_documents(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids")

@@ -97,3 +97,19 @@ def test_driver_gives_memory_back_while_an_operator_writes_its_tables(spark, mon
     for k in range(8):
         tables.write(spark.range(k))
     assert len(seen) == 2
+
+
+def test_driver_gives_memory_back_around_each_stage(spark, monkeypatch):
+    seen = []
+    whole = corpus_pipeline.relieved
+    monkeypatch.setattr(corpus_pipeline, "relieved", lambda s: seen.append(1) or whole(s))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER)
+        assert len(seen) == 2 * (k + 1)
+
+
+def test_the_jvm_gives_back_what_it_has_freed(spark):
+    from factloom.llm.shared import trimmed
+
+    assert "rim" in trimmed(spark)
