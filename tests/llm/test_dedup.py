@@ -6,7 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
+from factloom.llm import exact_dedup
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.shared import Tables, attach, components
 from factloom.llm.simhash_dedup import fingerprints_of, links, near_groups
@@ -40,6 +42,32 @@ def test_exact_groups_with_a_hot_group_and_no_python(documents, rows_of):
     assert all(got[i].keep_id == 599 and got[i].group_size == 400 for i in range(600) if i % 3)
 
 
+def test_exact_groups_tells_texts_of_one_digest_apart(documents, rows_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda body: F.left(F.sha2(body, 256), F.lit(1)), raising=False)
+    rows = [*((i, f"Text {i % 40}") for i in range(120)), *((i, "hot") for i in range(120, 200)), (None, "text 3"), (None, None), (7, "text 7")]
+    want = []
+    for i, t in rows:
+        ids = [j for j, u in rows if fold(u) == fold(t)]
+        keep = max((j for j in ids if j is not None), default=None)
+        want.append((i, keep, len(ids), i == keep, hashlib.sha256(fold(t).encode()).hexdigest()[:1]))
+    assert rows_of(exact_groups(documents(rows), salts=4)) == sorted(want, key=repr)
+
+
+def test_exact_groups_sorts_no_texts_and_lets_executors_collect(documents, spark, monkeypatch):
+    done, written, write, rested = [], [], Tables.write, getattr(exact_dedup, "rested", None)
+    monkeypatch.setattr(Tables, "write", lambda self, df: (done.append("table"), written.append(df), write(self, df))[-1])
+    monkeypatch.setattr(exact_dedup, "rested", lambda session: (done.append("rest"), rested(session)), raising=False)
+    exact_groups(documents([(i, f"text {i % 5} " * 50) for i in range(50)])).collect()
+    sorts = [n for df in written for n in nodes_of(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() in ("Window", "Sort")]
+    assert sorts and not any("body" in n.children().apply(0).output().mkString(",") for n in sorts)
+    assert not any("body" in df.columns for df in written)
+    assert done == ["rest", "table", "rest", "table", "rest"]
+
+
+def nodes_of(plan):
+    return [plan, *(n for k in range(plan.children().size()) for n in nodes_of(plan.children().apply(k)))]
+
+
 def test_xxh64_matches_the_library():
     random.seed(3)
     parts = [bytes(random.randrange(256) for _ in range(n)) for n in [*range(70), 300, 1000]]
