@@ -46,7 +46,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = Tables(spark)
     body = folded(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("text_sha256", digest_of(F.col("body")))
-    rested(spark)
     winners = tables.write(_combined(rows, salts).drop("body").withColumn("texts", F.count("*").over(W.partitionBy("text_sha256"))))
     rested(spark)
     marked = tables.write(rows.drop("body"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup
+from factloom.llm import exact_dedup, shared
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.shared import Tables, attach, components
 from factloom.llm.simhash_dedup import fingerprints_of, links, near_groups
@@ -54,9 +54,10 @@ def test_exact_groups_tells_texts_of_one_digest_apart(documents, rows_of, monkey
 
 
 def test_exact_groups_sorts_no_texts_and_lets_executors_collect(documents, spark, monkeypatch):
-    done, written, write, rested = [], [], Tables.write, getattr(exact_dedup, "rested", None)
-    monkeypatch.setattr(Tables, "write", lambda self, df: (done.append("table"), written.append(df), write(self, df))[-1])
-    monkeypatch.setattr(exact_dedup, "rested", lambda session: (done.append("rest"), rested(session)), raising=False)
+    done, written, write, rested = [], [], Tables.write, shared.rested
+    monkeypatch.setattr(Tables, "write", lambda self, df: (written.append(df), write(self, df), done.append("table"))[1])
+    for module in (shared, exact_dedup):
+        monkeypatch.setattr(module, "rested", lambda session: (done.append("rest"), rested(session)), raising=False)
     exact_groups(documents([(i, f"text {i % 5} " * 50) for i in range(50)])).collect()
     sorts = [n for df in written for n in nodes_of(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() in ("Window", "Sort")]
     assert sorts and not any("body" in n.children().apply(0).output().mkString(",") for n in sorts)
@@ -64,6 +65,13 @@ def test_exact_groups_sorts_no_texts_and_lets_executors_collect(documents, spark
     assert done == ["rest", "table", "rest", "table", "rest"]
 
 
+def test_executors_collect_before_the_first_table_only(spark, monkeypatch):
+    seen, rested = [], shared.rested
+    monkeypatch.setattr(shared, "rested", lambda session: (seen.append(1), rested(session)))
+    tables = Tables(spark)
+    assert [tables.write(spark.range(n)).count() for n in (3, 0, 5)] == [3, 0, 5] and seen == [1]
+
+
 def nodes_of(plan):
     return [plan, *(n for k in range(plan.children().size()) for n in nodes_of(plan.children().apply(k)))]
 
