@@ -1,11 +1,16 @@
 """Calls that resume, and outputs that appear whole or not at all."""
 
 import os
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.text import hash_key
 from factloom.operators import chunks as C
+from factloom.operators.completion import complete
 from factloom.operators.pipeline import digest, first_line_completer
 from factloom.operators.resume import Bound, Stages, digest_of
 from factloom.plans.tables import writer
@@ -193,3 +198,55 @@ def test_digest_broadcasts_no_table(spark, tmp_path):
     rows = got.collect()
     assert len(rows) == 6 and all(r.facts == 3 and r.sections == 2 and r.cited == 1 for r in rows)
     assert not any("Broadcast" in plan for plan in [*plans, got._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_a_digest_moves_texts_few_times_and_drops_what_is_spent(spark):
+    """Its disk is that of one step: texts pass few shuffles, and two tables are left for the result."""
+    draw = random.Random(4)
+    texts = [(k, " ".join(f"{draw.randbytes(20).hex()} {draw.randbytes(20).hex()}." for _ in range(60))) for k in range(40)]
+    docs, write = spark.createDataFrame(texts, "doc_id long, text string").repartition(4), writer(spark)
+    bus, driver = spark.sparkContext._jsc.sc().listenerBus(), lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver")
+    bus.waitUntilEmpty()
+    before = driver().totalShuffleWrite()
+    rows = digest(docs, first_line_completer, write).collect()
+    bus.waitUntilEmpty()
+    assert len(rows) == 40 and all(r.facts == 60 and r.sections == 2 and r.cited == 1 for r in rows)
+    moved = (driver().totalShuffleWrite() - before) / sum(len(t) for _, t in texts)
+    assert moved < 9, moved  # some 7.5; 13.3 while replies were shuffled to meet their keys and facts by id
+    assert len(os.listdir(write.base)) == 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString()
+        return set(re.findall(r"shuffle_[0-9_]+", blocks))
+
+    before = files()
+    df = spark.range(0, 1000, 1, 3).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    table, end = writer(spark)(df), time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7
+
+
+def test_copies_of_a_prompt_are_called_once_wherever_they_are(spark, tmp_path):
+    rows = [(k if k % 5 else None, f"u{k}", ["same", "same", f"p{k % 40}", None if k % 8 == 3 else ""][k % 4]) for k in range(2000)]
+    prompts = spark.createDataFrame(rows, "n int, unit string, prompt string").repartition(5)
+    note = counting(f"{tmp_path}/calls")
+    out = complete(prompts, lambda p: note(p or "none") + "x" * 3000, valid=lambda r: True)
+    assert out.columns == ["prompt_sha", "n", "unit", "reply", "attempts", "route"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.n, r.unit, r.reply.removesuffix("x" * 3000)) for r in out.collect()), key=lambda r: int(r[1][1:]))
+    assert [r[:2] for r in got] == [r[:2] for r in rows]
+    assert all(reply == f"reply to {asked}" for (_, _, reply), (_, _, asked) in zip(got, rows, strict=True) if asked)
+    asked = calls(f"{tmp_path}/calls")
+    assert len(asked) == len(set(asked) - {"", "none"}) + 1  # empty and null prompts share a hash
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_known_replies_are_taken_for_all_copies(spark, tmp_path):
+    prompts = spark.createDataFrame([(k, ["a", "b", "c"][k % 3]) for k in range(300)], "k int, prompt string").repartition(4)
+    known = spark.createDataFrame([("a", "kept"), ("z", "unused")], "prompt string, reply string").select(hash_key(F.col("prompt")).alias("prompt_sha"), "reply")
+    out = complete(prompts, counting(f"{tmp_path}/calls"), known).collect()
+    assert sorted((r.k, r.reply, r.route, r.attempts) for r in out) == [(k, ["kept", "reply to b", "reply to c"][k % 3], "primary" if k % 3 else "cached", min(k % 3, 1)) for k in range(300)]
+    assert calls(f"{tmp_path}/calls") == ["b", "c"]
